@@ -19,6 +19,8 @@ from leafmark.llm.common import dropped, ranked, small, stored
 
 #: Rows that one ranking bucket holds about.
 BUCKET_ROWS = 20_000
+#: Documents that a hub may have at most, however large the shards are; a join task holds a few hubs.
+HUB_ROWS = 50_000
 
 
 def with_groups(docs: DataFrame, shards: int, hub_share: float = 0.25) -> DataFrame:
@@ -27,7 +29,7 @@ def with_groups(docs: DataFrame, shards: int, hub_share: float = 0.25) -> DataFr
     rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("key"))
     rows = stored(rows, "sizes")
     n = rows.count()
-    hub_rows = max(2, int(hub_share * n / shards))
+    hub_rows = min(HUB_ROWS, max(2, int(hub_share * n / shards)))
     groups = rows.where(F.col("key").isNotNull()).groupBy("key", "crc", "size").agg(F.count("*").alias("members")).where("members > 1")
     groups = stored(groups, "groups")
     linked = rows.join(small(groups), ["key", "crc", "size"], "left")
@@ -52,7 +54,9 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 4) -> DataFrame:
         votes = now.where(F.col("hub").isNotNull()).groupBy("hub", "shard").count()
         # ties fall by hash, so that wishes to and from a shard are about as many
         wish = votes.groupBy("hub").agg(F.max_by("shard", F.struct("count", F.xxhash64("hub", "shard"))).alias("want"))
-        wants = now.join(wish, "hub", "left").withColumn("want", F.when(F.col("want") != F.col("shard"), F.col("want")))
+        # documents without links have no key to be joined on, and would all meet in one task
+        alone = now.where(F.col("hub").isNull()).withColumn("want", F.lit(None).cast("int"))
+        wants = now.where(F.col("hub").isNotNull()).join(wish, "hub").withColumn("want", F.when(F.col("want") != F.col("shard"), F.col("want"))).unionByName(alone)
         wants = stored(wants, "wishes")
         # (a, b, moving, spare): wishes from a to b, and documents in a that may go anywhere
         wishes = wants.where(F.col("want").isNotNull()).groupBy(F.col("shard").alias("a"), F.col("want").alias("b")).agg(F.count("*").alias("moving"))
