@@ -40,12 +40,22 @@ def repeated_words(words: Column) -> Column:
     n = F.size(words)
     windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
-    def covered(h: Column) -> Column:
+    def union(starts: Column) -> Column:
+        gaps = F.transform(starts, lambda x, k: F.least(F.coalesce(F.get(starts, k + 1) - x, F.lit(3)), F.lit(3)))
+        return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
+
+    def few(h: Column, twice: Column) -> Column:
+        """A handful of repeated windows: look every window up among them."""
+        return let(F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda i: i.isNotNull()), union)
+
+    def many(h: Column) -> Column:
         by_hash = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         same = lambda s, e, k: (F.get(s, k - 1)["h"] == e["h"]) | (F.get(s, k + 1)["h"] == e["h"])
-        starts = let(by_hash, lambda s: F.sort_array(F.transform(F.filter(s, lambda e, k: F.coalesce(same(s, e, k), F.lit(False))), lambda e: e["i"])))
-        gaps = let(starts, lambda p: F.transform(p, lambda x, k: F.least(F.coalesce(F.get(p, k + 1) - x, F.lit(3)), F.lit(3))))
-        return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
+        return let(let(by_hash, lambda s: F.sort_array(F.transform(F.filter(s, lambda e, k: F.coalesce(same(s, e, k), F.lit(False))), lambda e: e["i"]))), union)
+
+    def covered(h: Column) -> Column:
+        twice = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1) == x, F.lit(False)))))
+        return let(twice, lambda t: F.when(F.size(t) == 0, 0).when(F.size(t) <= 32, few(h, t)).otherwise(many(h)))
 
     return F.when(n < 4, 0).otherwise(let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))).cast("long")
 
