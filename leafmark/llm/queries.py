@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import decontamination, quality, sharding
+from leafmark.llm import decontamination, jaccard, packing, quality, records, sharding
 from leafmark.llm.common import table
+from leafmark.plans.session import ship_package
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The vocabulary files are installed beside the library on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +29,22 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(ship_package(spark), sf_dir, "documents"), tokenizer_path()).drop("padded")
+
+
+def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.read_back(*records.write(table(ship_package(spark), sf_dir, "documents"), tokenizer_path()))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_documents(table(ship_package(spark), sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).drop("linked")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_decontamination, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_decontamination, op5_packing, op6_records, op7_jaccard_join, op10_sharding)}
 
 ORACLES: dict[str, str] = {}
