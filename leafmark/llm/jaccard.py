@@ -6,7 +6,9 @@ joined. Two sizes s <= t can link only if they share c = ceil(T (s + t) / (1 + T
 * light sets (few shingles) enumerate their subsets of that fixed size c; two sets link if and only if they list one
   subset in common, so nothing is left to verify;
 * heavy sets are found through inverted lists. Sizes fall into levels; at a level two linked sets differ in at most k
-  shingles, so of k + 1 parts (by shingle hash) one is the same in both, and the list of that part names both. Sets that
+  shingles, so of m > k parts (by shingle hash) m - k at least are the same in both, and the lists of these parts name both.
+  A part of nothing but hot shingles (a passage that many documents share) is listed only for sets that have m - k or more
+  such parts, and an empty part only for sets with m - k empty ones: all others meet in a better list anyhow. Sets that
   meet in a list are gathered into one block, once each, where inverted lists of single shingles are scanned and overlaps
   counted exactly. A block over the limit is dealt to tasks by pairs of its parts, which together see every pair.
 
@@ -37,6 +39,10 @@ from leafmark.llm.components import components
 BLOCK_SHINGLES, BLOCK_SETS = 3_000_000, 2_000
 #: Bytes taken as the cost of one list or subset row, and of a set's scan for each shingle.
 ROW_COST, SCAN_COST = 24, 16
+#: Parts for each shingle that may differ; a shingle is hot from HOT_ROWS documents on, or one in HOT_SHARE of them if that
+#: is more, so that hot shingles stay few. Which ones are hot decides on cost alone, never on links.
+SLACK, HOT_ROWS, HOT_SHARE = 1.2, 32, 50_000
+CHUNK = 4_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -93,17 +99,27 @@ class Plan:
             lows.append(floor(lows[-1] * 100 / self.p) + 1)
         return lows
 
-    def parts(self, lows: list[int], level: int) -> int:
+    def parts(self, lows: list[int], level: int) -> tuple[int, int]:
+        """(m, k) of a level; m is a power of two, so that neighbouring levels mostly share their lists."""
         largest = lows[level + 1] - 1
-        return floor(2 * largest * (100 - self.p) / (100 + self.p)) + 1
+        k = floor(2 * largest * (100 - self.p) / (100 + self.p))
+        return (1 << (ceil(SLACK * (k + 1)) - 1).bit_length() if k else 1), k
+
+    def lists(self, lows: list[int], s: int) -> dict[int, int]:
+        """For a set of size s: m -> the largest k, of the levels it may link at."""
+        level = int(np.searchsorted(lows, s, "right")) - 1
+        out: dict[int, int] = {}
+        for x in (level, level + 1):
+            m, k = self.parts(lows, x)
+            if m > 1 and lows[x + 1] - 1 >= self.light:  # else only equal sets link there, or light sets alone
+                out[m] = max(k, out.get(m, 0))
+        return out
 
     def subset_rows(self, s: int) -> int:
         return sum(comb(s, self.need(s, t)) for t in self.partners(s) if s != t or self.need(s, t) < s)
 
     def list_rows(self, s: int) -> int:
-        lows = self.levels(floor(s * 100 / self.p) + 1)
-        level = int(np.searchsorted(lows, s, "right")) - 1
-        return sum(self.parts(lows, x) for x in (level, level + 1) if x + 1 < len(lows))
+        return sum(self.lists(self.levels(2 * s + 4), s))
 
 
 def boundary(percent: int, counts: dict[int, int], most: int = 64) -> int:
@@ -115,22 +131,25 @@ def boundary(percent: int, counts: dict[int, int], most: int = 64) -> int:
     return min(range(1, most + 1), key=lambda x: (cost(x), x))
 
 
-def _list_keys(plan: Plan, h: np.ndarray, lows: list[int]) -> np.ndarray:
-    """Keys of the inverted lists that a set stands in: a hash of each part of each level it may link at."""
-    s = len(h)
-    level = int(np.searchsorted(lows, s, "right")) - 1
+def _list_keys(plan: Plan, h: np.ndarray, hot: np.ndarray, lows: list[int]) -> np.ndarray:
+    """Keys of the inverted lists that a set stands in: a hash of each part that has to be listed. hot: mask over h."""
     keys = []
     with np.errstate(over="ignore"):
-        for x in (level, level + 1):
-            m = plan.parts(lows, x)
-            if m == 1 or lows[x + 1] - 1 < plan.light:
-                continue  # only equal sets link at this level, or light sets alone
+        for m, k in plan.lists(lows, len(h)).items():
             part = (h % np.uint64(m)).astype(np.int64)
-            # a sum of mixed hashes stands for the part's set; np.add.reduceat would need sorted parts
+            filled = np.bincount(part, minlength=m) > 0
+            strong = np.bincount(part[~hot], minlength=m) > 0
+            # a sum of mixed hashes stands for the part's set
             total = np.zeros(m, np.uint64)
             np.add.at(total, part, mix(h ^ _M1))
-            salt = mix(np.uint64(x) * _M2 + np.arange(m, dtype=np.uint64))
-            keys.append(mix(total ^ salt))
+            key = mix(total ^ mix(np.uint64(m) * _M2 + np.arange(m, dtype=np.uint64)))
+            if m - int(filled.sum()) >= m - k:
+                pass  # so many empty parts that all have to be listed
+            elif m - int(strong.sum()) >= m - k:
+                key = key[filled]
+            else:
+                key = key[strong]
+            keys.append(key)
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
@@ -154,7 +173,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def _sketches(plan: Plan, width: int):
+def _sketches(plan: Plan, width: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
@@ -162,11 +181,14 @@ def _sketches(plan: Plan, width: int):
                 ids, rows = b.column(0), []
                 sets = shingle_sets(b.column(1).to_pylist(), width)
                 lows = plan.levels(max(map(len, sets), default=1) * 2 + 2)
-                for h in sets:
+                at = np.r_[0, np.cumsum(list(map(len, sets)))]
+                flat = np.concatenate(sets) if at[-1] else np.empty(0, np.uint64)
+                warm = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat if len(hot) else np.zeros(len(flat), bool)
+                for i, h in enumerate(sets):
                     with np.errstate(over="ignore"):
                         a, c = mix(h).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(h * _M1)) if len(h) else np.uint64(0)
                     light = _subset_keys(plan, h) if 0 < len(h) < plan.light else []
-                    heavy = _list_keys(plan, h, lows) if len(h) else np.empty(0, np.uint64)
+                    heavy = _list_keys(plan, h, warm[at[i] : at[i + 1]], lows) if len(h) else np.empty(0, np.uint64)
                     rows.append((len(h), a, c, heavy, light))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -182,11 +204,29 @@ def _sketches(plan: Plan, width: int):
     return run
 
 
-def _sizes(width: int):
+def _survey(width: int):
+    """(what, key, n): sizes of small sets (what 0), and shingles that a few million held more than twice (what 1)."""
+
+    def told(sizes: list[int], kept: list[np.ndarray]) -> pa.RecordBatch:
+        size, m = np.unique(np.array([x for x in sizes if x < 64], np.int64), return_counts=True)
+        key, n = np.unique(np.concatenate(kept), return_counts=True)
+        key, n = _signed(key[n > 2]), n[n > 2]
+        what = np.r_[np.zeros(len(size), np.int32), np.ones(len(key), np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(what), pa.array(np.r_[size, key]), pa.array(np.r_[m, n].astype(np.int64))], names=["what", "key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, kept, held = [], [], 0
         for b in batches:
             for k in range(0, b.num_rows, 512):
-                yield pa.RecordBatch.from_arrays([pa.array([len(h) for h in shingle_sets(b.column(0).slice(k, 512).to_pylist(), width)], pa.int64())], names=["n"])
+                sets = shingle_sets(b.column(0).slice(k, 512).to_pylist(), width)
+                sizes += map(len, sets)
+                kept += sets
+                held += sum(map(len, sets))
+                if held >= CHUNK:
+                    yield told(sizes, kept)
+                    sizes, kept, held = [], [], 0
+        if kept:
+            yield told(sizes, kept)
 
     return run
 
@@ -262,11 +302,12 @@ def jaccard_join(docs: DataFrame, percent: int = 90, width: int = 3) -> tuple[Da
     """(members, links): members(doc_id, n_shingles, cls) has a row for each document, cls being the smallest id with the same
     set; links(u, v, links) has for each class that links a class v of its component (a spanning forest) and how many it links with."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # light sets have few words, so only short texts need be counted for the boundary
-    short = rows.where(F.col("text").isNotNull() & (F.size(F.split("text", r"[\x20\x09-\x0D]+", 72)) < 72))
-    counts = short.select("text").mapInArrow(_sizes(width), "n long").where("n < 64").groupBy("n").count().collect()  # 64 rows at most
-    plan = Plan(percent, boundary(percent, {r.n: r["count"] for r in counts}))
-    sets = stored(rows.mapInArrow(_sketches(plan, width), "doc_id long, n long, a long, b long, lists array<long>, subsets array<long>, smaller array<boolean>"), "sets")
+    seen = stored(rows.select("text").mapInArrow(_survey(width), "what int, key long, n long").groupBy("what", "key").agg(F.sum("n").alias("n")).where(f"what = 0 or n >= {HOT_ROWS}"), "survey")
+    counts = {r.key: r.n for r in seen.where("what = 0").collect()}  # 64 rows at most
+    hot = seen.where((F.col("what") == 1) & (F.col("n") >= max(HOT_ROWS, rows.count() // HOT_SHARE))).select("key").collect()
+    plan = Plan(percent, boundary(percent, counts))
+    hot = np.sort(np.array([r.key for r in hot], np.int64).view(np.uint64))
+    sets = stored(rows.mapInArrow(_sketches(plan, width, hot), "doc_id long, n long, a long, b long, lists array<long>, subsets array<long>, smaller array<boolean>"), "sets")
     filled = sets.where("n > 0 and doc_id is not null")
     classes = filled.groupBy("n", "a", "b").agg(F.min("doc_id").alias("cls"), F.count("*").alias("rows"))
     shared = stored(classes.where("rows > 1").select(F.col("n").alias("cn"), F.col("a").alias("ca"), F.col("b").alias("cb"), "cls"), "classes")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import decontamination, jaccard, lm, packing, pii, quality, records, sharding, urls
+from leafmark.llm import decontamination, jaccard, licenses, lm, packing, pii, quality, records, sharding, urls
 from leafmark.llm.common import table
 from leafmark.plans.session import ship_package
 
@@ -55,6 +55,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_documents(table(ship_package(spark), sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(ship_package(spark), sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(ship_package(spark), sf_dir, "documents"))
 
@@ -63,6 +67,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).drop("linked")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_pii, op4_decontamination, op5_packing, op6_records, op7_jaccard_join, op9_lm_scoring, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_pii, op4_decontamination, op5_packing, op6_records, op7_jaccard_join, op8_license_scan, op9_lm_scoring, op10_sharding)}
 
 ORACLES: dict[str, str] = {}
