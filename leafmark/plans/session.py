@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -24,3 +25,13 @@ def ship_package(spark: SparkSession) -> SparkSession:
     sc.addPyFile(path)
     sc._leafmark_shipped = True
     return spark
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
+        if not (known := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafmark-"))
+            known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = known.get()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
