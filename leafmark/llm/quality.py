@@ -25,16 +25,25 @@ SEPARATORS = r"\x20\x09-\x0D"
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def rules() -> dict[str, tuple[Column, tuple[float, ...]]]:
-    words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
+def rules_cutoffs() -> dict[str, tuple[str, tuple[float, ...]]]:
+    """Rules with their column and cutoffs, from loose to strict."""
     return {
-        "symbols": (F.col("n_symbols") / F.greatest("word_chars", F.lit(1)), (0.3, 0.2, 0.1, 0.05, 0.02)),
-        "same_lines": (F.col("n_dup_lines") / lines, (0.9, 0.75, 0.5, 0.3, 0.2)),
-        "repeats": (F.col("n_repeat_words") / words, (0.45, 0.35, 0.25, 0.15, 0.1)),
-        "long_words": (F.col("word_chars") / words, (12.0, 10.0, 9.0, 8.0, 7.5)),
+        "symbols": ("n_symbols / word_chars", (0.3, 0.2, 0.1, 0.05, 0.02)),
+        "same_lines": ("n_dup_lines / n_lines", (0.9, 0.75, 0.5, 0.3, 0.2)),
+        "repeats": ("n_repeat_words / n_words", (0.45, 0.35, 0.25, 0.15, 0.1)),
+        "long_words": ("word_chars / n_words", (12.0, 10.0, 9.0, 8.0, 7.5)),
     }
 
 
+def rules() -> dict[str, tuple[Column, tuple[float, ...]]]:
+    """Rules with their metric: a share of two base columns, the lower one at least 1."""
+    out = {}
+    for name, (share, cuts) in rules_cutoffs().items():
+        over, under = share.split(" / ")
+        out[name] = (F.col(over) / F.greatest(F.col(under), F.lit(1)), cuts)
+    return out
+
+
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that the text holds twice or more, the first ones included."""
     n = F.size(words)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmark.llm import decontamination, jaccard, licenses, lm, packing, pii, quality, records, sharding, urls
 from leafmark.llm.common import table
+from leafmark.llm.oracles import ORACLES  # noqa: F401  registered beside the queries
 from leafmark.plans.session import ship_package
 
 
@@ -68,5 +69,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_pii, op4_decontamination, op5_packing, op6_records, op7_jaccard_join, op8_license_scan, op9_lm_scoring, op10_sharding)}
-
-ORACLES: dict[str, str] = {}
