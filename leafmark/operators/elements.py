@@ -54,13 +54,18 @@ def kept_formulas(elements: DataFrame, pages: DataFrame, t: Thresholds = Thresho
     return measured(elements, pages).where(_fits(t))
 
 
+def _half_even(c: str, places: int) -> Column:
+    """Half-even on the scaled double; bround() would go by the decimal digits that are printed."""
+    return F.rint(F.col(c) * 10.0**places) / 10.0**places
+
+
 def formula_records(elements: DataFrame, pages: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Kept formulas with formula_id (numbered in detection order on their page) and rounded size info."""
     n = F.row_number().over(Window.partitionBy("doc_id", "page_idx").orderBy("ord")) - 1
     return kept_formulas(elements, pages, t).select(
         "doc_id", "page_idx", "ord", F.format_string("page_%d_formula_%d", F.col("page_idx"), n).alias("formula_id"), "x1", "y1", "x2", "y2", "score",
         F.col("w").cast("long").alias("width"), F.col("h").cast("long").alias("height"), F.col("area").cast("long").alias("area"),
-        F.bround("rw", 4).alias("width_ratio"), F.bround("rh", 4).alias("height_ratio"), F.bround("ra", 6).alias("area_ratio"),
+        _half_even("rw", 4).alias("width_ratio"), _half_even("rh", 4).alias("height_ratio"), _half_even("ra", 6).alias("area_ratio"),
     )
 
 

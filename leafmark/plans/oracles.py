@@ -135,11 +135,11 @@ _FINALS = {
         LEFT JOIN (SELECT doc_id, section_idx, string_agg(concat('tex', ord, ':', page_idx, ':', y1), '|' ORDER BY ord) AS f FROM placed GROUP BY ALL) f USING (doc_id, section_idx)""",
     "op_st5": r"""SELECT doc_id, section_idx, concat('section_', lpad(CAST(section_idx AS VARCHAR), CAST(greatest(2, len(CAST(section_idx AS VARCHAR))) AS INTEGER), '0'), '_', trim(substring(regexp_replace(t, '[<>:"/\\|?*]', '_', 'g'), 1, 50)), '.png') AS file
         FROM (SELECT *, CASE WHEN section_idx % 3 = 0 THEN concat('<a:b>"/\|?* ', title, '   ', repeat(title, 8)) ELSE title END AS t FROM sections)""",
-    "op_ve1": "SELECT chunk_id, kind, pos, dim, round(v, 6) AS v FROM pooled",
-    "op_ve4": "SELECT chunk_id, tok, dim, round(v / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS v FROM dims JOIN (SELECT chunk_id, tok, sqrt(sum(v * v)) AS n FROM dims GROUP BY ALL) USING (chunk_id, tok)",
-    "op_re1": "SELECT query_id, chunk_id, round(score, 6) AS score FROM scores",
-    "op_re2": "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM found",
-    "op_re3": f"SELECT * FROM (SELECT query_id, {_RANK} AS rank, chunk_id, round(score, 6) AS score FROM scores JOIN near USING (query_id, chunk_id)) WHERE rank <= 4",
+    "op_ve1": "SELECT chunk_id, kind, pos, dim, round(v, 6) + 0.0 AS v FROM pooled",
+    "op_ve4": "SELECT chunk_id, tok, dim, round(v / CASE WHEN n > 0 THEN n ELSE 1 END, 6) + 0.0 AS v FROM dims JOIN (SELECT chunk_id, tok, sqrt(sum(v * v)) AS n FROM dims GROUP BY ALL) USING (chunk_id, tok)",
+    "op_re1": "SELECT query_id, chunk_id, round(score, 6) + 0.0 AS score FROM scores",
+    "op_re2": "SELECT query_id, rank, chunk_id, round(score, 6) + 0.0 AS score FROM found",
+    "op_re3": f"SELECT * FROM (SELECT query_id, {_RANK} AS rank, chunk_id, round(score, 6) + 0.0 AS score FROM scores JOIN near USING (query_id, chunk_id)) WHERE rank <= 4",
     "op_re4": "SELECT * FROM (SELECT collection, chunk_id, section_title, row_number() OVER (PARTITION BY collection ORDER BY chunk_id) AS rn FROM fx_chunks WHERE section_title = 'Section 3') WHERE rn <= 10",
     "op_re5": "SELECT * FROM fx_toc_sections WHERE contains(lower(title), 'customer#0000001')",
     "op_re6": "SELECT query_id, string_agg(concat(chunk_id, ':', section_title, ':', image_path), '|' ORDER BY rank) AS results, count(*) AS total_results FROM found JOIN fx_chunks USING (chunk_id) WHERE rank <= 4 GROUP BY ALL",
