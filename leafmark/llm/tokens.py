@@ -1,96 +1,108 @@
 """Token ids of whole texts with the tokenizers library, as used inside tasks.
 
 Byte-level pre-tokenisation never joins characters across the start of a space-led word, so a text is cut there, equal
-pieces are encoded once and remembered, and new pieces go to the tokenizer together. Texts with runs of white space in
+pieces are encoded once and remembered; plain words go to the tokenizer's merges at once. Texts with runs of white space in
 which a cut could change the result are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
 _SPACE = r"[\s\x1c-\x1f\x85\xa0]"
-_UNSAFE = re.compile(rf"{_SPACE} (?:{_SPACE}|\Z)")
+_UNSAFE = re.compile(rf" (?<={_SPACE} )(?:{_SPACE}|\Z)")
 _HAS_SPACE = re.compile(_SPACE)
 #: Punctuation that never belongs to the word before it; the apostrophe may.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: The byte alphabet of byte-level vocabularies: printable Latin-1 stands for itself, the other bytes follow from 256 on.
+_SAME = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _SAME} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_SAME))}
+_LEAD = chr(_BYTES[32])
+
+
+def _plain(word: str) -> bool:
+    """All Latin letters, which the pre-tokeniser keeps together."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
+class _Memory(dict):
+    """Ids by piece; what is missing is taken from the generation before or made, and kept."""
+
+    def __init__(self, make, old: dict):
+        super().__init__()
+        self.make, self.old = make, old
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        self[piece] = ids = self.make(piece) if ids is None else ids
+        return ids
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. The memory holds at most 2 x entries pieces."""
 
-    def __init__(self, path: str, entries: int = 300_000):
+    def __init__(self, path: str, entries: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.entries, self.young, self.old = entries, {}, {}
+        self.merge = self.tokenizer.model.tokenize
+        self.entries, self.tails, self.young = entries, {}, _Memory(self._after_space, {})
+        self.newline = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Each word after a space; words hold no white space and are not empty."""
-        if not words:
-            return []
-        ends = np.cumsum([len(w) + 1 for w in words])
-        e = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-        ids = np.asarray(e.ids, "<u4")
-        starts = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
-        cuts = np.searchsorted(starts, ends)
-        blob, out, low = ids.tobytes(), [], 0
-        for c in (cuts * 4).tolist():
-            out.append(blob[low:c])
-            low = c
-        return out
+    def _word(self, lead: str, word: str) -> bytes:
+        """A plain word is one pre-token, so it goes to the merges at once."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        ids = [t.id for t in self.merge(lead + word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, lead: str, piece: str) -> bytes:
+        """Ids of a piece without white space, after a space (lead) or at the start of a line."""
+        if _plain(piece):
+            return self._word(lead, piece)
+        core = piece.rstrip(_TAIL)
+        if core and core != piece and _plain(core):
+            tail = piece[len(core) :]
+            if (ids := self.tails.get(tail)) is None:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                ids = self.tails[tail] = self._whole([tail])[0]
+            known = self.young[core] if lead else self._word(lead, core)
+            return known + ids
+        return self._whole([" " + piece if lead else piece])[0]
 
-    def _learn(self, pieces: set[str]) -> None:
-        young, old = self.young, self.old
-        new, odd, split = [], [], {}
-        for p in pieces:
-            if (ids := old.get(p)) is not None:
-                young[p] = ids
-            elif not p or _HAS_SPACE.search(p):
-                odd.append(p)
-            elif (core := p.rstrip(_TAIL)) and core != p and core[-1].isalnum():
-                split[p] = core
-            else:
-                new.append(p)
-        young.update(zip(odd, self._whole([" " + p for p in odd])))
-        cores = {c for c in split.values() if c not in young and c not in old} - set(new)
-        new.extend(cores)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            young.update(zip(part, self._words(part)))
-        if split:
-            tails = list({p[len(c) :] for p, c in split.items()})
-            ids = dict(zip(tails, self._whole(tails)))
-            young.update((p, (young.get(c) or old[c]) + ids[p[len(c) :]]) for p, c in split.items())
+    def _after_space(self, piece: str) -> bytes:
+        """Ids of a piece that a space comes before."""
+        if piece and not _HAS_SPACE.search(piece):
+            return self._piece(_LEAD, piece)
+        left, _, right = piece.partition("\n")
+        # one line end between two words is a token of its own
+        if left and right and not _HAS_SPACE.search(left) and not _HAS_SPACE.search(right):
+            return self.young[left] + self.newline + self._piece("", right)
+        return self._whole([" " + piece])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        cut, heads, whole = [], [], []
-        for i, t in enumerate(texts):
-            if _UNSAFE.search(t):
-                whole.append(i)
-            else:
-                head, *rest = t.split(" ")
-                cut.append((i, rest))
-                heads.append(head)
-        need = set()
-        for _, rest in cut:
-            need.update(rest)
-        self._learn(need.difference(self.young))
-        get = self.young.__getitem__
-        for (i, rest), first in zip(cut, self._whole(heads)):
-            out[i] = first + b"".join(map(get, rest))
+        whole = [i for i, t in enumerate(texts) if _UNSAFE.search(t)]
         for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = ids
+        cut = [(i, t.split(" ")) for i, t in enumerate(texts) if out[i] is None]
+        ids_of = self.young.__getitem__
+        for (i, pieces), first in zip(cut, self._whole([pieces[0] for _, pieces in cut])):
+            out[i] = first + b"".join(map(ids_of, pieces[1:]))
         if len(self.young) > self.entries:
-            self.old, self.young = self.young, {}
+            self.young.old = {}
+            self.young = _Memory(self._after_space, self.young)
         return out
 
 
