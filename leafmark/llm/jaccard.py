@@ -5,12 +5,13 @@ joined. Two sizes s <= t can link only if they share c = ceil(T (s + t) / (1 + T
 
 * light sets (few shingles) enumerate their subsets of that fixed size c; two sets link if and only if they list one
   subset in common, so nothing is left to verify;
-* heavy sets are found through inverted lists. Sizes fall into levels; at a level two linked sets differ in at most k
-  shingles, so of m > k parts (by shingle hash) m - k at least are the same in both, and the lists of these parts name both.
-  A part of nothing but hot shingles (a passage that many documents share) is listed only for sets that have m - k or more
-  such parts, and an empty part only for sets with m - k empty ones: all others meet in a better list anyhow. Sets that
-  meet in a list are gathered into one block, once each, where inverted lists of single shingles are scanned and overlaps
-  counted exactly. A block over the limit is dealt to tasks by pairs of its parts, which together see every pair.
+* heavy sets are found through inverted lists. Sizes fall into levels; the sets of a level and the next one are cut into m
+  parts by shingle hash. Two linked sets differ in at most k shingles, so m - k of their parts at least are the same, and it
+  is enough that each set is listed under its k + 1 best parts: the best part that two linked sets share is among these for
+  both, as "best" is told from the part alone (most shingles that are not hot first). So a passage that many documents
+  share, or a single common shingle, names a list only where a set has nothing better. Sets that meet in a list are gathered
+  into one block, once each, where inverted lists of single shingles are scanned and overlaps counted exactly. A block over
+  the limit is dealt to tasks by pairs of its parts, which together see every pair.
 
 The boundary is the size at which the rows that enumeration makes cost more than the lists and the scan. Links leave a
 block as a spanning forest with each class's number of links, so a group of near copies never turns into all its pairs.
@@ -37,11 +38,12 @@ from leafmark.llm.components import components
 
 #: Shingles and sets that one block task may hold.
 BLOCK_SHINGLES, BLOCK_SETS = 3_000_000, 2_000
-#: Bytes taken as the cost of one list or subset row, and of a set's scan for each shingle.
-ROW_COST, SCAN_COST = 24, 16
-#: Parts for each shingle that may differ; a shingle is hot from HOT_ROWS documents on, or one in HOT_SHARE of them if that
+#: Bytes taken as the cost of a list or subset row, of bringing a set into a block (its text is read again), and of its scan
+#: for each shingle.
+ROW_COST, BLOCK_COST, SCAN_COST = 24, 400, 16
+#: Parts for each list at least; a shingle is hot from HOT_ROWS documents on, or one in HOT_SHARE of them if that
 #: is more, so that hot shingles stay few. Which ones are hot decides on cost alone, never on links.
-SLACK, HOT_ROWS, HOT_SHARE = 1.2, 32, 50_000
+SLACK, HOT_ROWS, HOT_SHARE = 1.3, 16, 50_000
 CHUNK = 4_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -99,56 +101,51 @@ class Plan:
             lows.append(floor(lows[-1] * 100 / self.p) + 1)
         return lows
 
-    def parts(self, lows: list[int], level: int) -> tuple[int, int]:
-        """(m, k) of a level; m is a power of two, so that neighbouring levels mostly share their lists."""
-        largest = lows[level + 1] - 1
-        k = floor(2 * largest * (100 - self.p) / (100 + self.p))
-        return (1 << (ceil(SLACK * (k + 1)) - 1).bit_length() if k else 1), k
+    def most_apart(self, s: int) -> int:
+        """How many shingles a set of size s and one it links with may differ in."""
+        return floor((s + floor(s * 100 / self.p)) * (100 - self.p) / (100 + self.p))
 
-    def lists(self, lows: list[int], s: int) -> dict[int, int]:
-        """For a set of size s: m -> the largest k, of the levels it may link at."""
+    def parts(self, lows: list[int], level: int) -> int:
+        """Parts of a level; a power of two, so that neighbouring levels mostly share their lists."""
+        k = self.most_apart(lows[level + 1] - 1)
+        return 1 << (ceil(SLACK * (k + 1)) - 1).bit_length() if k else 1
+
+    def lists(self, lows: list[int], s: int) -> set[int]:
+        """The numbers of parts for a set of size s: those of its level and the next."""
         level = int(np.searchsorted(lows, s, "right")) - 1
-        out: dict[int, int] = {}
-        for x in (level, level + 1):
-            m, k = self.parts(lows, x)
-            if m > 1 and lows[x + 1] - 1 >= self.light:  # else only equal sets link there, or light sets alone
-                out[m] = max(k, out.get(m, 0))
-        return out
+        # with one part, or among light sets alone, no list is needed
+        return {m for x in (level, level + 1) if (m := self.parts(lows, x)) > 1 and lows[x + 1] - 1 >= self.light}
 
     def subset_rows(self, s: int) -> int:
         return sum(comb(s, self.need(s, t)) for t in self.partners(s) if s != t or self.need(s, t) < s)
 
     def list_rows(self, s: int) -> int:
-        return sum(self.lists(self.levels(2 * s + 4), s))
+        return len(self.lists(self.levels(2 * s + 4), s)) * (self.most_apart(s) + 1)
 
 
 def boundary(percent: int, counts: dict[int, int], most: int = 64) -> int:
     """The size from which sets are heavy: the x that makes (subset rows of smaller sets + list rows and scans of the others) cheapest."""
     plan = Plan(percent)
     light = {s: ROW_COST * plan.subset_rows(s) * n for s, n in counts.items() if s < most}
-    heavy = {s: (ROW_COST * plan.list_rows(s) + SCAN_COST * s) * n for s, n in counts.items() if s < most}
+    heavy = {s: (ROW_COST * plan.list_rows(s) + BLOCK_COST + SCAN_COST * s) * n for s, n in counts.items() if s < most}
     cost = lambda x: sum(v for s, v in light.items() if s < x) + sum(v for s, v in heavy.items() if s >= x)
     return min(range(1, most + 1), key=lambda x: (cost(x), x))
 
 
 def _list_keys(plan: Plan, h: np.ndarray, hot: np.ndarray, lows: list[int]) -> np.ndarray:
-    """Keys of the inverted lists that a set stands in: a hash of each part that has to be listed. hot: mask over h."""
-    keys = []
+    """Keys of the inverted lists that a set stands in: hashes of its best parts. hot: mask over h."""
+    keys, n = [], plan.most_apart(len(h)) + 1
     with np.errstate(over="ignore"):
-        for m, k in plan.lists(lows, len(h)).items():
-            part = (h % np.uint64(m)).astype(np.int64)
-            filled = np.bincount(part, minlength=m) > 0
-            strong = np.bincount(part[~hot], minlength=m) > 0
+        mixed = mix(h ^ _M1)
+        for m in plan.lists(lows, len(h)):
+            part = (h & np.uint64(m - 1)).astype(np.int64)
             # a sum of mixed hashes stands for the part's set
             total = np.zeros(m, np.uint64)
-            np.add.at(total, part, mix(h ^ _M1))
+            np.add.at(total, part, mixed)
             key = mix(total ^ mix(np.uint64(m) * _M2 + np.arange(m, dtype=np.uint64)))
-            if m - int(filled.sum()) >= m - k:
-                pass  # so many empty parts that all have to be listed
-            elif m - int(strong.sum()) >= m - k:
-                key = key[filled]
-            else:
-                key = key[strong]
+            if n < m:
+                best = np.bincount(part[~hot], minlength=m) * (1 << 20) + np.bincount(part, minlength=m)
+                key = key[np.lexsort((key, -best))[:n]]
             keys.append(key)
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
