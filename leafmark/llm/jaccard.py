@@ -323,7 +323,8 @@ def jaccard_join(docs: DataFrame, percent: int = 90, width: int = 3) -> tuple[Da
     # heavy: classes that meet in an inverted list come into one block
     listed = heads.select("cls", F.explode("lists").alias("key"))
     met = stored(listed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key", "lo"), "lists")
-    touch = listed.join(small(met, 1_000_000), "key").select(F.col("cls").alias("u"), F.col("lo").alias("v")).distinct()
+    # joined by key at every size: a table that is broadcast on small inputs only would make the shuffle grow faster than they
+    touch = listed.join(met, "key").select(F.col("cls").alias("u"), F.col("lo").alias("v")).distinct()
     families = components(touch)
     about = heads.select("cls", "n", "a").join(families, F.col("cls") == F.col("node")).select("cls", "n", "a", F.col("component").alias("family"))
     about = stored(about, "families")

@@ -100,24 +100,25 @@ def _votes(kind: str, s: Column) -> Column:
     return F.struct(form.cast("int").alias("format"), gazetteer.cast("int").alias("gazetteer"), context.cast("int").alias("context"), shape.cast("int").alias("shape"))
 
 
-def _shaped(kind: str, order: int) -> Column:
+def _shaped(found: Column, kind: str, order: int) -> Column:
     """The candidates of a kind with their votes; matches of a base kind that fail its check are dropped."""
-    own = F.filter(kind, lambda s: valid(kind, s["value"])) if kind in BASE else F.col(kind)
+    own = F.filter(found, lambda s: valid(kind, s["value"])) if kind in BASE else found
     return F.transform(own, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.lit(kind in BASE).alias("base"), _votes(kind, s).alias("votes"), (F.char_length(s["value"]) >= 24).cast("int").alias("long")))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Stored doc_id, h and spans: array of (start, order, kind, end, base, votes, long), ordered; bases that fail are gone."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), text.alias("t"))
-    t = F.col("t")
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>")
-    hints = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9](?:[ -]?[0-9]){13}"), "phone": t.contains("+")}
-    hints |= {k: t.rlike(hint) for k, (_, hint) in MORE.items()}
+def candidate_spans(text: Column) -> Column:
+    """array of (start, order, kind, end, base, votes, long) of a text, ordered; bases that fail are gone."""
+    hints = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9](?:[ -]?[0-9]){13}"), "phone": text.contains("+")}
+    hints |= {k: text.rlike(hint) for k, (_, hint) in MORE.items()}
     patterns = PATTERNS | {k: p for k, (p, _) in MORE.items()}
-    rows = rows.select("doc_id", "h", *[F.when(hints[k], spans_of(t, patterns[k])).otherwise(none).alias(k) for k in KINDS])
-    shaped = [_shaped(k, order) for order, k in enumerate(KINDS)]
-    return stored(rows.select("doc_id", "h", F.sort_array(F.concat(*shaped)).alias("spans")), "candidates")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>")
+    return F.sort_array(F.concat(*[_shaped(F.when(hints[k], spans_of(text, patterns[k])).otherwise(none), k, order) for order, k in enumerate(KINDS)]))
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """Stored doc_id, h and the candidate spans."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("t"))
+    return stored(rows.select("doc_id", "h", candidate_spans(F.col("t")).alias("spans")), "candidates")
 
 
 def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> tuple[dict, dict]:
@@ -169,28 +170,34 @@ def train(found: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     return dict(zip(names, map(float, model.coefficients))) | {"bias": float(model.intercept)}, reliable
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, h and spans: array of (start, order, kind, end, base), the base spans and those the classifier adds."""
-    found = candidates(docs)
-    weights, _ = train(found)
+def chosen(spans: Column, weights: dict[str, float]) -> Column:
+    """array of (start, order, kind, end, base): the base spans and those the classifier adds beside them."""
 
     def score(s: Column) -> Column:
-        total = F.lit(weights.get("bias", -1.0)) + s["long"] * weights.get("long", 0.0)
+        total = F.lit(weights.get("bias", -10.0)) + s["long"] * weights.get("long", 0.0)
         for x in LABELERS:
             total = total + s["votes"][x] * weights.get(x, 0.0)
         return total + sum((F.when(s["kind"] == k, weights.get(f"is_{k}", 0.0)).otherwise(0.0) for k in MORE), F.lit(0.0))
 
     clear = lambda all_, s: ~F.exists(all_, lambda b: b["base"] & (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    kept = F.filter("spans", lambda s: s["base"] | ((score(s) > math.log(ADDED / (1 - ADDED))) & clear(F.col("spans"), s)))
+    kept = let(spans, lambda all_: F.filter(all_, lambda s: s["base"] | ((score(s) > math.log(ADDED / (1 - ADDED))) & clear(all_, s))))
     # the kinds under which added spans are told
     public = lambda k: F.when(k == "national", "phone").when(k == "spelled", "email").otherwise(k)
-    return found.select("doc_id", "h", F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), public(s["kind"]).alias("kind"), s["end"].alias("end"), s["base"].alias("base"))).alias("spans"))
+    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), public(s["kind"]).alias("kind"), s["end"].alias("end"), s["base"].alias("base")))
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, h and spans: array of (start, order, kind, end, base)."""
+    found = candidates(docs)
+    weights, _ = train(found)
+    return found.select("doc_id", "h", chosen(F.col("spans"), weights).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; n_chars, where present, is counted again."""
-    spans = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("spans").alias("_s")).dropDuplicates(["_d", "_h"])
-    rows = docs.join(stored(spans, "spans"), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
+    """The documents with every span replaced by its kind in brackets; n_chars, where present, is counted again. Once the
+    classifier is trained, spans are found again in each row, so no text is shuffled."""
+    weights, _ = train(candidates(docs))
+    rows = docs.withColumn("_s", chosen(candidate_spans(F.coalesce("text", F.lit(""))), weights))
     text = docs["text"]
 
     def step(a: Column, s: Column) -> Column:
@@ -199,7 +206,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
 
     done = F.aggregate("_s", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))))
-    new = F.when(F.col("_s").isNull(), text).otherwise(done)
+    new = F.when(F.size("_s") == 0, text).otherwise(done)
     out = rows.withColumn("_new", new)
     columns = [F.col("_new").alias("text") if c == "text" else F.when(docs["text"].isNotNull(), F.char_length("_new").cast("long")).otherwise(docs[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     return out.select(*columns)
