@@ -17,9 +17,9 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """width bits of each value, side by side, in 64-bit words; one word more, so that reads may run over."""
     if not width:
         return np.zeros(2, np.uint64)
-    bits = ((values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if len(values) * width < 1 << 24 else None
+    bits = ((values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if len(values) * width <= 1 << 21 else None
     if bits is None:  # in slices whose bits fill whole words
-        step = 64 * ((1 << 18) // 64)
+        step = 1 << 15
         parts = [_pack(values[k : k + step], width)[:-1] for k in range(0, len(values), step)]
         parts = [p[: step * width // 64] for p in parts[:-1]] + parts[-1:]
         return np.concatenate([*parts, np.zeros(1, np.uint64)])
@@ -88,14 +88,16 @@ class EliasFano:
         todo = np.flatnonzero(h < last)
         h = h[todo]
         start = np.where(h > 0, self._after_zero(np.maximum(h - 1, 0)), 0)
-        end = self._after_zero(h)
+        stop = self._after_zero(h)
+        end = stop.copy()
         want = x[todo] & np.uint64((1 << self.low) - 1)
-        while len(todo):
-            live = start < end
-            todo, start, end, want = todo[live], start[live], end[live], want[live]
-            if not len(todo):
-                break
-            same = self._lows(start) == want
-            out[todo[same]] = start[same]
-            todo, start, end, want = todo[~same], start[~same] + 1, end[~same], want[~same]
+        # values of one high part ascend by their low part: halved, as a node with many successors has thousands of them
+        while len(live := np.flatnonzero(start < end)):
+            middle = (start[live] + end[live]) >> 1
+            below = self._lows(middle) < want[live]
+            start[live[below]] = middle[below] + 1
+            end[live[~below]] = middle[~below]
+        found = np.flatnonzero(start < stop)
+        found = found[self._lows(start[found]) == want[found]]
+        out[todo[found]] = start[found]
         return out

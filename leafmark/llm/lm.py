@@ -203,32 +203,37 @@ class Model:
         if levels <= 1 or not len(word):
             return log1.copy(), np.full(len(word), -1, np.int64)
         near = context[-1]
-        out, rel = log1.copy(), np.full(len(word), -1, np.int64)
-        first = near >= 0
-        shard = np.where(first, self.shard_of(np.maximum(near, 0)), -1)
-        node = np.where(first, near - self.start[np.maximum(shard, 0)], 0)
-        place = np.full(len(word), -1, np.int64)
-        ask = first & (word >= 0)
-        place[ask] = self.successor(2, shard[ask], node[ask], word[ask])
-        out[first] += self.stored_log("weights", 1, shard[first], node[first])
+        far = context[-2] if levels >= 3 and len(context) >= 2 else None
+        # the pair before a word is mostly the pair of the word before: each distinct one is looked up once
+        right = (near + 1) << 32 | (word + 1)
+        left = right[:0] if far is None else (far + 1) << 32 | (near + 1)
+        pairs, where = np.unique(np.r_[right, left], return_inverse=True)
+        a, z = (pairs >> 32) - 1, (pairs & 0xFFFFFFFF) - 1
+        known = a >= 0
+        shard = np.where(known, self.shard_of(np.maximum(a, 0)), -1)
+        node = np.where(known, a - self.start[np.maximum(shard, 0)], 0)
+        place, relative, step = np.full(len(pairs), -1, np.int64), np.full(len(pairs), -1, np.int64), np.zeros(len(pairs))
+        ask = known & (z >= 0)
+        place[ask] = self.successor(2, shard[ask], node[ask], z[ask])
+        step[known] = self.stored_log("weights", 1, shard[known], node[known])
         hit = place >= 0
-        out[hit] = self.stored_log("logs", 2, shard[hit], place[hit])
+        step[hit] = self.stored_log("logs", 2, shard[hit], place[hit])
         for s, at in self._by_shard(np.where(hit, shard, -1)):
             if s >= 0:
-                rel[at] = place[at] - self._ef(s, "pointers2").access(node[at]).astype(np.int64)
-        if levels >= 3 and len(context) >= 2:
-            far = context[-2]
-            both = (far >= 0) & (near >= 0)
-            fshard = self.shard_of(far[both])
-            pair = self.successor(2, fshard, far[both] - self.start[fshard], near[both])
-            ok = pair >= 0
-            at, fshard, pair = np.flatnonzero(both)[ok], fshard[ok], pair[ok]
-            out[at] += self.stored_log("weights", 2, fshard, pair)
-            ask = rel[at] >= 0
-            at, fshard, pair = at[ask], fshard[ask], pair[ask]
-            tri = self.successor(3, fshard, pair, rel[at])
+                relative[at] = place[at] - self._ef(s, "pointers2").access(node[at]).astype(np.int64)
+        ri = where[: len(word)]
+        out, rel = np.where(hit[ri], 0.0, log1) + step[ri], relative[ri]
+        if far is not None:
+            li = where[len(word) :]
+            at = np.flatnonzero(hit[li])
+            triples, back = np.unique(li[at] << 32 | ri[at], return_inverse=True)
+            li, ri = triples >> 32, triples & 0xFFFFFFFF
+            weight, tri, logs = self.stored_log("weights", 2, shard[li], place[li]), np.full(len(triples), -1, np.int64), np.zeros(len(triples))
+            ask = relative[ri] >= 0
+            tri[ask] = self.successor(3, shard[li][ask], place[li][ask], relative[ri][ask])
             hit = tri >= 0
-            out[at[hit]] = self.stored_log("logs", 3, fshard[hit], tri[hit])
+            logs[hit] = self.stored_log("logs", 3, shard[li][hit], tri[hit])
+            out[at] = np.where(hit[back], logs[back], out[at] + weight[back])
         return out, rel
 
 
@@ -367,7 +372,7 @@ def _write_level(info: dict, level: int, discount: float):
     return run
 
 
-def train(docs: DataFrame, order: int = 2, min_word: int = 5, min_ngram: int = 2, folder: str | None = None) -> dict:
+def train(docs: DataFrame, order: int = 3, min_word: int = 5, min_ngram: int = 2, folder: str | None = None) -> dict:
     """Counts the documents and writes the model; returns what a Model is opened with (small: a few numbers a shard)."""
     spark = docs.sparkSession
     texts = docs.select("text")
@@ -424,14 +429,7 @@ def _score(info: dict):
                     prev[first] = m.end
                     two = np.r_[-1, prev[:-1]]
                     two[first] = -1
-                    if m.levels == 2:
-                        pairs, at, back = np.unique((prev + 1) << 32 | (w + 1), return_index=True, return_inverse=True)
-                        unseen = w < 0
-                        score = m.log_probability([prev[at]], w[at], log1[at], 2)[0][back]
-                        # words without a number differ in their counts, so the pair does not fix log1
-                        score[unseen] += (log1 - log1[at][back])[unseen]
-                    else:
-                        score = m.log_probability([two, prev], w, log1, m.levels)[0]
+                    score = m.log_probability([two, prev], w, log1, m.levels)[0]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(np.diff(np.r_[starts, len(h)])), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(log1, starts)), pa.array(np.add.reduceat(score, starts))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],

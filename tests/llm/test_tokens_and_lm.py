@@ -153,6 +153,16 @@ def test_elias_fano(values, shift):
     assert ((at >= 0) == np.isin(ask, values)).all() and (values[at[at >= 0]] == ask[at >= 0]).all()
 
 
+def test_elias_fano_in_a_crowd(monkeypatch):
+    values = np.r_[np.arange(0, 200_000, 2), 1 << 50].astype(np.uint64)
+    e = eliasfano.EliasFano(eliasfano.build(values))
+    calls, lows = [], eliasfano.EliasFano._lows
+    monkeypatch.setattr(eliasfano.EliasFano, "_lows", lambda self, i: calls.append(1) or lows(self, i))
+    at = e.find(np.arange(200_000, dtype=np.uint64))
+    assert len(calls) <= 40 and (at[::2] == np.arange(100_000)).all() and (at[1::2] == -1).all()
+    assert (e.access(np.arange(len(values))) == values).all()
+
+
 def model(texts, ids, order=3):
     tok = {i: [*(x or "").encode().lower().split(), None] for i, x in zip(ids, texts)}
     train = [i for i in ids if zlib.crc32(str(i).encode()) % 10]
@@ -207,6 +217,16 @@ def test_scores(spark, monkeypatch, order, shard_tokens):
     assert better > 0
 
 
+def test_registered_query_scores_trigrams(spark, tmp_path):
+    from leafmark.llm.queries import QUERIES
+
+    texts = [f"{a} x {b}" for a, b in (("a", "b"), ("c", "d")) for _ in range(40)]
+    make(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in QUERIES["op9_lm_scoring"](spark, str(tmp_path)).collect()}
+    two, three = (model(texts, list(range(len(texts))), order) for order in (2, 3))
+    assert all(abs(got[i] - three[i][-1]) < 4e-4 * 4 < abs(two[i][-1] - three[i][-1]) for i in got)
+
+
 def test_scores_of_odd_rows(spark, odd):
     out = lm.score(odd).collect()
     assert len(out) == len(ODD) + 3 and all(r.held_out for r in out if r.doc_id is None)
