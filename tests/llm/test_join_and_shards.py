@@ -128,6 +128,22 @@ def test_shards(spark):
     assert sum(n == 1 for n in pairs) >= 0.9 * len(pairs)
 
 
+@pytest.mark.parametrize("sizes,alone", [([100] * 8, 0), ([90, 90, 60, 40, 30], 490), ([250], 550)])
+def test_groups_that_fit_a_shard_stay_whole(spark, monkeypatch, sizes, alone):
+    monkeypatch.setattr(sharding, "SALT_ROWS", 7)
+    texts = [f"group {k}" for k, v in enumerate(sizes) for _ in range(v)] + [f"alone {k}" for k in range(alone)]
+    random.Random(13).shuffle(texts)
+    rows = sharding.shard(make(spark, texts)).collect()
+    check(rows, texts, 8)
+    for k, v in enumerate(sizes):
+        assert len({r.shard for r in rows if texts[r.doc_id] == f"group {k}"}) == -(-v // 100)
+
+
+def test_quotas():
+    assert sharding._quotas({(0, 1): 5, (1, 2): 4, (2, 0): 7}, {}, 3)[0] == {(0, 1): 4, (1, 2): 4, (2, 0): 4}
+    assert sharding._quotas({(0, 1): 5, (1, 2): 4}, {2: 3}, 3) == ({(1, 2): 3}, {(2, 1): 3})
+
+
 def test_shards_of_odd_rows(spark, odd):
     check(sharding.shard(odd).collect(), [*ODD, 0, 0, 0], 8)
     assert sharding.shard(odd.limit(0)).count() == 0
