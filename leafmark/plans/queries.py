@@ -351,7 +351,7 @@ def op_re1(s, d):
 
 
 def _found(s, d, k=5):
-    return retrieval.two_stage(view(s, d, "fx_query_tokens"), _pooled(s, d), view(s, d, "fx_tokens"), k, 2)
+    return retrieval.two_stage(view(s, d, "fx_query_tokens"), _pooled(s, d), view(s, d, "fx_tokens"), k)
 
 
 @query

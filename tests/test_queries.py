@@ -41,3 +41,32 @@ def test_batches_are_within_budget(spark):
     for r in rows:
         by.setdefault((r.shard, r.batch), []).append(r.tokens)
     assert all(len(v) == 1 or len(v) * max(v) <= 13_000 for v in by.values())
+
+
+def test_two_stage_prefetches_ten_times_k(spark):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    vec = {r.vec_id: np.array(r.embedding, float) for r in rows}
+    chunks = {}
+    for i in sorted(i for i in vec if i >= 40):
+        chunks.setdefault(i // 5, {})[i % 5] = vec[i]
+    sides = {"r": lambda t: (t - 1) % 2 + 1 if t else 0, "c": lambda t: (t - 1) // 2 + 1 if t else 0}
+
+    def best(q, side=None):
+        """Chunks by descending MaxSim; all tokens, or their means."""
+        out = {}
+        for c, toks in chunks.items():
+            groups = {}
+            for t, v in toks.items():
+                groups.setdefault(sides[side](t) if side else t, []).append(v)
+            d = np.array([np.mean(g, axis=0) for g in groups.values()])
+            out[c] = (q @ d.T).max(1).sum()
+        return out, sorted(out, key=lambda c: (-round(out[c], 9), c))
+
+    want = set()
+    for k in range(10):
+        q = np.array([vec[4 * k + t] for t in range(4)])
+        near = {c for side in "rc" for c in best(q, side)[1][:50]}
+        want |= {(k, rank, c) for rank, c in enumerate([c for c in best(q)[1] if c in near][:5], 1)}
+    assert {(r.query_id, r["rank"], r.chunk_id) for r in QUERIES["op_re2"](spark, SF).collect()} == want
