@@ -15,6 +15,9 @@ from leafmark.plans.session import scratch_dir, ship_package
 from leafmark.sources import readers, sinks
 from leafmark.streaming import ingest
 
+#: Ids of a source that op_ve2 batches in one task.
+SHARD_IDS = 20_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -319,7 +322,7 @@ def op_ve1(s, d):
 
 @query
 def op_ve2(s, d):
-    items = view(s, d, "fx_files").select(F.pmod(F.xxhash64("batch"), F.lit(8)).alias("shard"), F.col("seq").alias("item_id"), (F.col("pages") * 90 + 200 + F.col("seq") % 97).alias("tokens"))
+    items = view(s, d, "fx_files").select(F.xxhash64("batch", F.floor(F.col("seq") / SHARD_IDS)).alias("shard"), F.col("seq").alias("item_id"), (F.col("pages") * 90 + 200 + F.col("seq") % 97).alias("tokens"))
     return vectors.batches(items)
 
 

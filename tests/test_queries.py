@@ -70,3 +70,14 @@ def test_two_stage_prefetches_ten_times_k(spark):
         near = {c for side in "rc" for c in best(q, side)[1][:50]}
         want |= {(k, rank, c) for rank, c in enumerate([c for c in best(q)[1] if c in near][:5], 1)}
     assert {(r.query_id, r["rank"], r.chunk_id) for r in QUERIES["op_re2"](spark, SF).collect()} == want
+
+
+def test_groups_of_batches_are_bounded(spark, monkeypatch):
+    from collections import Counter
+
+    from leafmark.plans import queries
+
+    monkeypatch.setattr(queries, "SHARD_IDS", 20)
+    rows = QUERIES["op_ve2"](spark, SF).collect()
+    assert len({r.item_id for r in rows}) == len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert max(Counter(r.shard for r in rows).values()) <= 20
