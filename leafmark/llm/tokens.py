@@ -2,7 +2,7 @@
 
 Byte-level pre-tokenisation never joins characters across the start of a space-led word, so a text is cut there, equal
 pieces are encoded once and remembered; plain words go to the tokenizer's merges at once. Texts with runs of white space in
-which a cut could change the result are encoded whole.
+which a cut could change the result, and texts that spell one of the vocabulary's added tokens, are encoded whole.
 """
 
 from __future__ import annotations
@@ -51,7 +51,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.merge = self.tokenizer.model.tokenize
         self.entries, self.tails, self.young = entries, {}, _Memory(self._after_space, {})
         self.newline = self._whole(["\n"])[0]
@@ -93,7 +94,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if _UNSAFE.search(t)]
+        whole = [i for i, t in enumerate(texts) if _UNSAFE.search(t) or self.added and self.added.search(t)]
         for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = ids
         cut = [(i, t.split(" ")) for i, t in enumerate(texts) if out[i] is None]

@@ -20,7 +20,6 @@ def encode(vocabulary):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary)
-    t.encode_special_tokens = True
     return lambda x, end: np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -32,7 +31,7 @@ def encoder(vocabulary):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(" ab'Zé.,!\n\t1漢²\x1c\u00a0\u2003_|"), max_size=24), max_size=5))
+@given(st.lists(st.lists(st.sampled_from([*" ab'Zé.,!\n\t1漢²\x1c\u00a0\u2003_|<", "<|endoftext|>", "<|endof"]), max_size=24).map("".join), max_size=5))
 def test_encoder_is_exact(encoder, encode, texts):
     assert encoder.encode(texts) == [encode(t, 0)[:-1].tobytes() for t in texts]
 
@@ -67,8 +66,21 @@ def test_packing(spark, vocabulary, encode):
     assert packing.pack(make(spark, []), vocabulary).count() == 0
 
 
-def test_packing_of_odd_rows(spark, odd, vocabulary):
-    assert sum(r.length for r in packing.pack(odd, vocabulary).collect() if r.start == 0) > 0
+def test_added_tokens_are_the_librarys(spark, vocabulary, encode):
+    text = "a <|endoftext|> b"
+    ids = encode(text, 0)
+    assert len(ids) == 5  # the added token is one id
+    assert [(r.length, r.ids_crc32) for r in packing.pack(make(spark, [text]), vocabulary).orderBy("start").collect()] == [(4, zlib.crc32(ids[:4].tobytes())), (1, zlib.crc32(ids[4:].tobytes()))]
+    end = encode(text, 2)
+    assert [(r.n_tokens, r.ids_crc32) for r in records.read_back(*records.write(make(spark, [text]), vocabulary)).collect()] == [(5, zlib.crc32(end.tobytes()))]
+
+
+def test_packing_of_odd_rows(spark, odd, vocabulary, encode):
+    rows = packing.pack(odd, vocabulary).collect()
+    own = {(i, len(encode(t, 0))) for i, t in enumerate(ODD)} | {(None, 1), (None, len(encode("null id text " * 9, 0)))}
+    assert {(r.doc_id, r.doc_tokens) for r in rows} == own
+    assert sum(r.length for r in rows) == sum(n for _, n in own) + len(encode("two words", 0))  # id 5 stands twice
+    assert packing.pack(odd.limit(0), vocabulary).count() == 0
 
 
 @settings(max_examples=200, deadline=None)
