@@ -30,6 +30,8 @@ from leafmark.llm.common import fresh_dir
 MASK_ROTATE, MASK_ADD = 15, 0xA282EAD8
 INDEX = "shard int, file string, record long, doc_id long, offset long, frame_bytes long, n_tokens long"
 READ = 4 << 20
+#: Bytes of text that a shard holds about.
+SHARD_BYTES = 128 << 20
 
 
 def masked(data: bytes) -> int:
@@ -103,7 +105,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
     """Writes the records and the index under folder (by default a new one in the shared folder); returns the index and the folder."""
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "records")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     # the place in the input deals out rows that share an id, and spares the sampling of ranges a look at the texts
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_at"))
     ordered = rows.repartitionByRange(shards, "doc_id", "_at").sortWithinPartitions("doc_id", "_at").select("doc_id", "text")
@@ -140,7 +144,7 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
     shards = index.groupBy("shard", "file").agg(F.sum("n_tokens").alias("tokens"))  # a row for each file
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, index.select("shard").distinct().count())
     dealt = shards.repartitionByRange(n, "shard").select("file", "base")
     return dealt.mapInArrow(_read_whole(f"{folder}/data"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -167,6 +171,6 @@ def _read_at(folder: str):
 
 def read_shuffled(index: DataFrame, folder: str, seed: int = 0) -> DataFrame:
     """(place, doc_id, ids) of all records in an order that depends on the seed alone, each read at its offset."""
-    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, index.select("shard").distinct().count())
     place = F.xxhash64("shard", "record", F.lit(seed))
     return index.select(place.alias("place"), "file", "offset", "frame_bytes").repartitionByRange(n, "place").sortWithinPartitions("place").mapInArrow(_read_at(f"{folder}/data"), "place long, doc_id long, ids array<int>")
