@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of the given tables that a join side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
+#: Bytes that a side with rows of unequal size may have to be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,6 +74,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def light(df: DataFrame, row_bytes: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows, by row_bytes of each, come to that many bytes at most, else as it is."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= most else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets: int, name: str = "rank", keyed_by: Column | None = None) -> DataFrame:
     """Gapless ranks from 0 within keys, without a task that holds a whole key.
 

@@ -2,7 +2,8 @@
 
 Postings (term, document, position) of the corpus are stored for the terms that test windows are anchored on. A window's
 terms are ordered by corpus frequency, rarest first; candidates are postings of the rarest term moved back by its offset,
-intersected with the offset-adjusted lists of the next rarest terms, and proven on the document's words.
+intersected with the offset-adjusted lists of the next rarest terms, and proven on the document's words: by hash first, and
+what is left word by word.
 
 Words: A-Z lower-cased, then maximal runs outside [\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. A null text has no words, so it is never
 hit; an item of fewer words than a window is one window, an item without words none. Repeated rows are judged alike, each
@@ -15,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import ascii_lower, small, split_words, stored
+from leafmark.llm.common import ascii_lower, let, light, small, split_words, stored, unused
 
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+#: Tasks that the postings of one anchor term are dealt to where they are not joined by broadcast.
+SALTS = 16
 
 
 def words(text: Column) -> Column:
@@ -47,7 +50,8 @@ def rarest_terms(docs: DataFrame, grams: DataFrame, depth: int) -> DataFrame:
     at = grams.select("g", "n", F.posexplode("gram").alias("off", "term"))
     vocabulary = stored(at.select("term").distinct(), "vocabulary")
     seen = docs.select(F.explode(words(F.col("text"))).alias("term")).join(small(vocabulary), "term").groupBy("term").count()
-    by_term = at.join(seen, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    # a row for each term of the tests; every window that holds a common term asks for it
+    by_term = at.join(small(stored(seen, "terms")), "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     # a window has at most its width of terms, so the list is short
     best = by_term.groupBy("g", "n").agg(F.sort_array(F.collect_list(F.struct("count", "off", "term"))).alias("a"))
     return best.where(F.col("a")[0]["count"] > 0).select("g", "n", F.slice("a", 1, depth).alias("anchors"))
@@ -55,8 +59,11 @@ def rarest_terms(docs: DataFrame, grams: DataFrame, depth: int) -> DataFrame:
 
 def _intersected(index: DataFrame, anchors: DataFrame, depth: int, slop: int | None) -> DataFrame:
     """(g, n, d, h, start): places where the anchor terms stand at their offsets (slop None), or within slop words of the rarest."""
+    salt = F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")
     first = anchors.select("g", "n", "anchors", F.col("anchors")[0]["term"].alias("term"), F.col("anchors")[0]["off"].alias("off"))
-    found = index.join(small(first), "term").select("g", "n", "anchors", "d", "h", (F.col("pos") - F.col("off")).alias("start"), F.col("pos").alias("at"))
+    # a term that is common and yet the rarest of its window has postings without end: they meet it in several tasks
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = index.withColumn("salt", salt).join(small(first), ["term", "salt"]).select("g", "n", "anchors", "d", "h", (F.col("pos") - F.col("off")).alias("start"), F.col("pos").alias("at"))
     found = found.where("start >= 0") if slop is None else found
     for k in range(1, depth):
         nxt = F.get("anchors", F.lit(k))
@@ -70,18 +77,32 @@ def _intersected(index: DataFrame, anchors: DataFrame, depth: int, slop: int | N
 
 
 def exact_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, depth: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(matches, windows). matches(d, h, hits): by document key (id, text hash) the proven places, hits: array of (start, n, g)."""
+    """(matches, windows). matches(d, h, start, n, g): the proven places by document key (id, text hash)."""
     windows = stored(item_windows(benchmark, width), "windows")
-    anchors = stored(rarest_terms(docs, windows.select("g", "n", "gram").distinct(), depth), "anchors")
+    grams = windows.select("g", "n", "gram").distinct()
+    anchors = stored(rarest_terms(docs, grams, depth), "anchors")
     terms = stored(anchors.select(F.explode("anchors.term").alias("term")).distinct(), "terms")
     index = build_index(docs, terms)
     places = _intersected(index, anchors, depth, None).groupBy("d", "h").agg(F.collect_set(F.struct("start", "n", "g")).alias("places"))
     places = stored(places.select(F.col("d").alias("pd"), F.col("h").alias("ph"), "places"), "places")
-    rows = _keyed(docs).join(small(places), F.col("d").eqNullSafe(F.col("pd")) & (F.col("h") == F.col("ph")))
-    rows = rows.select("d", "h", "places", words(F.col("t")).alias("w"), F.size(words(F.col("t"))).alias("nw"))
-    proven = F.filter("places", lambda p: (p["start"] + p["n"] <= F.col("nw")) & (F.xxhash64(F.slice(F.col("w"), p["start"] + 1, p["n"])) == p["g"]))
-    matches = rows.select("d", "h", proven.alias("hits")).where(F.size("hits") > 0).dropDuplicates(["d", "h"])
-    return stored(matches, "matches"), windows
+    rows = _keyed(docs).join(light(places, F.size("places") * 32 + 64), F.col("d").eqNullSafe(F.col("pd")) & (F.col("h") == F.col("ph")))
+    # a text is split once for all its places; the words there are kept, for a hash alone proves nothing
+    there = lambda w, p: F.slice(w, p["start"] + 1, p["n"])
+    held = lambda w: F.filter("places", lambda p: (p["start"] + p["n"] <= F.size(w)) & (F.xxhash64(there(w, p)) == p["g"]))
+    proven = let(words(F.col("t")), lambda w: F.transform(held(w), lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), p["g"].alias("g"), there(w, p).alias("gram"))))
+    # stored before it is unnested: a condition on the hits would be pushed into the join, and the text split there again
+    hits = stored(rows.select("d", "h", proven.alias("hits")), "hits")
+    found = hits.select("d", "h", F.explode("hits").alias("x")).select("d", "h", "x.*").dropDuplicates(["d", "h", "start", "n"])
+    return stored(found.join(small(grams), ["g", "n", "gram"], "left_semi").select("d", "h", "start", "n", "g"), "matches"), windows
+
+
+def _covered() -> Column:
+    """Words inside any of the places of a document, of its rows grouped."""
+    inside = F.aggregate(
+        F.sort_array(F.collect_set(F.struct("start", "n"))), F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")),
+        lambda a, p: F.struct(F.greatest(a["end"], p["start"] + p["n"]).alias("end"), (a["sum"] + F.greatest(p["start"] + p["n"] - F.greatest(a["end"], p["start"]), F.lit(0))).alias("sum")), lambda a: a["sum"],
+    )
+    return inside.cast("long")
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, depth: int = 3, slop: int = 20) -> DataFrame:
@@ -96,22 +117,23 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, de
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, depth: int = 3) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside a matched window), n_items, items (sorted), contaminated."""
     matches, windows = exact_matches(docs, benchmark, width, depth)
-    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(p["start"], p["start"] + p["n"] - 1)))))
-    per = matches.select("d", "h", covered.alias("n_hit"), F.explode(F.array_distinct("hits.g")).alias("g"))
-    per = per.join(small(windows.select("g", "item_id").distinct()), "g").groupBy("d", "h").agg(F.first("n_hit").alias("n_hit"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    per = stored(per.select(F.col("d").alias("md"), F.col("h").alias("mh"), F.col("n_hit").alias("m_hit"), F.sort_array("items").alias("m_items")), "hits")
+    per = matches.groupBy("d", "h").agg(_covered().alias("m_hit"), F.collect_set("g").alias("gs"))
+    items = per.select("d", "h", "m_hit", F.explode("gs").alias("g")).join(small(windows.select("g", "item_id").distinct()), "g")
+    items = items.groupBy("d", "h").agg(F.first("m_hit").alias("m_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("m_items"))
+    found = stored(items.select(F.col("d").alias("md"), F.col("h").alias("mh"), "m_hit", "m_items"), "found")
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = rows.join(small(per), F.col("doc_id").eqNullSafe(F.col("md")) & (F.col("h") == F.col("mh")), "left")
+    out = rows.join(light(found, F.size("m_items") * 48 + 64), F.col("doc_id").eqNullSafe(F.col("md")) & (F.col("h") == F.col("mh")), "left")
     items = F.coalesce("m_items", F.array().cast("array<string>"))
     n_hit = F.coalesce("m_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_share: float = 0.0) -> DataFrame:
-    """The documents of which at most max_share of the words lie inside test windows, with their own columns."""
+    """The documents of which at most max_share of the words lie inside test windows, with all their columns, whatever these
+    are called. A null text has no words and stays, a null id is an id like others, repeated rows stay or go together."""
     matches, _ = exact_matches(docs, benchmark, width)
-    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(p["start"], p["start"] + p["n"] - 1)))))
-    bad = stored(matches.select(F.col("d").alias("_d"), F.col("h").alias("_h"), covered.alias("_n")), "hits")
-    marked = docs.join(small(bad), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
-    share = F.col("_n") / F.size(words(docs["text"]))
-    return marked.where(F.col("_n").isNull() | (share <= max_share)).select(*[docs[c] for c in docs.columns])
+    d, h, n = unused(docs, "d", "h", "n")
+    bad = stored(matches.groupBy("d", "h").agg(_covered().alias("n")).toDF(d, h, n), "hits")
+    marked = docs.join(small(bad), docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left")
+    over = F.lit(True) if max_share <= 0 else F.col(n) / F.size(words(docs["text"])) > max_share
+    return marked.where(F.col(n).isNull() | ~over).select(*[docs[c] for c in docs.columns])
