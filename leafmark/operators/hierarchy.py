@@ -18,11 +18,12 @@ def heading_key(title: Column) -> Column:
     return F.coalesce(F.concat(F.regexp_extract(title, HEADING, 1), F.regexp_extract(title, HEADING, 2)), F.lit(""))
 
 
-def heading_tree(titles: DataFrame, depth: int = 6) -> DataFrame:
+def heading_tree(titles: DataFrame) -> DataFrame:
     """titles(doc_id, idx, title) -> doc_id, idx, title, key, ancestors (top down, by idx) of the valid headings.
 
     The parent is the latest earlier heading with the number one level up: in one pass over (doc_id, number), headings and
-    those who look for them are sorted together and the last heading before is carried on.
+    those who look for them are sorted together and the last heading before is carried on. A parent has one number less, so
+    the longest number in the data tells how many times the next ancestor is to be looked up.
     """
     valid = titles.withColumn("key", heading_key(F.col("title"))).where("key <> ''").select("doc_id", "idx", "title", "key")
     up = F.when(F.col("key").contains("."), F.regexp_replace("key", r"\.[0-9]+$", ""))
@@ -32,7 +33,8 @@ def heading_tree(titles: DataFrame, depth: int = 6) -> DataFrame:
     parents = asked.unionByName(there).withColumn("parent", F.last("here", ignorenulls=True).over(before)).where("here is null and parent is not null").select("doc_id", "idx", "parent")
     out = valid.join(parents, ["doc_id", "idx"], "left").withColumn("ancestors", F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<bigint>")))
     step = parents.select("doc_id", F.col("idx").alias("parent"), F.col("parent").alias("next"))
-    for _ in range(depth - 1):
+    depth = valid.agg(F.max(F.size(F.split("key", r"\."))).alias("n")).first().n or 0
+    for _ in range(depth - 2):
         out = out.join(step, ["doc_id", "parent"], "left").withColumn("ancestors", F.when(F.col("next").isNotNull(), F.concat(F.array("next"), "ancestors")).otherwise(F.col("ancestors"))).withColumn("parent", F.col("next")).drop("next")
     return out.select("doc_id", "idx", "title", "key", "ancestors")
 

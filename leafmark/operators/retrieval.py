@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leafmark.operators.rollups import by_number
 from leafmark.operators.sections import NONAME
 
 #: Query tokens that one scan of the documents may carry.
@@ -75,12 +76,47 @@ def outline_search(sections: DataFrame, text: str) -> DataFrame:
     return sections.where(F.lower("title").contains(text.strip().lower())) if text.strip() else sections
 
 
-def results(found: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """query_id, results (array of structs in rank order, defaults for what is missing), total_results."""
-    joined = found.where(F.col("rank") <= k).join(chunks, "chunk_id", "left")
-    item = F.struct("rank", "chunk_id", F.round("score", 6).alias("score"), F.coalesce("collection", F.lit("")).alias("collection"), F.coalesce("section_title", F.lit("")).alias("section_title"), F.coalesce("image_path", F.lit("")).alias("image_path"))
-    out = joined.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("results"))  # k structs at most
-    return out.withColumn("total_results", F.size("results").cast("long"))
+#: What a result shows of its chunk: Spark type, and the default where the chunk has no such value.
+FIELDS = {
+    "section_title": ("string", "''"), "formulas": ("array<struct<content:string,coordinate:array<bigint>,page:bigint>>", "array()"), "section_pages": ("array<string>", "array()"),
+    "ancestors": ("array<string>", "array()"), "metadata": ("map<string,string>", "map()"), "image_path": ("string", "''"),
+}
+
+
+def results(found: DataFrame, chunks: DataFrame, k: int, images: DataFrame | None = None, chunk_images: DataFrame | None = None) -> DataFrame:
+    """query_id, results (array of structs in rank order), total_results. A result has rank, chunk_id, score, collection and the
+    fields above, with defaults for what chunks do not have, and where they are asked for image_base64, by images(image_path, uri),
+    null without an image, and chunk_images, by chunk_images(chunk_id, uris)."""
+    found = found.where(F.col("rank") <= k)
+    # only chunks that were found are joined with images
+    j = found.join(chunks.select("chunk_id", *[c for c in ("collection", *FIELDS) if c in chunks.columns]), "chunk_id", "left")
+    item = ["rank", "chunk_id", F.round("score", 6).alias("score"), (F.coalesce("collection", F.lit("")) if "collection" in chunks.columns else F.lit("")).alias("collection")]
+    for c, (kind, default) in FIELDS.items():
+        none = F.expr(default).cast(kind)
+        item.append((F.coalesce(F.col(c).cast(kind), none) if c in chunks.columns else none).alias(c))
+    if images is not None:
+        j = j.join(images.select("image_path", F.col("uri").alias("image_base64")), "image_path", "left")
+        item.append(F.when(F.coalesce("image_path", F.lit("")) != "", F.col("image_base64")).alias("image_base64"))
+    if chunk_images is not None:
+        j = j.join(chunk_images.select("chunk_id", "uris"), "chunk_id", "left")
+        item.append(F.coalesce("uris", F.array().cast("array<string>")).alias("chunk_images"))
+    # k structs at most
+    out = j.groupBy("query_id").agg(F.collect_list(F.struct(*item)).alias("l"))
+    return out.select("query_id", by_number(F.col("l"), "rank").alias("results"), F.size("l").cast("long").alias("total_results"))
+
+
+def search(queries: DataFrame, pooled: DataFrame, tokens: DataFrame, chunks: DataFrame, k: int = 5, images: DataFrame | None = None, chunk_images: DataFrame | None = None) -> DataFrame:
+    """The whole search of a batch: two stages, then results(). k is 1 to 100 (20 for questions to an assistant)."""
+    if not 1 <= k <= 100:
+        raise ValueError("k must be from 1 to 100")
+    return results(two_stage(queries, pooled, tokens, k), chunks, k, images, chunk_images)
+
+
+def search_by_title(chunks: DataFrame, title: str = NONAME, limit: int = 10) -> DataFrame:
+    """by_title with the bounds of a request: limit is 1 to 1000."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit must be from 1 to 1000")
+    return by_title(chunks, title, limit)
 
 
 def metadata_of(chunks: DataFrame, ids: DataFrame) -> DataFrame:

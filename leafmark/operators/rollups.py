@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from leafmark.operators.sections import NONAME
 
@@ -22,19 +21,42 @@ def book_titles(books: DataFrame, sections: DataFrame) -> DataFrame:
     return out.select("collection", "book_index", title.alias("title"), F.when(F.col("has_report"), F.col("total_pages")).otherwise(0).cast("long").alias("total_pages"))
 
 
+def by_number(rows: Column, field: str) -> Column:
+    """An array of structs in order of a field; the structs themselves may hold maps, which have no order."""
+    return F.array_sort(rows, lambda a, b: F.when(a[field] < b[field], -1).when(a[field] > b[field], 1).otherwise(0))
+
+
+def book_contents(books: DataFrame, sections: DataFrame, form: str = "full") -> DataFrame:
+    """A row for each book: collection, book_index, book_folder, title, total_pages, total_sections, sections in order, and in
+    form "full" page_numbers. Form "full" keeps every column of the sections, "simple" their titles only. books may carry
+    total_sections and page_numbers as their report has them; without the first the sections are counted."""
+    more = [c for c in sections.columns if c not in ("collection", "book_index", "pos", "index")]
+    own = sections.groupBy("collection", "book_index").agg(by_number(F.collect_list(F.struct("pos", F.struct(*more).alias("s"))), "pos").alias("_s"))
+    report = books.select("collection", "book_index", "has_report", *[F.col(c).alias(f"_{c}") for c in ("total_sections", "page_numbers") if c in books.columns])
+    rows = book_titles(books, sections).join(report, ["collection", "book_index"]).join(own, ["collection", "book_index"], "left")
+    none = F.array().cast(own.schema["_s"].dataType)
+    listed = F.when(F.col("has_report"), F.coalesce("_s", none)).otherwise(none)
+    if form == "simple":
+        shown = F.transform(listed, lambda x: F.struct(x["s"]["title"].alias("title")))
+    else:
+        shown = F.transform(listed, lambda x, i: F.struct(i.cast("long").alias("index"), *[x["s"][c].alias(c) for c in more]))
+    total = F.coalesce("_total_sections", F.size(listed)) if "total_sections" in books.columns else F.size(listed)
+    out = ["collection", "book_index", F.col("book_index").cast("string").alias("book_folder"), "title", "total_pages", F.when(F.col("has_report"), total).otherwise(0).cast("long").alias("total_sections"), shown.alias("sections")]
+    if form != "simple" and "page_numbers" in books.columns:
+        out.append(F.when(F.col("has_report"), F.col("_page_numbers")).alias("page_numbers"))
+    return rows.select(*out)
+
+
 def contents(books: DataFrame, sections: DataFrame, form: str = "full") -> DataFrame:
-    """collection_name, total_books, books: nested, ordered by index. Form "simple" keeps the titles of the sections only."""
-    item = F.struct("pos", "title")
-    own = sections.groupBy("collection", "book_index").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    rows = book_titles(books, sections).join(own, ["collection", "book_index"], "left")
-    listed = F.coalesce("s", F.array().cast("array<struct<pos:bigint,title:string>>"))
-    shown = F.transform(listed, lambda x: F.struct(x["title"].alias("title"))) if form == "simple" else F.transform(listed, lambda x, i: F.struct(i.alias("index"), x["title"].alias("title")))
-    book = F.struct("book_index", "title", "total_pages", F.size(listed).cast("long").alias("total_sections"), shown.alias("sections"))
-    return rows.groupBy(F.col("collection").alias("collection_name")).agg(F.count("*").alias("total_books"), F.array_sort(F.collect_list(book)).alias("books"))
+    """collection_name, total_books, books: the table of contents of a collection as one document, its books by index. For
+    large collections keep to book_contents, which never gathers a collection into a row."""
+    rows = book_contents(books, sections, form)
+    book = F.struct(*[c for c in rows.columns if c != "collection"])
+    return rows.groupBy(F.col("collection").alias("collection_name")).agg(F.count("*").alias("total_books"), by_number(F.collect_list(book), "book_index").alias("books"))
 
 
 def collection_totals(books: DataFrame, sections: DataFrame) -> DataFrame:
-    """collection, book_index (null for the whole collection), books, sections, pages by one rollup."""
+    """collection, books, sections and pages (of books with a report)."""
     n = sections.groupBy("collection", "book_index").agg(F.count("*").alias("n"))
     rows = books.join(n, ["collection", "book_index"], "left")
     out = rows.groupBy("collection").agg(F.count("*").alias("books"), F.sum(F.coalesce("n", F.lit(0))).alias("sections"), F.sum(F.when(F.col("has_report"), F.col("total_pages")).otherwise(0)).alias("pages"))
@@ -43,20 +65,34 @@ def collection_totals(books: DataFrame, sections: DataFrame) -> DataFrame:
 
 def gate(files: DataFrame, metadata_counts: DataFrame | None = None) -> DataFrame:
     """files(batch, name, size_bytes) with accepted and reason. metadata_counts(batch, n): where given, a batch of another
-    number of files is rejected whole."""
+    number of files is rejected whole. Batches are counted and compared on their own, and only those that differ are joined
+    back, so no batch meets in one task."""
     bad = F.when(~F.lower("name").endswith(".pdf"), "not_pdf").when(F.col("size_bytes") > MAX_BYTES, "too_large")
     if metadata_counts is not None:
-        files = files.withColumn("_files", F.count("*").over(Window.partitionBy("batch"))).join(metadata_counts.withColumnRenamed("n", "_n"), "batch", "left")
-        bad = F.when(F.coalesce(F.col("_files") != F.col("_n"), F.lit(True)), "metadata_mismatch").otherwise(bad)
-    return files.withColumn("reason", bad).withColumn("accepted", F.col("reason").isNull()).drop("_files", "_n")
+        counted = files.groupBy("batch").agg(F.count("*").alias("_files")).join(metadata_counts.select("batch", F.col("n").alias("_n")), "batch", "left")
+        differ = counted.where(F.coalesce(F.col("_files") != F.col("_n"), F.lit(True))).select(F.col("batch").alias("_batch"), F.lit(True).alias("_differs"))
+        files = files.join(differ, F.col("batch").eqNullSafe(F.col("_batch")), "left").drop("_batch")
+        bad = F.when(F.coalesce("_differs", F.lit(False)), "metadata_mismatch").otherwise(bad)
+    return files.withColumn("reason", bad).withColumn("accepted", F.col("reason").isNull()).drop("_differs")
+
+
+def rejected_files(gated: DataFrame) -> DataFrame:
+    """batch, name, reason: a row for each file that was turned away."""
+    return gated.where("not accepted").select("batch", "name", "reason")
+
+
+def file_pages(gated: DataFrame) -> DataFrame:
+    """batch, name, pages of accepted files; of equal names the last upload counts."""
+    ok = gated.where("accepted")
+    return ok.groupBy("batch", "name").agg(F.max_by("pages", "seq").alias("pages"))
 
 
 def upload_report(gated: DataFrame) -> DataFrame:
     """batch, success, processed_files, chunks, total_pages (the same number), file_pages (last of a name wins), errors.
 
-    gated carries accepted, reason, name, seq (order of upload) and pages (section images made of it)."""
-    last = gated.withColumn("_r", F.row_number().over(Window.partitionBy("batch", "name").orderBy(F.col("seq").desc()))).where("accepted and _r = 1")
-    maps = last.groupBy("batch").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "pages")))).alias("file_pages"))
+    gated carries accepted, reason, name, seq (order of upload) and pages (section images made of it). Lists within a report are
+    as long as the batch; rejected_files and file_pages give the same as rows."""
+    maps = file_pages(gated).groupBy("batch").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "pages")))).alias("file_pages"))
     all_ = gated.groupBy("batch").agg(F.count_if("accepted").alias("processed_files"), F.coalesce(F.sum(F.when(F.col("accepted"), F.col("pages"))), F.lit(0)).alias("chunks"), F.array_sort(F.collect_list(F.when(~F.col("accepted"), F.concat_ws(": ", "name", "reason")))).alias("errors"))
     out = all_.join(maps, "batch", "left")
     return out.select("batch", (F.col("processed_files") > 0).alias("success"), "processed_files", "chunks", F.col("chunks").alias("total_pages"), F.coalesce("file_pages", F.create_map().cast("map<string,bigint>")).alias("file_pages"), "errors")

@@ -60,7 +60,7 @@ def batches(items: DataFrame, budget: int = 13_000, most: int | None = None) ->
             size += 1
         return part.assign(batch=out)[["shard", "item_id", "tokens", "batch"]]
 
-    return items.groupBy("shard").applyInPandas(greedy, "shard long, item_id long, tokens long, batch long")
+    return items.groupBy("shard").applyInPandas(greedy, f"shard {items.schema['shard'].dataType.simpleString()}, item_id long, tokens long, batch long")
 
 
 def embed(rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:

@@ -21,15 +21,20 @@ VIEWS = {
              WHEN event_type = 'click' AND event_id % 4 = 1 THEN concat(CAST(event_id % 3 + 1 AS VARCHAR(10)), '.', CAST(event_id % 2 + 1 AS VARCHAR(10)), ' Scope')
              WHEN event_type = 'click' AND event_id % 4 = 2 THEN concat(CAST(event_id % 3 + 1 AS VARCHAR(10)), '.', CAST(event_id % 7 % 2 + 1 AS VARCHAR(10)), '.', CAST(event_id % 5 AS VARCHAR(10)), ' Detail')
              WHEN event_type = 'click' THEN concat('(', CAST(event_id % 9 AS VARCHAR(10)), ') item') ELSE 'x' END AS ocr FROM {events}""",
-    "fx_tokens": f"SELECT {_CHUNK} AS chunk_id, vec_id % 5 AS tok, embedding AS vec FROM {{embeddings}} WHERE vec_id >= 40",
-    "fx_query_tokens": "SELECT CAST(floor(vec_id / 4) AS BIGINT) AS query_id, vec_id % 4 AS tok, embedding AS vec FROM {embeddings} WHERE vec_id < 40",
-    "fx_chunks": f"""SELECT DISTINCT {_CHUNK} AS chunk_id, concat('c', CAST({_CHUNK} % 5 AS VARCHAR(10))) AS collection,
-        CASE WHEN {_CHUNK} % 7 = 0 THEN 'noname' ELSE concat('Section ', CAST({_CHUNK} % 10 AS VARCHAR(10))) END AS section_title,
-        CASE WHEN {_CHUNK} % 11 = 0 THEN '' ELSE concat('/img/', CAST({_CHUNK} AS VARCHAR(10)), '.png') END AS image_path FROM {{embeddings}} WHERE vec_id >= 40""",
-    "fx_books": """SELECT r_name AS collection, CAST(n_nationkey AS BIGINT) AS book_index, n_nationkey % 6 <> 5 AS has_report, CAST(10 + n_nationkey % 7 AS BIGINT) AS total_pages
+    "fx_tokens": f"SELECT {_CHUNK} AS chunk_id, vec_id % 5 AS tok, embedding AS vec FROM {{embeddings}}",
+    # a query for every row whose id is divisible by 100: its vector and the three after it
+    "fx_query_tokens": "SELECT CAST(floor(vec_id / 100) AS BIGINT) AS query_id, vec_id % 100 AS tok, embedding AS vec FROM {embeddings} WHERE vec_id % 100 < 4",
+    "fx_chunks": f"""SELECT chunk_id, concat('c', CAST(chunk_id % 5 AS VARCHAR(10))) AS collection,
+        CASE WHEN chunk_id % 7 = 0 THEN 'noname' ELSE concat('Section ', CAST(chunk_id % 10 AS VARCHAR(10))) END AS section_title,
+        CASE WHEN chunk_id % 11 = 0 THEN '' ELSE concat('/img/', CAST(chunk_id AS VARCHAR(10)), '.png') END AS image_path,
+        CASE WHEN chunk_id % 4 <> 0 THEN concat('x_', CAST(chunk_id AS VARCHAR(10))) END AS formula, chunk_id % 90 AS page,
+        CASE WHEN chunk_id % 3 <> 0 THEN concat('Chapter ', CAST(chunk_id % 6 AS VARCHAR(10))) END AS parent, concat('file', CAST(chunk_id % 6 AS VARCHAR(10)), '.pdf') AS display_name
+        FROM (SELECT DISTINCT {_CHUNK} AS chunk_id FROM {{embeddings}}) c""",
+    "fx_books": """SELECT r_name AS collection, CAST(n_nationkey AS BIGINT) AS book_index, n_nationkey % 6 <> 5 AS has_report, CAST(10 + n_nationkey % 7 AS BIGINT) AS total_pages,
+        CAST(n_nationkey % 4 AS BIGINT) AS total_sections, concat('0=', CAST(n_nationkey AS VARCHAR(10))) AS page_numbers
         FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",
     "fx_toc_sections": """SELECT r_name AS collection, CAST(n_nationkey AS BIGINT) AS book_index, c_custkey AS pos,
-        CASE WHEN c_custkey % 9 < 4 THEN 'noname' WHEN c_custkey % 9 = 4 THEN '  ' ELSE c_name END AS title
+        CASE WHEN c_custkey % 9 < 4 THEN 'noname' WHEN c_custkey % 9 = 4 THEN '  ' ELSE c_name END AS title, c_custkey % 40 AS start_page, c_custkey % 5 AS formulas
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey WHERE n_nationkey % 6 <> 5""",
     "fx_replies": """SELECT conv_id AS query_id, text AS question,
         CASE conv_id % 3 WHEN 0 THEN text ELSE concat('ok <query> ', substring(text, 1, 20), ' </query> end') END AS reply

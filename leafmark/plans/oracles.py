@@ -70,18 +70,24 @@ STEPS = common_tables() | {
     "scores": _MAX_SIM.format(dot=_DOT.format("q.vec", "d.vec"), docs="fx_tokens", where=""),
     "stage_c": f"SELECT *, {_RANK} AS r FROM (" + _MAX_SIM.format(dot=_DOT.format("q.vec", "d.vec"), docs="pooled_vecs", where="WHERE d.kind = 'mean_c'") + ")",
     "stage_r": f"SELECT *, {_RANK} AS r FROM (" + _MAX_SIM.format(dot=_DOT.format("q.vec", "d.vec"), docs="pooled_vecs", where="WHERE d.kind = 'mean_r'") + ")",
-    "found": f"SELECT * FROM (SELECT query_id, chunk_id, score, {_RANK} AS rank FROM scores JOIN (SELECT query_id, chunk_id FROM stage_c WHERE r <= 10 UNION SELECT query_id, chunk_id FROM stage_r WHERE r <= 10) USING (query_id, chunk_id)) WHERE rank <= 5",
+    "found": f"SELECT * FROM (SELECT query_id, chunk_id, score, {_RANK} AS rank FROM scores JOIN (SELECT query_id, chunk_id FROM stage_c WHERE r <= 50 UNION SELECT query_id, chunk_id FROM stage_r WHERE r <= 50) USING (query_id, chunk_id)) WHERE rank <= 5",
     "near": f"SELECT DISTINCT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tok ORDER BY round(s, 9) DESC, chunk_id, doc_tok) AS r FROM (SELECT q.query_id, q.tok, d.chunk_id, d.tok AS doc_tok, {_DOT.format('q.vec', 'd.vec')} AS s FROM fx_query_tokens q, fx_tokens d)) WHERE r <= 20",
     "titles_of": """SELECT b.*, CASE WHEN has_report THEN concat(coalesce(t, 'Document'), ' (', total_pages, ' pages)') ELSE concat('Book ', book_index) END AS title, CASE WHEN has_report THEN total_pages ELSE 0 END AS shown_pages FROM fx_books b
         LEFT JOIN (SELECT collection, book_index, arg_min(trim(title), pos) AS t FROM fx_toc_sections WHERE trim(title) <> '' AND lower(trim(title)) <> 'noname' GROUP BY ALL) USING (collection, book_index)""",
-    "listed": "SELECT collection, book_index, count(*) AS n, string_agg(concat(k, ';', title), ',' ORDER BY pos) AS full_list, string_agg(title, ',' ORDER BY pos) AS simple_list FROM (SELECT *, row_number() OVER (PARTITION BY collection, book_index ORDER BY pos) - 1 AS k FROM fx_toc_sections) GROUP BY ALL",
+    "listed": "SELECT collection, book_index, count(*) AS n, string_agg(concat(k, ';', title, ';', start_page, ';', formulas), ',' ORDER BY pos) AS full_list, string_agg(title, ',' ORDER BY pos) AS simple_list FROM (SELECT *, row_number() OVER (PARTITION BY collection, book_index ORDER BY pos) - 1 AS k FROM fx_toc_sections) GROUP BY ALL",
     "gated": """SELECT *, reason IS NULL AS accepted FROM (SELECT *, CASE WHEN batch = 'src3' THEN 'metadata_mismatch' WHEN NOT ends_with(lower(name), '.pdf') THEN 'not_pdf' WHEN size_bytes > 524288000 THEN 'too_large' END AS reason FROM fx_files)""",
     "asked": r"""SELECT conv_id AS session_id, regexp_replace(coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), ''), '^\s+|\s+$', '', 'g') AS t, count(*) FILTER (WHERE role = 'user') AS turns, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY ALL""",
+    "waiting": "SELECT *, row_number() OVER (PARTITION BY shard ORDER BY tokens, seq) AS k FROM (SELECT concat(batch, ':', CAST(floor(seq / 20000) AS BIGINT)) AS shard, seq, pages * 90 + 200 + seq % 97 AS tokens FROM fx_files)",
+    "batched": """SELECT shard, seq, tokens, k, 0 AS batch, 1 AS size FROM waiting WHERE k = 1
+        UNION ALL SELECT w.shard, w.seq, w.tokens, w.k, CASE WHEN (b.size + 1) * w.tokens > 13000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN (b.size + 1) * w.tokens > 13000 THEN 1 ELSE b.size + 1 END FROM batched b JOIN waiting w ON w.shard = b.shard AND w.k = b.k + 1""",
     "points": "SELECT collection, chunk_id % 6 AS f, chunk_id AS position, section_title FROM fx_chunks",
 }
+# the same steps on the folded sections
+STEPS |= {f"b_{k}": STEPS[k].replace("sections s", "rows5 s").replace("formulas_in f", "b_formulas_in f").replace("slices0", "b_slices0").replace("slices s", "b_slices s") for k in ("formulas_in", "slices0", "slices", "placed")}
 _RAW = "CASE ord % 6 WHEN 0 THEN concat('Page ', ocr) WHEN 1 THEN concat(ocr, ' – ', ord) WHEN 2 THEN '--' WHEN 3 THEN NULL ELSE ocr END"
 _FLAT = "doc_id, section_idx, title, start_page, start_y, end_page, end_y, array_to_string(list_sort(labels), '|') AS labels, total_elements, formulas, numbers"
-_BOOKS = "SELECT collection AS collection_name, count(*) AS total_books, md5(string_agg(concat(book_index, ':', title, ':', shown_pages, ':', coalesce(n, 0), ':', coalesce({}, '')), '|' ORDER BY book_index)) AS books_md5 FROM titles_of LEFT JOIN listed USING (collection, book_index) GROUP BY ALL"
+_BOOKS = "SELECT collection, book_index, CAST(book_index AS VARCHAR) AS book_folder, title, shown_pages AS total_pages, CASE WHEN has_report THEN total_sections ELSE 0 END AS total_sections, md5(CASE WHEN has_report THEN coalesce({}, '') ELSE '' END) AS sections_md5{} FROM titles_of LEFT JOIN listed USING (collection, book_index)"
+_NUMBERS = ", CASE WHEN has_report THEN page_numbers END AS page_numbers"
 _F = 28.0
 _FINALS = {
     "op_pg1": "SELECT doc_id, CAST(greatest(45, floor(500990 / (width * height) * 300)) AS BIGINT) AS dpi FROM sheets WHERE page_idx = 0",
@@ -133,28 +139,35 @@ _FINALS = {
     "op_st4": r"""SELECT j.doc_id, j.section_idx, j.title AS section_title, coalesce(f.f, '') AS formulas, array_to_string(l.labels, '|') AS section_pages, CASE WHEN start_page <= end_page THEN array_to_string(range(start_page, end_page + 1), '|') ELSE '' END AS section_pages_index, coalesce(names, '') AS ancestors,
         concat('section_', lpad(CAST(j.section_idx AS VARCHAR), CAST(greatest(2, len(CAST(j.section_idx AS VARCHAR))) AS INTEGER), '0'), '_', trim(substring(regexp_replace(j.title, '[<>:"/\\|?*]', '_', 'g'), 1, 50)), '.png') AS image_path FROM judged j JOIN labels l USING (doc_id, section_idx) LEFT JOIN named USING (doc_id, section_idx)
         LEFT JOIN (SELECT doc_id, section_idx, string_agg(concat('tex', ord, ':', page_idx, ':', y1), '|' ORDER BY ord) AS f FROM placed GROUP BY ALL) f USING (doc_id, section_idx)""",
+    "op_st4_books": """SELECT j.doc_id, j.section_idx, j.title AS section_title, coalesce(f.f, '') AS formulas, array_to_string(list_sort(labels), '|') AS section_pages, CASE WHEN start_page <= end_page THEN array_to_string(range(start_page, end_page + 1), '|') ELSE '' END AS section_pages_index, coalesce(names, '') AS ancestors
+        FROM rows5 j LEFT JOIN named USING (doc_id, section_idx) LEFT JOIN (SELECT doc_id, section_idx, string_agg(concat('tex', ord, ':', page_idx, ':', y1), '|' ORDER BY ord) AS f FROM b_placed JOIN records USING (doc_id, page_idx, ord) GROUP BY ALL) f USING (doc_id, section_idx)""",
     "op_st5": r"""SELECT doc_id, section_idx, concat('section_', lpad(CAST(section_idx AS VARCHAR), CAST(greatest(2, len(CAST(section_idx AS VARCHAR))) AS INTEGER), '0'), '_', trim(substring(regexp_replace(t, '[<>:"/\\|?*]', '_', 'g'), 1, 50)), '.png') AS file
         FROM (SELECT *, CASE WHEN section_idx % 3 = 0 THEN concat('<a:b>"/\|?* ', title, '   ', repeat(title, 8)) ELSE title END AS t FROM sections)""",
     "op_ve1": "SELECT chunk_id, kind, pos, dim, round(v, 6) + 0.0 AS v FROM pooled",
+    "op_ve2": """SELECT shard, seq AS item_id, tokens, batch FROM batched""",
+    "op_ve3": "SELECT doc_id, concat_ws('|', " + ", ".join(f"len(t) - len(replace(t, '{c}', ''))" for c in "abcdefgh") + ") AS vec FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)",
     "op_ve4": "SELECT chunk_id, tok, dim, round(v / CASE WHEN n > 0 THEN n ELSE 1 END, 6) + 0.0 AS v FROM dims JOIN (SELECT chunk_id, tok, sqrt(sum(v * v)) AS n FROM dims GROUP BY ALL) USING (chunk_id, tok)",
     "op_re1": "SELECT query_id, chunk_id, round(score, 6) + 0.0 AS score FROM scores",
     "op_re2": "SELECT query_id, rank, chunk_id, round(score, 6) + 0.0 AS score FROM found",
     "op_re3": f"SELECT * FROM (SELECT query_id, {_RANK} AS rank, chunk_id, round(score, 6) + 0.0 AS score FROM scores JOIN near USING (query_id, chunk_id)) WHERE rank <= 4",
     "op_re4": "SELECT * FROM (SELECT collection, chunk_id, section_title, row_number() OVER (PARTITION BY collection ORDER BY chunk_id) AS rn FROM fx_chunks WHERE section_title = 'Section 3') WHERE rn <= 10",
     "op_re5": "SELECT * FROM fx_toc_sections WHERE contains(lower(title), 'customer#0000001')",
-    "op_re6": "SELECT query_id, string_agg(concat(chunk_id, ':', section_title, ':', image_path), '|' ORDER BY rank) AS results, count(*) AS total_results FROM found JOIN fx_chunks USING (chunk_id) WHERE rank <= 4 GROUP BY ALL",
+    "op_re6": """SELECT query_id, string_agg(concat(chunk_id, ':', section_title, ':', image_path, ':', coalesce(formula || '@' || page, ''), ':', page, ':', coalesce(parent, ''), ':', display_name, ':',
+        CASE WHEN image_path = '' THEN '-' ELSE md5(concat('data:image/png;base64,', base64(encode(image_path)))) END, ':', CASE WHEN chunk_id % 2 = 0 THEN concat('slice', chunk_id) ELSE '' END), '|' ORDER BY rank) AS results, count(*) AS total_results FROM found JOIN fx_chunks USING (chunk_id) GROUP BY ALL""",
     "op_re7": "SELECT * FROM fx_chunks WHERE chunk_id IN (SELECT chunk_id FROM found)",
     "op_re8": "SELECT * FROM (SELECT collection, chunk_id, image_path, row_number() OVER (PARTITION BY collection ORDER BY chunk_id) AS rn FROM fx_chunks WHERE section_title = 'noname' AND image_path <> '') WHERE rn <= 20",
     "op_re9": rf"""SELECT query_id, rewritten, CASE WHEN rewritten IS NULL THEN question ELSE concat(question, '(', rewritten, ')') END AS search_text FROM (SELECT *, CASE WHEN regexp_matches(reply, '(?s)<query>(.*?)</query>') THEN {_STRIP.format("regexp_extract(reply, '(?s)<query>(.*?)</query>', 1)")} END AS rewritten FROM fx_replies)""",
     "op_re10": """SELECT q.query_id, coalesce(string_agg(CAST(chunk_id AS VARCHAR), '|' ORDER BY rank), '') AS chunk_ids, coalesce(string_agg(image_path, '|' ORDER BY rank) FILTER (WHERE image_path <> ''), '') AS image_paths, count(chunk_id) > 0 AS found
         FROM fx_replies q LEFT JOIN (SELECT * FROM found JOIN fx_chunks USING (chunk_id)) f ON f.query_id = q.query_id GROUP BY q.query_id""",
-    "op_tc1": _BOOKS.format("full_list"),
+    "op_tc1": _BOOKS.format("full_list", _NUMBERS),
     "op_tc2": "SELECT collection, book_index, title, shown_pages AS total_pages FROM titles_of",
-    "op_tc3": _BOOKS.format("simple_list"),
+    "op_tc3": _BOOKS.format("simple_list", ""),
     "op_tc4": "SELECT collection, count(*) AS books, CAST(sum(coalesce(n, 0)) AS BIGINT) AS sections, CAST(sum(shown_pages) AS BIGINT) AS pages FROM titles_of LEFT JOIN listed USING (collection, book_index) GROUP BY ALL",
     "op_up1": "SELECT batch, name, accepted, reason FROM gated",
     "op_up2": """SELECT batch, count(*) FILTER (WHERE accepted) > 0 AS success, count(*) FILTER (WHERE accepted) AS processed_files, CAST(coalesce(sum(pages) FILTER (WHERE accepted), 0) AS BIGINT) AS chunks, CAST(coalesce(sum(pages) FILTER (WHERE accepted), 0) AS BIGINT) AS total_pages,
         md5(coalesce(string_agg(concat(name, '=', pages), '|' ORDER BY name) FILTER (WHERE accepted), '')) AS files_md5, md5(coalesce(string_agg(concat(name, ': ', reason), '|' ORDER BY concat(name, ': ', reason)) FILTER (WHERE NOT accepted), '')) AS errors_md5 FROM gated GROUP BY batch""",
+    "op_up2_errors": "SELECT batch, name, reason FROM gated WHERE NOT accepted",
+    "op_up2_pages": "SELECT batch, name, arg_max(pages, seq) AS pages FROM gated WHERE accepted GROUP BY ALL",
     "op_ss1": "SELECT session_id, CASE WHEN len(t) > 38 THEN concat(substring(t, 1, 38), '...') ELSE t END AS title, turns, messages FROM asked",
     "op_ss2": "SELECT session_id % 7 AS collection, arg_max(session_id, last_turn * 1000 + session_id) AS session_id, max(last_turn * 1000 + session_id) AS updated_at FROM asked GROUP BY session_id % 7",
     "op_src1": "SELECT collection, book_index, row_number() OVER (PARTITION BY collection, book_index ORDER BY pos) - 1 AS pos, title FROM fx_toc_sections",
@@ -164,8 +177,8 @@ _FINALS = {
     "op_src4": "SELECT collection, book_index, has_report, concat('Book ', book_index) AS title, CASE WHEN has_report THEN total_pages ELSE 0 END AS total_pages, CASE WHEN has_report THEN 3 ELSE 0 END AS total_sections FROM fx_books",
     "op_src5": "SELECT page_id, md5(concat('data:image/png;base64,', base64(encode(html)))) AS uri_md5 FROM pages",
     "op_snk1": "SELECT collection, position, CASE WHEN f < 3 THEN concat('again ', section_title) ELSE section_title END AS section_title, CASE WHEN f < 3 THEN 2 ELSE 1 END AS load_seq FROM points",
-    "op_snk2": "SELECT DISTINCT collection FROM points WHERE collection <> 'c3'",
-    "op_snk3": _BOOKS.format("full_list"),
+    "op_snk2": "SELECT collection, count(*) AS points FROM points WHERE collection <> 'c3' GROUP BY ALL UNION ALL SELECT 'a new one', 0",
+    "op_snk3": _BOOKS.format("full_list", _NUMBERS),
     "op_snk4": "SELECT * FROM summary",
     "op_snk5": "SELECT collection, count(DISTINCT f) AS files, count(*) AS chunks, count(*) FILTER (WHERE section_title <> 'noname') AS named FROM points GROUP BY ALL",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions.ids import file_id
-from leafmark.operators import elements, hierarchy, pagenums, pages, retrieval, rollups, sections, stitch, vectors
+from leafmark.operators import books, elements, hierarchy, pagenums, pages, retrieval, rollups, sections, stitch, vectors
 from leafmark.plans.fixtures import view
 from leafmark.plans.session import scratch_dir, ship_package
 from leafmark.sources import readers, sinks
@@ -34,6 +34,13 @@ def _pe(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return view(s, d, "fx_pages"), view(s, d, "fx_elements")
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A step that several later ones read, written to the shared folder once."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _sheets(s: SparkSession, d: str) -> DataFrame:
     """Pages of many sizes."""
     p = view(s, d, "fx_pages")
@@ -216,17 +223,22 @@ def op_se5(s, d):
 
 
 # hierarchy
-def _tree(s, d):
-    return hierarchy.heading_tree(sections.identify(view(s, d, "fx_elements")).select("doc_id", F.col("section_idx").alias("idx"), "title"))
+def _found_sections(s, d):
+    return _kept(sections.identify(view(s, d, "fx_elements")), "sections")
+
+
+def _tree(t):
+    return hierarchy.heading_tree(t.select("doc_id", F.col("section_idx").alias("idx"), "title"))
 
 
 @query
 def op_hi1(s, d):
-    return _tree(s, d).select("doc_id", "idx", "key", joined("ancestors").alias("ancestors"))
+    return _tree(_found_sections(s, d)).select("doc_id", "idx", "key", joined("ancestors").alias("ancestors"))
 
 
 def _judged(s, d):
-    return hierarchy.apply_verdicts(sections.identify(view(s, d, "fx_elements")), _tree(s, d))
+    t = _found_sections(s, d)
+    return hierarchy.apply_verdicts(t, _tree(t))
 
 
 @query
@@ -235,9 +247,8 @@ def op_hi2(s, d):
 
 
 def _rows(s, d):
-    e = view(s, d, "fx_elements")
-    counts = sections.summary(e, sections.identify(e)).select("doc_id", "section_idx", "total_elements", "formulas", "numbers")
-    return _judged(s, d).join(counts, ["doc_id", "section_idx"]).join(_labels(s, d), ["doc_id", "section_idx"])
+    t = _found_sections(s, d)
+    return books.section_rows(view(s, d, "fx_elements"), t, _tree(t), pagenums.section_labels(t, pagenums.typed(_best(s, d))))
 
 
 def _flat(rows):
@@ -249,13 +260,18 @@ def op_hi3(s, d):
     return _flat(hierarchy.fold_rejected(_rows(s, d)))
 
 
+def _before_title_only(s, d):
+    # the folded rows are read twice: for the ancestors they name, and for themselves
+    return hierarchy.drop_title_only_ancestors(_kept(hierarchy.fold_rejected(_rows(s, d)), "folded"))
+
+
 @query
 def op_hi4(s, d):
-    return _flat(hierarchy.drop_title_only_ancestors(hierarchy.fold_rejected(_rows(s, d))))
+    return _flat(_before_title_only(s, d))
 
 
 def _final(s, d):
-    return hierarchy.fold_title_only(hierarchy.drop_title_only_ancestors(hierarchy.fold_rejected(_rows(s, d))))
+    return hierarchy.fold_title_only(_before_title_only(s, d))
 
 
 @query
@@ -303,6 +319,16 @@ def op_st4(s, d):
     return c.select("doc_id", "section_idx", "section_title", told.alias("formulas"), joined("section_pages").alias("section_pages"), joined("section_pages_index").alias("section_pages_index"), joined("ancestors").alias("ancestors"), "image_path")
 
 
+@query
+def op_st4_books(s, d):
+    """The whole way of a book in one call."""
+    p, e = _pe(s, d)
+    ocr = elements.formula_records(e, p).select("doc_id", "formula_id", F.concat(F.lit("tex"), F.col("ord").cast("string")).alias("ocr"))
+    c = books.build_chunks(e, p, ocr, keep=_kept)
+    told = F.array_join(F.transform("formulas", lambda f: F.concat_ws(":", f["content"], f["page"], f["coordinate"][1])), "|")
+    return c.select("doc_id", "section_idx", "section_title", told.alias("formulas"), joined(F.array_sort("section_pages")).alias("section_pages"), joined("section_pages_index").alias("section_pages_index"), joined("ancestors").alias("ancestors"))
+
+
 @query
 def op_st5(s, d):
     t = sections.identify(view(s, d, "fx_elements"))
@@ -322,7 +348,7 @@ def op_ve1(s, d):
 
 @query
 def op_ve2(s, d):
-    items = view(s, d, "fx_files").select(F.xxhash64("batch", F.floor(F.col("seq") / SHARD_IDS)).alias("shard"), F.col("seq").alias("item_id"), (F.col("pages") * 90 + 200 + F.col("seq") % 97).alias("tokens"))
+    items = view(s, d, "fx_files").select(F.concat_ws(":", "batch", F.floor(F.col("seq") / SHARD_IDS)).alias("shard"), F.col("seq").alias("item_id"), (F.col("pages") * 90 + 200 + F.col("seq") % 97).alias("tokens"))
     return vectors.batches(items)
 
 
@@ -377,10 +403,22 @@ def op_re5(s, d):
     return retrieval.outline_search(view(s, d, "fx_toc_sections"), " CUSTOMER#0000001 ")
 
 
+def _payloads(s, d):
+    """Chunks with all that a result shows of them."""
+    c = view(s, d, "fx_chunks")
+    some = lambda c, x: F.when(F.col(c).isNotNull(), F.array(x))
+    formulas = some("formula", F.struct(F.col("formula").alias("content"), F.array(*[F.lit(x).cast("long") for x in (1, 2, 3, 4)]).alias("coordinate"), F.col("page")))
+    return c.select("chunk_id", "collection", "section_title", "image_path", formulas.alias("formulas"), F.array(F.col("page").cast("string")).alias("section_pages"), some("parent", F.col("parent")).alias("ancestors"), F.create_map(F.lit("display_name"), F.col("display_name")).alias("metadata"))
+
+
 @query
 def op_re6(s, d):
-    r = retrieval.results(_found(s, d), view(s, d, "fx_chunks"), 4)
-    return r.select("query_id", F.array_join(F.transform("results", lambda x: F.concat_ws(":", x["chunk_id"], x["section_title"], x["image_path"])), "|").alias("results"), "total_results")
+    c = _payloads(s, d)
+    images = c.where("image_path <> ''").select("image_path", readers.data_uri(F.encode("image_path", "UTF-8")).alias("uri"))
+    slices = c.where("chunk_id % 2 = 0").select("chunk_id", F.array(F.concat(F.lit("slice"), F.col("chunk_id"))).alias("uris"))
+    r = retrieval.search(view(s, d, "fx_query_tokens"), _pooled(s, d), view(s, d, "fx_tokens"), c, 5, images, slices)
+    told = lambda x: F.concat_ws(":", x["chunk_id"], x["section_title"], x["image_path"], F.array_join(F.transform(x["formulas"], lambda f: F.concat_ws("@", f["content"], f["page"])), ","), F.array_join(x["section_pages"], ","), F.array_join(x["ancestors"], ","), x["metadata"]["display_name"], F.coalesce(F.md5(x["image_base64"]), F.lit("-")), F.array_join(x["chunk_images"], ","))
+    return r.select("query_id", F.array_join(F.transform("results", told), "|").alias("results"), "total_results")
 
 
 @query
@@ -410,14 +448,17 @@ def _bs(s, d):
     return view(s, d, "fx_books"), view(s, d, "fx_toc_sections")
 
 
-def _told_books(c: DataFrame, section) -> DataFrame:
-    told = F.array_join(F.transform("books", lambda b: F.concat_ws(":", b["book_index"], b["title"], b["total_pages"], b["total_sections"], F.array_join(F.transform(b["sections"], section), ","))), "|")
-    return c.select("collection_name", "total_books", F.md5(told).alias("books_md5"))
+def _told_books(rows: DataFrame) -> DataFrame:
+    """Books with a digest of their sections."""
+    whole = lambda x: F.concat_ws(";", x["index"], x["title"], x["start_page"], x["formulas"])
+    simple = "start_page" not in rows.schema["sections"].dataType.elementType.names
+    told = F.array_join(F.transform("sections", (lambda x: x["title"]) if simple else whole), ",")
+    return rows.select("collection", "book_index", "book_folder", "title", "total_pages", "total_sections", F.md5(told).alias("sections_md5"), *(["page_numbers"] if "page_numbers" in rows.columns else []))
 
 
 @query
 def op_tc1(s, d):
-    return _told_books(rollups.contents(*_bs(s, d)), lambda x: F.concat_ws(";", x["index"], x["title"]))
+    return _told_books(rollups.book_contents(*_bs(s, d)))
 
 
 @query
@@ -427,7 +468,7 @@ def op_tc2(s, d):
 
 @query
 def op_tc3(s, d):
-    return _told_books(rollups.contents(*_bs(s, d), form="simple"), lambda x: x["title"])
+    return _told_books(rollups.book_contents(*_bs(s, d), form="simple"))
 
 
 @query
@@ -453,6 +494,16 @@ def op_up2(s, d):
     return r.select("batch", "success", "processed_files", "chunks", "total_pages", F.md5(told).alias("files_md5"), F.md5(joined("errors")).alias("errors_md5"))
 
 
+@query
+def op_up2_errors(s, d):
+    return rollups.rejected_files(_gated(s, d))
+
+
+@query
+def op_up2_pages(s, d):
+    return rollups.file_pages(_gated(s, d))
+
+
 @query
 def op_ss1(s, d):
     return rollups.sessions(s.read.parquet(f"{d}/conversations.parquet")).select("session_id", "title", "turns", "messages")
@@ -477,7 +528,7 @@ def _written_reports(s, d, root):
 def op_src1(s, d):
     root = scratch_dir(s, "reports")
     _written_reports(s, d, root)
-    return readers.report_sections(readers.read_reports(s, root, "*/*/*.json"))
+    return readers.report_sections(readers.read_reports(s, root, "*/*/*.json")).select("collection", "book_index", "pos", "title")
 
 
 @query
@@ -524,23 +575,26 @@ def op_snk1(s, d):
     new = _points(s, d)
     sinks.upsert(s, new, root)
     sinks.upsert(s, new.where("position % 6 < 3").withColumn("section_title", F.concat(F.lit("again "), "section_title")).withColumn("load_seq", F.lit(2).cast("long")), root)
-    return s.read.schema("collection string, file_id string, position bigint, section_title string, load_seq bigint, id string").parquet(root).select("collection", "position", "section_title", "load_seq")
+    return sinks.read_points(s, root, ingest.CHUNKS).select("collection", "position", "section_title", "load_seq")
 
 
 @query
 def op_snk2(s, d):
     root = scratch_dir(s, "collection")
-    sinks.create_collection(_points(s, d), root)
-    sinks.create_collection(_points(s, d).where("false"), root)  # there already: nothing happens
-    return sinks.list_collections(sinks.drop_collection(s.read.parquet(root), "c3"))
+    sinks.upsert(s, _points(s, d), root)
+    sinks.create_collection(s, root, "c1")  # there already: nothing happens
+    sinks.create_collection(s, root, "a new one")
+    sinks.drop_collection(s, root, "c3")
+    left = sinks.read_points(s, root, ingest.CHUNKS).groupBy("collection").agg(F.count("*").alias("points"))
+    return sinks.list_collections(s, root).join(left, "collection", "left").withColumn("points", F.coalesce("points", F.lit(0)))
 
 
 @query
 def op_snk3(s, d):
     root = scratch_dir(s, "toc")
-    toc = rollups.contents(*_bs(s, d))
+    toc = rollups.book_contents(*_bs(s, d))
     sinks.write_contents(toc, root)
-    return _told_books(sinks.read_contents(s, root, toc.schema), lambda x: F.concat_ws(";", x["index"], x["title"]))
+    return _told_books(sinks.read_contents(s, root, toc.schema))
 
 
 @query

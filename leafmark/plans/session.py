@@ -27,11 +27,18 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine, where that is unset, one of our own."""
     if not (root := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         if not (known := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafmark-"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -38,8 +38,8 @@ def read_reports(spark: SparkSession, root: str, pattern: str = "*/*/summary_rep
 
 
 def report_sections(reports: DataFrame) -> DataFrame:
-    """(collection, book_index, pos, title) of the sections of reports."""
-    return reports.select("collection", "book_index", F.posexplode("sections").alias("pos", "s")).select("collection", "book_index", F.col("pos").cast("long").alias("pos"), F.col("s.title").alias("title"))
+    """(collection, book_index, pos, title, …) of the sections of reports, with all that a report says of a section."""
+    return reports.select("collection", "book_index", F.posexplode("sections").alias("pos", "s")).select("collection", "book_index", F.col("pos").cast("long").alias("pos"), "s.*")
 
 
 def list_pages(files: DataFrame) -> DataFrame:

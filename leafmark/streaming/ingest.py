@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.sources.sinks import upsert
+from leafmark.sources.sinks import read_points, upsert
 
 CHUNKS = "collection string, file_id string, position bigint, section_title string, load_seq bigint"
 
@@ -16,13 +16,13 @@ def contents_of(points: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, incoming: str, points: str, contents: str, checkpoint: str) -> None:
-    """Takes all files that have come so far. Ids are deterministic and partitions overwritten, so a batch that is run again
-    after a failure leaves the same points."""
+    """Takes all files that have come so far. Ids are deterministic and a batch is merged by the number of its load, so one that
+    is run again after a failure leaves the same points, and a file that comes in several runs of a load keeps all its parts."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
         upsert(spark, df, points)
         touched = df.select("collection").distinct()
-        fresh = contents_of(spark.read.schema(f"{CHUNKS}, id string").parquet(points).join(touched, "collection", "left_semi"))
+        fresh = contents_of(read_points(spark, points, CHUNKS).join(touched, "collection", "left_semi"))
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(contents)
 
     stream = spark.readStream.schema(CHUNKS).parquet(incoming)

@@ -116,6 +116,33 @@ def test_heading_tree(spark):
     assert got == {2: [], 3: [2], 4: [2, 3], 7: [], 8: [7], 9: [], 10: [2]}
 
 
+def test_ten_levels_of_headings(spark):
+    titles = [".".join("1" * n) + " x" for n in range(1, 11)]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(titles)], "doc_id long, idx long, title string")
+    assert {r.idx: r.ancestors for r in hierarchy.heading_tree(df).collect()} == {i: list(range(i)) for i in range(10)}
+    assert hierarchy.heading_tree(df.limit(0)).count() == 0
+
+
+#: Two lists of titles with the headings that count and their ancestors. Fixed values.
+HEADINGS = [
+    (["noname", "2.2.1 uii", "2.3.1 jqk", "ad 2.3.1.3 abc", "(1)座屈安全率V_B", "2.3.1.1 def", "2.3.1.1.1 ghi", "2.3.1.1.2 reta"], {1: [], 2: [], 5: [2], 6: [2, 5], 7: [2, 5]}),
+    (
+        ["noname", "目次", "I共通編", "1章総則", "1.1適用の範囲", "橋の耐荷性能1", "橋の耐荷性能2", "3章 設計状況", "3.1作用の種類", "1)水平補剛材を用いない場合", "2)水平補剛材を1段用いる場合", "3.2 設計状況の設定", "3.3作用の組合せ", "3.3.1荷重組合せ", "i）荷重組合せ"],
+        {3: [], 4: [3], 7: [], 8: [7], 11: [7], 12: [7], 13: [7, 12]},
+    ),
+]
+
+
+@pytest.mark.parametrize("titles,want", HEADINGS)
+def test_hierarchies(spark, titles, want):
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(titles)], "doc_id long, idx long, title string")
+    tree = hierarchy.heading_tree(df)
+    assert {r.idx: r.ancestors for r in tree.collect()} == want
+    judged = hierarchy.apply_verdicts(df.withColumnRenamed("idx", "section_idx"), tree).collect()
+    assert {r.section_idx for r in judged if r.kept} == {0, *want}
+    assert {r.section_idx: r.ancestor_titles for r in judged if r.kept} == {0: []} | {i: [titles[a] for a in up] for i, up in want.items()}
+
+
 def test_formula_across_the_cut_is_dropped(spark):
     sl = spark.createDataFrame([(1, 0, 0, 1000, 0, 900, 1600, 900, 0, 900)], "doc_id long, section_idx long, page_idx long, width long, y_start long, y_end long, uncut_end long, cut long, merged_start long, merged_end long")
     f = spark.createDataFrame([(1, 0, 0, 1, 0, 880, 5, 910), (1, 0, 0, 2, 0, 100, 5, 900)], "doc_id long, section_idx long, page_idx long, ord long, x1 long, y1 long, x2 long, y2 long")
@@ -204,6 +231,10 @@ def test_reports(spark, tmp_path):
     assert {k: v.title for k, v in got.items()} == {0: "1.1 A (10 pages)", 1: "2.1 B (20 pages)", 2: "Book 2", 3: "Book 3"}
     toc = rollups.contents(books, readers.report_sections(r), "simple").collect()[0]
     assert [b.total_sections for b in toc.books] == [2, 3, 0, 0] and toc.books[1].sections[2].title == "2.2 C"
+    full = rollups.contents(books.join(r.select("collection", "book_index", "page_numbers"), ["collection", "book_index"], "left"), readers.report_sections(r))
+    b = full.collect()[0].books
+    assert b[1].book_folder == "1" and b[1].page_numbers == {"0": "1"} and (b[1].sections[2]["index"], b[1].sections[2].title, b[1].sections[2].page_range) == (2, "2.2 C", None)
+    assert {"page_range", "precise_range", "total_elements", "formulas", "numbers", "ancestors", "ancestor_titles"} <= set(b[0].sections[0].asDict()) and b[2].sections == []
     assert readers.read_reports(spark, f"file://{tmp_path}/nothing").count() == 0
     assert readers.read_ocr_map(spark, f"file://{tmp_path}/nothing", "string").count() == 0
 
@@ -233,7 +264,7 @@ def test_upsert_of_a_shorter_file(spark, tmp_path, keep, positions):
     sinks.upsert(spark, _points(spark, [("c", "f", k, "old", 1) for k in range(3)] + [("c", "g", 0, "g", 1)]), at)
     sinks.upsert(spark, _points(spark, [("c", "f", 0, "new", 2)]), at, keep_tail=keep)
     sinks.upsert(spark, _points(spark, [("c", "f", 0, "new", 2)]), at, keep_tail=keep)
-    got = spark.read.parquet(at).collect()
+    got = sinks.read_points(spark, at, ingest.CHUNKS).collect()
     assert sorted(r.position for r in got if r.file_id == "f") == positions
     assert [r.section_title for r in got if r.file_id == "f" and r.position == 0] == ["new"]
     assert len([r for r in got if r.file_id == "g"]) == 1
@@ -249,10 +280,43 @@ def test_stream_equals_batch(spark, tmp_path):
     for df in (a, b):
         sinks.upsert(spark, df, f"{root}/b")
     cols = ["collection", "file_id", "position", "section_title"]
-    assert sorted(spark.read.parquet(f"{root}/s").select(cols).collect()) == sorted(spark.read.parquet(f"{root}/b").select(cols).collect())
+    assert sorted(sinks.read_points(spark, f"{root}/s", ingest.CHUNKS).select(cols).collect()) == sorted(sinks.read_points(spark, f"{root}/b", ingest.CHUNKS).select(cols).collect())
     assert {r.collection: (r.files, r.chunks, r.named) for r in spark.read.parquet(f"{root}/toc").collect()} == {"c": (1, 1, 0), "d": (1, 1, 1)}
 
 
+def test_parts_of_a_load_add_up(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    for data in ([("c", "f", 0, "a", 1), ("c", "f", 1, "a", 1)], [("c", "f", 2, "a", 1), ("c", "f", 3, "a", 1)], [("c", "f", 0, "late", 0)]):
+        _points(spark, data).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        ingest.ingest(spark, f"{root}/in", f"{root}/s", f"{root}/toc", f"{root}/ck")
+    assert sorted((r.position, r.section_title) for r in sinks.read_points(spark, f"{root}/s", ingest.CHUNKS).collect()) == [(k, "a") for k in range(4)]
+
+
+def test_collections_on_storage(spark, tmp_path):
+    root = f"file://{tmp_path}/p"
+    assert sinks.list_collections(spark, root).count() == 0
+    for c in ("a/b c", "d"):
+        assert sinks.create_collection(spark, root, c, _points(spark, [(c, "f", 0, "t", 1)]))
+    assert not sinks.create_collection(spark, root, "d")
+    assert [r.collection for r in sinks.list_collections(spark, root).collect()] == ["a/b c", "d"]
+    assert sinks.drop_collection(spark, root, "a/b c") and not sinks.drop_collection(spark, root, "a/b c")
+    assert [r.collection for r in sinks.read_points(spark, root, ingest.CHUNKS).collect()] == ["d"]
+    assert sinks.create_collection(spark, root, "d", replace=True) and sinks.read_points(spark, root, ingest.CHUNKS).count() == 0
+    assert [r.collection for r in sinks.list_collections(spark, root).collect()] == ["d"]
+
+
+def test_bounds_of_requests(spark):
+    none = spark.createDataFrame([], "chunk_id long, collection string, section_title string")
+    for k in (0, 101):
+        with pytest.raises(ValueError):
+            retrieval.search(none, none, none, none, k)
+    with pytest.raises(ValueError):
+        retrieval.search_by_title(none, limit=1001)
+    found = spark.createDataFrame([(1, 1, 7, 0.5)], "query_id long, rank long, chunk_id long, score double")
+    r = retrieval.results(found, none, 5).collect()[0].results[0]
+    assert (r.section_title, r.formulas, r.section_pages, r.ancestors, r.metadata, r.image_path) == ("", [], [], [], {}, "")
+
+
 def test_gate(spark):
     f = spark.createDataFrame([("b", "x.PDF", 10), ("b", "y.txt", 10), ("b", "z.pdf", 600 * 1024 * 1024), ("m", "x.pdf", 1)], "batch string, name string, size_bytes long")
     got = {(r.batch, r.name): r.reason for r in rollups.gate(f, spark.createDataFrame([("b", 3), ("m", 2)], "batch string, n long")).collect()}
