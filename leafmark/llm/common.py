@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from leafmark.plans.session import scratch_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of the given tables that a join side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -18,24 +19,28 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, local runs) one of our own."""
-    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
-        if not (known := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafmark-"))
-            known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = known.get()
-    return root.rstrip("/")
+fresh_dir = scratch_dir
+
+#: Tells Spark to remove the shuffle files of a query when it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is stored is read from the shared folder from then on; the shuffles it came by only fill the executors' disks."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, and survives the loss of any executor."""
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with _shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._leafmark_path = path
     return out
@@ -45,9 +50,13 @@ def dropped(*tables: DataFrame) -> None:
     """Removes tables made by stored() that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_leafmark_path", None):
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            removed(df.sparkSession, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder that fresh_dir() named."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

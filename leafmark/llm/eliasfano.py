@@ -38,7 +38,7 @@ def build(values: np.ndarray) -> dict[str, np.ndarray]:
     bits = np.zeros(words * 8, np.uint8)
     np.bitwise_or.at(bits, high >> 3, (1 << (high & 7)).astype(np.uint8))
     ones = np.r_[0, np.cumsum(_POP[bits].reshape(-1, 8).sum(1, dtype=np.int64))]
-    return {"meta": np.array([n, low], np.int64), "high": bits, "ones": ones.astype(np.int64), "low": _pack(values & np.uint64((1 << low) - 1), low)}
+    return {"meta": np.array([n, low], np.int64), "high": bits, "ones": ones.astype(np.uint32 if n < 1 << 32 else np.int64), "low": _pack(values & np.uint64((1 << low) - 1), low)}
 
 
 class EliasFano:
@@ -46,7 +46,7 @@ class EliasFano:
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.low = map(int, arrays["meta"])
-        self.high, self.ones, self.bits = np.asarray(arrays["high"]).reshape(-1, 8), arrays["ones"], arrays["low"]
+        self.high, self.ones, self.bits = np.asarray(arrays["high"]).reshape(-1, 8), arrays["ones"].astype(np.int64), arrays["low"]
         self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
 
     @staticmethod

@@ -1,15 +1,25 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
+"""Language-model scores from an Elias-Fano n-gram trie that is spread over shards.
 
-Spark counts words and n-grams; each shard of the model is built by a task and written to the shared folder, and scoring
-tasks map its arrays into memory, so a model larger than a task's memory is only paged in where it is used. A shard holds
-the words of a range of hashes: their Elias-Fano coded hashes, exact counts, and the n-grams that begin with them. A level's
-successors are ascending word numbers, made monotone over the whole level by adding the last value of the node before;
-monotone pointers tell where a node's successors begin. From the third level on a word is stored as its place among the
-successors of the shorter context, and is searched for by that place.
+Texts are cut into chunks of about CHUNK tokens, each with a dictionary of its own, kept in the shared folder. Every step
+after that is a shuffle of requests and answers: a chunk sends each distinct word, pair and triple it holds, with how often
+its training texts hold it, to the shard in charge; the shard sums the counts of all chunks, writes its part of the level,
+maps it into memory and answers each chunk from it. So a task opens one chunk or one shard, whatever the size of the corpus,
+and a distinct n-gram is looked up once a shard.
 
-p(w|h) interpolates absolute discounting with the shorter context, down to p(w) = (c + 0.1) / (N + 0.1 (V + 1)). Words
-under min_word and n-grams under min_ngram occurrences are left to the shorter contexts; their mass is in the back-off
-weights. Log probabilities of n-grams and weights are stored in 16 bits.
+A shard of words keeps the ascending hashes of its words, Elias-Fano coded, with their counts; the places number the words.
+A shard of pairs or triples keeps the keys of its contexts, monotone pointers to where their successors begin, and the
+successors themselves, made monotone over the shard by adding the last value of the context before; all three are
+Elias-Fano coded. A triple's context is its first word and the place of the second among that word's successors, and its
+last word is stored and searched for as its place among the second word's successors. Discounted probabilities and back-off
+weights are kept as logarithms of 16 bits.
+
+A context that is too frequent for one shard (the end of a text, a very common word or pair) is counted in pieces first;
+the sums go to several shards, and each of these answers a share of the chunks.
+
+p(w|h) is the discounted share of w after h and, times h's back-off weight, p of the shorter context, down to
+p(w) = (c + 0.1) / (N + 0.1 (V + 1)). N-grams seen
+fewer than min_ngram times in training are left to the shorter contexts, their mass is in the back-off weights. It is two:
+an n-gram seen once speaks for the one text it stands in, and would raise that very text above all texts held out.
 
 Tokens: A-Z lower-cased, split at \\x20 and \\x09-\\x0D, then one end, which is also the context of the first token. Null and
 empty texts are the end alone. A document is held out if crc32 of its id as text is divisible by `folds`; one with a null
@@ -19,27 +29,43 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
+import uuid
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm import eliasfano
-from leafmark.llm.common import dropped, fresh_dir, stored
+from leafmark.llm.common import dropped, fresh_dir, removed, stored
+from leafmark.llm.eliasfano import EliasFano, build
 
 END = 0xE4D0_0F7E_70E4_D001
 DISCOUNT, ALPHA = 0.6, 0.1
-#: Training tokens for each shard, about.
-SHARD_TOKENS = 4_000_000
+#: Training tokens for each shard of pairs or triples, and dictionary entries for each shard of words, about.
+SHARD_TOKENS, SHARD_WORDS = 2_000_000, 2_000_000
 #: Steps of stored log probabilities, from 0 down to -16.
 STEP = 16 / 65535
-#: Tokens whose n-grams a task tallies together, and documents that it looks at together.
-CHUNK, BATCH = 1_000_000, 512
+#: Tokens of a chunk, about, and texts that are split together.
+CHUNK, BATCH = 2_000_000, 256
+#: Answers are kept, triples asked for, and chunks scored in so many turns, so that disks hold one turn's shuffle at a time.
+PASSES = 3
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: What goes between chunks and shards. Answers also say how many words or n-grams of training texts the shard has met (seen)
+#: and kept, and the highest count of these (top).
+ROWS = "shard long, chunk string, kind int, blob binary, seen long, kept long, top long"
+_ARROW = pa.schema([("shard", pa.int64()), ("chunk", pa.string()), ("kind", pa.int32()), ("blob", pa.binary()), ("seen", pa.int64()), ("kept", pa.int64()), ("top", pa.int64())])
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * _M2
+        x = (x ^ (x >> np.uint64(27))) * _M3
+    return x ^ (x >> np.uint64(31))
 
 
 def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,388 +86,589 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def _tallied(keys: list[np.ndarray], signed: bool = True) -> pa.RecordBatch:
-    x, n = np.unique(np.concatenate(keys), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+# arrays in one piece of bytes
+def packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """A length, a JSON head (name, type, length, place), and the arrays at multiples of 8 bytes."""
+    head, at, body = [], 0, []
+    for name, a in arrays.items():
+        data = np.ascontiguousarray(a).tobytes()
+        head.append((name, np.asarray(a).dtype.str, len(np.asarray(a).ravel()), at))
+        data += bytes(-len(data) % 8)
+        body.append(data)
+        at += len(data)
+    text = json.dumps(head).encode()
+    text += b" " * (-len(text) % 8)
+    return b"".join([len(text).to_bytes(8, "little"), text, *body])
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept, size = [], 0
-    for b in batches:
-        for k in range(0, b.num_rows, BATCH):
-            h, _ = hashed(b.column(0).slice(k, BATCH).to_pylist())
-            kept.append(h)
-            size += len(h)
-            if size >= CHUNK:
-                yield _tallied(kept)
-                kept, size = [], 0
-    if kept:
-        yield _tallied(kept)
+def unpacked(data) -> dict[str, np.ndarray]:
+    n = int.from_bytes(bytes(data[:8]), "little")
+    return {name: np.frombuffer(data, kind, size, 8 + n + at) for name, kind, size, at in json.loads(bytes(data[8 : 8 + n]))}
 
 
-def _store(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """Each array a file of its own, renamed when complete, so tasks that run twice do no harm."""
-    import uuid
+def sent(arrays: dict[str, np.ndarray]) -> bytes:
+    """packed() and compressed, for the ways between chunks and shards. Bytes of one rank stand together, as they are much alike."""
+    kinds = {k: np.asarray(a).dtype.str for k, a in arrays.items()}
+    planes = {f"{k} {kinds[k]}": np.ascontiguousarray(np.asarray(a)).view(np.uint8).reshape(-1, np.asarray(a).itemsize).T.ravel() for k, a in arrays.items()}
+    raw = packed(planes)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def received(data: bytes) -> dict[str, np.ndarray]:
+    out = {}
+    for name, a in unpacked(pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)).items():
+        key, kind = name.split(" ")
+        out[key] = np.ascontiguousarray(a.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return out
+
+
+def steps_of(value: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """Values that ascend within groups of so many as their differences, the first of a group as it is."""
+    out = np.diff(np.r_[0, value.astype(np.int64)])
+    first = np.cumsum(each.astype(np.int64)) - each
+    first = first[each > 0]
+    out[first] = value[first]
+    return out
+
 
+def from_steps(steps: np.ndarray, each: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps.astype(np.int64))
+    each = each[each > 0].astype(np.int64)
+    first = np.cumsum(each) - each
+    return total - np.repeat(np.r_[0, total][first], each)
+
+
+def split_key(key: np.ndarray) -> dict[str, np.ndarray]:
+    """Ascending 64-bit keys as the steps of their upper halves, and their lower halves."""
+    upper = (key >> np.uint64(32)).astype(np.int64)
+    return {"upper": narrow(np.diff(np.r_[0, upper])), "under": narrow(key & np.uint64(0xFFFFFFFF))}
+
+
+def joined_key(arrays: dict[str, np.ndarray]) -> np.ndarray:
+    return np.cumsum(arrays["upper"], dtype=np.uint64) << np.uint64(32) | arrays["under"].astype(np.uint64)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes as they need."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def _filesystem(folder: str):
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(folder)
-    store.create_dir(root, recursive=True)
-    for key, a in arrays.items():
-        tmp = f"{root}/.{uuid.uuid4().hex}"
-        with store.open_output_stream(tmp) as f:
-            np.lib.format.write_array(f, np.ascontiguousarray(a), allow_pickle=False)
-        store.move(tmp, f"{root}/{name}.{key}.npy")
+    return fs.FileSystem.from_uri(folder)
 
 
-def _load(folder: str, name: str, key: str) -> np.ndarray:
-    """Mapped where the folder is a mounted one; read where it is a remote store."""
-    from io import BytesIO
+def _store(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """Renamed when complete, so tasks that run twice do no harm."""
+    store, root = _filesystem(folder)
+    store.create_dir(root, recursive=True)
+    tmp = f"{root}/.{uuid.uuid4().hex}"
+    with store.open_output_stream(tmp) as f:
+        f.write(packed(arrays))
+    store.move(tmp, f"{root}/{name}")
+
 
+def _load(folder: str, name: str) -> dict[str, np.ndarray]:
+    """Mapped where the folder is a mounted one; read where it is a remote store. It is one shard, whose size is bounded."""
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = _filesystem(folder)
     if isinstance(store, fs.LocalFileSystem):
-        return np.load(f"{root}/{name}.{key}.npy", mmap_mode="r")
-    with store.open_input_stream(f"{root}/{name}.{key}.npy") as f:
-        return np.load(BytesIO(f.read()))
+        return unpacked(np.memmap(f"{root}/{name}", np.uint8, "r"))
+    with store.open_input_stream(f"{root}/{name}") as f:
+        return unpacked(f.read())
 
 
 def quantised(logp: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-logp / STEP), 0, 65535).astype(np.uint16)
 
 
-class Model:
-    """The mapped model. info: folder, bits (of shards), tokens N, words V, start (first word number of each shard), levels."""
-
-    def __init__(self, info: dict):
-        self.__dict__.update(info)
-        self.norm = self.tokens + ALPHA * (self.words + 1)
-        self.start = np.asarray(self.start, np.int64)
-        self.kept: dict = {}
-
-    def _ef(self, shard: int, name: str) -> eliasfano.EliasFano:
-        key = (shard, name)
-        if key not in self.kept:
-            self.kept[key] = eliasfano.EliasFano({k: _load(self.folder, f"{shard}-{name}", k) for k in ("meta", "high", "ones", "low")})
-        return self.kept[key]
-
-    def _array(self, shard: int, name: str) -> np.ndarray:
-        key = (shard, name)
-        if key not in self.kept:
-            self.kept[key] = _load(self.folder, f"{shard}-{name}", "a")
-        return self.kept[key]
-
-    def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(shard, kind="stable")
-        ids, at = np.unique(shard[order], return_index=True)
-        yield from zip(ids.tolist(), np.split(order, at[1:]))
-
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, word number or -1) of token hashes."""
-        count, number = np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
-        shards = (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
-        for s, at in self._by_shard(shards):
-            if s not in self.filled:
-                continue
-            place = self._ef(s, "words").find(h[at])
-            known = place >= 0
-            count[at[known]] = self._array(s, "counts")[place[known]]
-            local = self._array(s, "local")[place[known]].astype(np.int64)
-            number[at[known]] = np.where(local >= 0, local + self.start[s], -1)
-        return count, number
-
-    def shard_of(self, number: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.start, number, "right") - 1
-
-    def _range(self, level: int, shard: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of nodes of the level before: first and last place of their successors, and what was added to these."""
-        pointers, values = self._ef(shard, f"pointers{level}"), self._ef(shard, f"values{level}")
-        first, last = pointers.access(node).astype(np.int64), pointers.access(node + 1).astype(np.int64)
-        base = np.zeros(len(node), np.uint64)
-        later = first > 0
-        base[later] = values.access(first[later] - 1)
-        return first, last, base
-
-    def successor(self, level: int, shard: np.ndarray, node: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Place at a level of word (its number, or its place among the shorter context's successors) after a node; -1 if missing."""
-        out = np.full(len(node), -1, np.int64)
-        for s, at in self._by_shard(shard):
-            if s < 0 or s not in self.filled:
-                continue
-            nodes, back = np.unique(node[at], return_inverse=True)
-            first, last, base = (x[back] for x in self._range(level, s, nodes))
-            live = first < last
-            at, first, last, base = at[live], first[live], last[live], base[live]
-            place = self._ef(s, f"values{level}").find(base + word[at].astype(np.uint64) + np.uint64(1))
-            good = (place >= first) & (place < last)
-            out[at[good]] = place[good]
+class Trie:
+    """A shard of a level: contexts, pointers, successors, and the logs of both."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        part = lambda name: EliasFano({k: arrays[f"{name}.{k}"] for k in ("meta", "high", "ones", "low")})
+        self.contexts, self.pointers, self.values = part("contexts"), part("pointers"), part("values")
+        self.logs, self.weights = arrays["logs"], arrays["weights"]
+
+    @staticmethod
+    def arrays(contexts: np.ndarray, owner: np.ndarray, value: np.ndarray, logs: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
+        """owner: number of the context of each successor; both ascend, and value within an owner. No context is without one."""
+        pointers = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(contexts)))].astype(np.int64)
+        values = value.astype(np.uint64) + np.uint64(1)
+        tops = np.r_[np.uint64(0), np.cumsum(values[pointers[1:] - 1], dtype=np.uint64)[:-1]] if len(contexts) else np.zeros(0, np.uint64)
+        values = values + np.repeat(tops, np.diff(pointers))
+        out = {"logs": logs, "weights": weights}
+        for name, x in (("contexts", contexts), ("pointers", pointers), ("values", values)):
+            out |= {f"{name}.{k}": a for k, a in build(x.astype(np.uint64)).items()}
         return out
 
-    def stored_log(self, kind: str, level: int, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(place))
-        for s, at in self._by_shard(shard):
-            out[at] = self._array(s, f"{kind}{level}")[place[at]] * -STEP
-        return out
+    def find(self, contexts: np.ndarray, owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(weight of each context in steps, place of each value or -1, place among its context's successors).
+        owner: which of the contexts asked for each value belongs to."""
+        node = self.contexts.find(contexts)
+        known = np.flatnonzero(node >= 0)
+        weight, first, last, base = np.zeros(len(node), np.uint16), np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.zeros(len(node), np.uint64)
+        weight[known] = self.weights[node[known]]
+        first[known] = self.pointers.access(node[known]).astype(np.int64)
+        last[known] = self.pointers.access(node[known] + 1).astype(np.int64)
+        later = known[first[known] > 0]
+        base[later] = self.values.access(first[later] - 1)
+        place = np.full(len(value), -1, np.int64)
+        ask = np.flatnonzero(node[owner] >= 0)
+        who = owner[ask]
+        at = self.values.find(base[who] + value[ask].astype(np.uint64) + np.uint64(1))
+        good = (at >= first[who]) & (at < last[who])
+        place[ask[good]] = at[good]
+        return weight, place, place - first[owner]
+
+
+# chunks
+def _encode(folder: str, names: str, size: int = CHUNK):
+    """Writes the chunks of a task into one file and tells where each is: (chunk, dictionary, tokens, training, words). The hashes
+    of their words stand in a file in another folder, for they are needed only once."""
 
-    def count_of(self, number: np.ndarray) -> np.ndarray:
-        """Counts of kept words by number."""
-        out = np.zeros(len(number), np.int64)
-        for s, at in self._by_shard(self.shard_of(number)):
-            if (s, "kept") not in self.kept:
-                self.kept[s, "kept"] = self._array(s, "counts")[np.flatnonzero(self._array(s, "local") >= 0)]
-            out[at] = self.kept[s, "kept"][number[at] - self.start[s]]
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _filesystem(folder)
+        other = _filesystem(names)[1]
+        for x in (root, other):
+            store.create_dir(x, recursive=True)
+        name = uuid.uuid4().hex
+        kept: list[tuple] = []
+        at = {}
+
+        def put(file, data: bytes) -> str:
+            low = at.get(file, 0)
+            at[file] = low + len(data)
+            file.write(data)
+            return f"{name}:{low}:{len(data)}"
+
+        def flush(file, words_file) -> pa.RecordBatch:
+            nonlocal kept
+            ids, held, h, lengths = (np.concatenate(x) for x in zip(*[(i, b, h, n) for i, b, h, n, _ in kept]))
+            null = np.concatenate([k[4] for k in kept])
+            words, local = np.unique(h, return_inverse=True)
+            key = put(file, sent({"doc": ids, "null": null, "held": held, "lengths": narrow(lengths), "ids": narrow(local)}))
+            dictionary = put(words_file, words.tobytes())
+            kept = []
+            return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([dictionary]), *[pa.array([int(x)], pa.int64()) for x in (len(h), lengths[~held].sum(), len(words))]], names=["chunk", "dictionary", "tokens", "training", "words"])
+
+        with store.open_output_stream(f"{root}/.{name}") as file, store.open_output_stream(f"{other}/.{name}") as words_file:
+            for b in batches:
+                for k in range(0, b.num_rows, BATCH):
+                    part = b.slice(k, BATCH)
+                    h, ends = hashed(part.column(2).to_pylist())
+                    docs = part.column(0)
+                    kept.append((docs.fill_null(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False), h, np.diff(np.r_[-1, ends]), docs.is_null().to_numpy(zero_copy_only=False)))
+                    if sum(len(x[2]) for x in kept) >= size:
+                        yield flush(file, words_file)
+            if kept:
+                yield flush(file, words_file)
+        for x in (root, other):
+            store.move(f"{x}/.{name}", f"{x}/{name}")
+
+    return run
+
+
+def _piece(folder: str, key: str) -> bytes:
+    store, root = _filesystem(folder)
+    name, at, n = key.split(":")
+    with store.open_input_file(f"{root}/{name}") as f:
+        return f.read_at(int(n), int(at))
+
+
+def _chunk(folder: str, key: str) -> dict[str, np.ndarray]:
+    out = received(_piece(folder, key))
+    return out | {"lengths": out["lengths"].astype(np.int64), "held": out["held"].astype(bool), "null": out["null"].astype(bool)}
+
+
+def _rows(rows: list[tuple], seen: int = 0, kept: int = 0, top: int = 0) -> pa.RecordBatch:
+    """rows: (shard, chunk, kind, blob)."""
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _ARROW[k].type) for k in range(4)] + [pa.array([x] * len(rows), pa.int64()) for x in (seen, kept, top)], schema=_ARROW)
+
+
+# words
+def _ask_words(info: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, dictionary in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c, words = _chunk(info["chunks"], key), np.frombuffer(_piece(info["names"], dictionary), np.uint64)
+                training = np.repeat(~c["held"], c["lengths"])
+                n = np.bincount(c["ids"][training], minlength=len(words))
+                shard = (words >> np.uint64(64 - info["bits"])).astype(np.int64) if info["bits"] else np.zeros(len(n), np.int64)
+                ids, first = np.unique(shard, return_index=True)
+                cuts = np.r_[first, len(n)]
+                yield _rows([(s, key, 1, sent({"h": words[i:j], "n": narrow(n[i:j])})) for s, i, j in zip(ids.tolist(), cuts[:-1], cuts[1:])])
+
+    return run
+
+
+def _words(info: dict):
+    """Level 1 of a shard. An answer: `code` (count, min_ngram for all from there on), and place and count of those kept."""
 
-    def unigram_log(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + ALPHA) / self.norm)
-
-    def log_probability(self, context: list[np.ndarray], word: np.ndarray, log1: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 p(word | context), relative place of word after the last context word, -1 if there is none).
-
-        context: word numbers, the farthest first; the relative place is what the next level stores for the word."""
-        if levels <= 1 or not len(word):
-            return log1.copy(), np.full(len(word), -1, np.int64)
-        near = context[-1]
-        far = context[-2] if levels >= 3 and len(context) >= 2 else None
-        # the pair before a word is mostly the pair of the word before: each distinct one is looked up once
-        right = (near + 1) << 32 | (word + 1)
-        left = right[:0] if far is None else (far + 1) << 32 | (near + 1)
-        pairs, where = np.unique(np.r_[right, left], return_inverse=True)
-        a, z = (pairs >> 32) - 1, (pairs & 0xFFFFFFFF) - 1
-        known = a >= 0
-        shard = np.where(known, self.shard_of(np.maximum(a, 0)), -1)
-        node = np.where(known, a - self.start[np.maximum(shard, 0)], 0)
-        place, relative, step = np.full(len(pairs), -1, np.int64), np.full(len(pairs), -1, np.int64), np.zeros(len(pairs))
-        ask = known & (z >= 0)
-        place[ask] = self.successor(2, shard[ask], node[ask], z[ask])
-        step[known] = self.stored_log("weights", 1, shard[known], node[known])
-        hit = place >= 0
-        step[hit] = self.stored_log("logs", 2, shard[hit], place[hit])
-        for s, at in self._by_shard(np.where(hit, shard, -1)):
-            if s >= 0:
-                relative[at] = place[at] - self._ef(s, "pointers2").access(node[at]).astype(np.int64)
-        ri = where[: len(word)]
-        out, rel = np.where(hit[ri], 0.0, log1) + step[ri], relative[ri]
-        if far is not None:
-            li = where[len(word) :]
-            at = np.flatnonzero(hit[li])
-            triples, back = np.unique(li[at] << 32 | ri[at], return_inverse=True)
-            li, ri = triples >> 32, triples & 0xFFFFFFFF
-            weight, tri, logs = self.stored_log("weights", 2, shard[li], place[li]), np.full(len(triples), -1, np.int64), np.zeros(len(triples))
-            ask = relative[ri] >= 0
-            tri[ask] = self.successor(3, shard[li][ask], place[li][ask], relative[ri][ask])
-            hit = tri >= 0
-            logs[hit] = self.stored_log("logs", 3, shard[li][hit], tri[hit])
-            out[at] = np.where(hit[back], logs[back], out[at] + weight[back])
-        return out, rel
-
-
-@lru_cache(maxsize=2)
-def _model(items: tuple) -> Model:
-    return Model(dict(items))
-
-
-def _frozen(info: dict) -> tuple:
-    return tuple(sorted((k, tuple(v) if isinstance(v, list) else v) for k, v in info.items()))
-
-
-def _write_words(info: dict, min_word: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        h, n = group.column("key").to_numpy().view(np.uint64), group.column("n").to_numpy()
-        order = np.argsort(h)
-        h, n = h[order], n[order]
-        kept = n >= min_word
-        s = key[0].as_py()
-        folder = info["folder"]
-        _store(folder, f"{s}-words", eliasfano.build(h))
-        _store(folder, f"{s}-counts", {"a": n.astype(np.uint32 if not len(n) or n.max() < 1 << 32 else np.int64)})
-        # numbers within the shard; the shard's first number is added at look-up
-        _store(folder, f"{s}-local", {"a": np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)})
-        return pa.table({"shard": [s], "words": [int(kept.sum())]}, schema=pa.schema([("shard", pa.int32()), ("words", pa.int64())]))
+        asked = [received(x) for x in group.column("blob").to_pylist()]
+        u, back = np.unique(np.concatenate([a["h"] for a in asked]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([a["n"] for a in asked])).astype(np.int64)
+        kept = n >= info["least"]
+        place = np.cumsum(kept) - 1
+        _store(info["folder"], f"1-{key[0].as_py()}", {f"words.{k}": a for k, a in build(u[kept]).items()} | {"counts": narrow(n[kept])})
+        rows, low = [], 0
+        for chunk, a in zip(group.column("chunk").to_pylist(), asked):
+            own = back[low : low + len(a["h"])]
+            low += len(own)
+            k = own[kept[own]]
+            rows.append((key[0].as_py(), chunk, 1, sent({"code": narrow(np.minimum(n[own], info["least"])), "place": narrow(np.diff(np.r_[0, place[k]])), "n": narrow(n[k])})))
+        return pa.Table.from_batches([_rows(rows, int((n > 0).sum()), int(kept.sum()), int(n.max()))])
 
     return run
 
 
-def _grams(info: dict, order: int):
-    """Keys of the n-grams of training texts as pairs of 64-bit numbers: (node of the first words, last word)."""
+# requests of a level
+class Request:
+    """Contexts (key, total) and their values (owner, value, n) as they go to shards; owners ascend, and values within an owner.
+    total is how often training texts hold the context, local how often those of this chunk do; the latter is sent, and summed
+    by the shard, but for contexts that several shards share."""
+
+    def __init__(self, info: dict, chunk: str, key, total, local, owner, value, n):
+        parts = parts_of(info, total)
+        self.key, self.total, self.owner, self.value, self.n = key, np.where(parts > 1, total, local), owner, value, n
+        share = np.uint64(zlib.crc32(chunk.encode())) % parts
+        self.shard, self.hot = route(info, key, share), parts > 1
+        self.by_context = np.argsort(self.shard, kind="stable")
+        self.by_value = np.argsort(self.shard[owner], kind="stable")
+
+    def blobs(self, turn: int = 0, turns: int = 1) -> Iterator[tuple[int, bytes]]:
+        each = np.bincount(self.owner, minlength=len(self.key))
+        ids, first = np.unique(self.shard[self.by_context], return_index=True)
+        low = np.searchsorted(self.shard[self.owner][self.by_value], np.r_[ids, np.iinfo(np.int64).max])
+        cuts = np.r_[first, len(self.key)]
+        for k, s in enumerate(ids.tolist()):
+            if s % turns != turn:
+                continue
+            c, v = self.by_context[cuts[k] : cuts[k + 1]], self.by_value[low[k] : low[k + 1]]
+            yield s, sent(split_key(self.key[c]) | {"total": narrow(self.total[c]), "each": narrow(each[c]), "value": narrow(steps_of(self.value[v], each[c])), "n": narrow(self.n[v])})
+
+    def hot_blobs(self, info: dict) -> Iterator[tuple[int, bytes]]:
+        """Training counts of the values of hot contexts, dealt by context and value."""
+        v = np.flatnonzero(self.hot[self.owner] & (self.n > 0))
+        if len(v):
+            o = self.owner[v]
+            shard = route(info, mix(self.key[o] ^ _M2), self.value[v].astype(np.uint64))
+            for s in np.unique(shard).tolist():
+                x, w = o[shard == s], v[shard == s]
+                yield s, sent(split_key(self.key[x]) | {"total": narrow(self.total[x]), "each": np.ones(len(x), np.uint8), "value": narrow(self.value[w]), "n": narrow(self.n[w])})
+
+    def answered(self, blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(weight of contexts, hit, count, rel of values) from the answers in order of their shards."""
+        told = [received(x) for x in blobs]
+        weight, hit = np.zeros(len(self.key), np.int64), np.zeros(len(self.value), bool)
+        weight[self.by_context] = np.concatenate([t["weight"] for t in told])
+        hit[self.by_value] = np.concatenate([np.unpackbits(t["hit"], count=int(t["values"][0])) for t in told])
+        out = []
+        for name in ("n", "rel"):
+            x = np.zeros(len(hit), np.int64)
+            x[self.by_value[hit[self.by_value]]] = np.concatenate([t[name] for t in told])
+            out.append(x)
+        return weight, hit, *out
+
+
+def parts_of(info: dict, total: np.ndarray) -> np.ndarray:
+    """How many shards share a context that occurs so often: one, unless it fills more than half of one."""
+    return np.maximum(np.ceil(2 * total.astype(np.float64) * info["shards"] / max(info["tokens"], 1)), 1).astype(np.uint64)
+
+
+def route(info: dict, key: np.ndarray, share: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(mix(key) + share * _M1) % np.uint64(info["shards"])).astype(np.int64)
+
+
+class Work:
+    """A chunk with the answers it has got so far: told[kind] is a list of (shard, blob)."""
+
+    def __init__(self, info: dict, chunk: str, told: dict[int, list[tuple[int, bytes]]]):
+        self.info, self.chunk = info, chunk
+        self.told = {k: sorted(v) for k, v in told.items()}
+        c = _chunk(info["chunks"], chunk)
+        self.doc, self.null, self.held, self.lengths, self.ids = c["doc"], c["null"], c["held"], c["lengths"], c["ids"].astype(np.int64)
+        self.training = np.repeat(~self.held, self.lengths)
+        start = info["start"]
+        count, number = [], []
+        for s, blob in self.told[1]:
+            t = received(blob)
+            n, at = t["code"].astype(np.int64), np.full(len(t["code"]), -1, np.int64)
+            kept = n >= info["least"]
+            n[kept], at[kept] = t["n"], np.cumsum(t["place"].astype(np.int64)) + start[s]
+            count.append(n)
+            number.append(at)
+        self.count, self.number = np.concatenate(count), np.concatenate(number)
+        self.log1 = np.log10((self.count + ALPHA) / (info["tokens"] + ALPHA * (info["words"] + 1)))
+        self.first = np.zeros(len(self.ids), bool)
+        self.first[np.r_[0, np.cumsum(self.lengths)[:-1]]] = True
+        before = np.r_[0, self.ids[:-1]]
+        before[self.first] = self.ids[-1]  # a chunk ends with an end token
+        # pairs by local numbers, which ascend as the words' numbers do
+        u, self.pair = np.unique(before * len(self.count) + self.ids, return_inverse=True)
+        self.left, self.right = u // len(self.count), u % len(self.count)
+        self.seen = np.bincount(self.pair[self.training], minlength=len(u))
+
+    def pairs(self) -> Request:
+        known = self.number[self.left] >= 0
+        local, where = np.unique(self.left[known], return_inverse=True)
+        good = self.number[self.right[known]] >= 0
+        self.contexts, self.asked = local, np.flatnonzero(known)[good]
+        mine = np.bincount(where, self.seen[known], minlength=len(local)).astype(np.int64)
+        return Request(self.info, self.chunk, self.number[local].astype(np.uint64) << np.uint64(32), self.count[local], mine, where[good], self.number[self.right[self.asked]], self.seen[self.asked])
+
+    def take_pairs(self) -> None:
+        n = len(self.left)
+        self.weight1, self.hit = np.zeros(len(self.count)), np.zeros(n, bool)
+        self.n, self.rel = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if 2 in self.told:
+            weight, self.hit[self.asked], self.n[self.asked], self.rel[self.asked] = self.pairs().answered([b for _, b in self.told[2]])
+            self.weight1[self.contexts] = -STEP * weight
+        self.share = np.where(self.hit, (self.n - self.info["discount"]) / np.maximum(self.count[self.left], 1), 0)
+
+    def triples(self) -> Request:
+        """Contexts are the pairs that stand before another token."""
+        later = np.flatnonzero(~self.first)
+        a, b = self.pair[later - 1], self.pair[later]
+        known = self.hit[a]
+        later, a, b = later[known], a[known], b[known]
+        self.context_pairs = np.unique(a)
+        both = self.hit[b]
+        self.at = later[both]
+        u, self.triple = np.unique(a[both] * len(self.left) + b[both], return_inverse=True)
+        x, y = u // len(self.left), u % len(self.left)
+        n = np.bincount(self.triple[self.training[self.at]], minlength=len(u))
+        c = self.context_pairs
+        key = self.number[self.left[c]].astype(np.uint64) << np.uint64(32) | self.rel[c].astype(np.uint64)
+        self.owner = np.searchsorted(c, x)
+        return Request(self.info, self.chunk, key, self.n[c], self.seen[c], self.owner, self.rel[y], n)
+
+    def scores(self) -> np.ndarray:
+        """log10 p of every token."""
+        self.take_pairs()
+        # by distinct pairs first, and by distinct triples: tokens only gather
+        p2 = self.share + 10 ** (self.weight1[self.left] + self.log1[self.right])
+        out = np.log10(p2)[self.pair]
+        if 3 in self.told:
+            weight, hit, n, _ = self.triples().answered([b for _, b in self.told[3]])
+            weight2 = np.zeros(len(self.left))
+            weight2[self.context_pairs] = -STEP * weight
+            later = np.flatnonzero(~self.first)
+            out[later] += weight2[self.pair[later - 1]]
+            share = np.where(hit, (n - self.info["discount"]) / np.maximum(self.n[self.context_pairs[self.owner]], 1), 0)[self.triple]
+            out[self.at] = np.where(share > 0, np.log10(share + 10 ** out[self.at]), out[self.at])
+        return out
+
+
+def _keep(info: dict):
+    """Rows in order of their chunk: puts the answers that a chunk has got into one file of the task, so that they need not be
+    shuffled again, and tells where they are: rows of kind 9."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(_frozen(info))
-        kept, size = [], 0
-        for b in batches:
-            for k in range(0, b.num_rows, BATCH):
-                h, ends = hashed(b.column(0).slice(k, BATCH).to_pylist())
-                u, back = np.unique(h, return_inverse=True)
-                w = m.look_up(u)[1][back]
-                first = np.zeros(len(h), bool)
-                first[0], first[ends[:-1] + 1] = True, True
-                prev = np.r_[-1, w[:-1]]
-                prev[first] = info["end"]
-                good = (w >= 0) & (prev >= 0)
-                if order == 2:
-                    kept.append(prev[good] << 32 | w[good])
-                else:
-                    two = np.r_[-1, prev[:-1]]
-                    two[first] = -1
-                    good &= two >= 0
-                    left, right = two[good] << 32 | prev[good], prev[good] << 32 | w[good]
-                    pairs, where = np.unique(np.r_[left, right], return_inverse=True)
-                    a, z = pairs >> 32, pairs & 0xFFFFFFFF
-                    shard = m.shard_of(a)
-                    place = m.successor(2, shard, a - m.start[shard], z)
-                    rel = place.copy()
-                    for s, at in m._by_shard(np.where(place >= 0, shard, -1)):
-                        if s >= 0:
-                            rel[at] = place[at] - m._ef(s, "pointers2").access(a[at] - m.start[s]).astype(np.int64)
-                    li, ri = where[: len(left)], where[len(left) :]
-                    ok = (place[li] >= 0) & (rel[ri] >= 0)
-                    kept.append(np.stack([left[ok], rel[ri][ok]], 1))
-                size += len(kept[-1])
-                if size >= CHUNK:
-                    yield _gram_batch(kept)
-                    kept, size = [], 0
-        if kept:
-            yield _gram_batch(kept)
+        store, root = _filesystem(info["known"])
+        store.create_dir(root, recursive=True)
+        name = uuid.uuid4().hex
+        at, chunk, rows = 0, None, []
+
+        def flush(file) -> pa.RecordBatch:
+            nonlocal at
+            data = packed({"kind": np.array([r[0] for r in rows], np.int64), "shard": np.array([r[1] for r in rows], np.int64), "size": np.array([len(r[2]) for r in rows], np.int64), "data": np.frombuffer(b"".join(r[2] for r in rows), np.uint8)})
+            file.write(data)
+            at += len(data)
+            return _rows([(0, chunk, 9, f"{name}:{at - len(data)}:{len(data)}".encode())])
+
+        with store.open_output_stream(f"{root}/.{name}") as file:
+            for b in batches:
+                for key, kind, shard, blob in zip(*(b.column(c).to_pylist() for c in ("chunk", "kind", "shard", "blob"))):
+                    if rows and key != chunk:
+                        yield flush(file)
+                        rows = []
+                    chunk = key
+                    rows.append((kind, shard, blob))
+            if rows:
+                yield flush(file)
+        store.move(f"{root}/.{name}", f"{root}/{name}")
 
     return run
 
 
-def _gram_batch(kept: list[np.ndarray]) -> pa.RecordBatch:
-    x = np.concatenate(kept)
-    if x.ndim == 1:
-        x, n = np.unique(x, return_counts=True)
-        left, last = x >> 32, x & 0xFFFFFFFF
-    else:
-        x = x[np.lexsort((x[:, 1], x[:, 0]))]
-        new = np.r_[True, (x[1:] != x[:-1]).any(1)] if len(x) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        n, left, last = np.diff(np.r_[at, len(x)]), x[at, 0], x[at, 1]
-    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(last, pa.int64()), pa.array(n.astype(np.int64))], names=["left", "last", "n"])
+def _work(info: dict, key: tuple, group: pa.Table) -> Work:
+    told: dict[int, list] = {}
+    for kind, shard, blob in zip(*(group.column(c).to_pylist() for c in ("kind", "shard", "blob"))):
+        if kind == 9:
+            t = unpacked(_piece(info["known"], blob.decode()))
+            data, cuts = t["data"].tobytes(), np.r_[0, np.cumsum(t["size"])]
+            for k, s, i, j in zip(t["kind"].tolist(), t["shard"].tolist(), cuts[:-1], cuts[1:]):
+                told.setdefault(k, []).append((s, data[i:j]))
+        else:
+            told.setdefault(kind, []).append((shard, blob))
+    return Work(info, key[0].as_py(), told)
 
 
-def _write_level(info: dict, level: int, discount: float):
-    """Builds a level of a shard from (left, last, n): at level 2 words, at level 3 a pair of words and a relative place."""
+def _ask(info: dict, level: int, hot: bool, turn: int = 0, turns: int = 1):
+    """Requests of a chunk at a level to the shards whose turn it is; hot: only the training counts of contexts that several
+    shards share, to any shard."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        m = Model(info)
-        s = key[0].as_py()
-        left, last, n = (group.column(c).to_numpy() for c in ("left", "last", "n"))
-        order = np.lexsort((last, left))
-        left, last, n = left[order], last[order], n[order]
-        if level == 2:
-            node, nodes, word, context = left - m.start[s], int(info["sizes"][s]), last, [left]
-            local, counts = m._array(s, "local"), m._array(s, "counts")
-            total = counts[np.flatnonzero(local >= 0)].astype(np.float64)
-        else:
-            a, b = left >> 32, left & 0xFFFFFFFF
-            node = m.successor(2, np.full(len(a), s), a - m.start[s], b)
-            order = np.argsort(node, kind="stable")
-            node, last, n, a, b = node[order], last[order], n[order], a[order], b[order]
-            order = np.lexsort((last, node))
-            node, last, n, a, b = node[order], last[order], n[order], a[order], b[order]
-            total = m._array(s, "counts2").astype(np.float64)
-            nodes, context = len(total), [b]
-            # the word itself: the successor of b at the relative place
-            word = np.empty(len(b), np.int64)
-            shard = m.shard_of(b)
-            for t, at in m._by_shard(shard):
-                first, _, base = m._range(2, t, b[at] - m.start[t])
-                word[at] = (m._ef(t, "values2").access(first + last[at]) - base).astype(np.int64) - 1
-        pointers = np.r_[0, np.cumsum(np.bincount(node, minlength=nodes))]
-        # each node's values stand on the last value of the node before
-        values = last.astype(np.uint64) + np.uint64(1)
-        filled = np.flatnonzero(np.diff(pointers))
-        tops = np.r_[np.uint64(0), np.cumsum(values[pointers[filled + 1] - 1], dtype=np.uint64)[:-1]] if len(filled) else np.zeros(0, np.uint64)
-        values = values + np.repeat(tops, np.diff(pointers)[filled])
-        # pointers are looked up for nodes; equal ones (nodes without successors) are allowed in the sequence
-        _store(info["folder"], f"{s}-pointers{level}", eliasfano.build(pointers.astype(np.uint64)))
-        _store(info["folder"], f"{s}-values{level}", eliasfano.build(values))
-        gain = np.maximum(n - discount, 0) / total[node]
-        weight = 1 - np.bincount(node, gain, minlength=nodes)
-        weight = np.maximum(weight, 1e-9)
-        _store(info["folder"], f"{s}-weights{level - 1}", {"a": quantised(np.log10(weight))})
-        if level == 2:
-            _store(info["folder"], f"{s}-counts2", {"a": n.astype(np.int64)})
-        u, back = np.unique(word, return_inverse=True)
-        log1 = m.unigram_log(m.count_of(u))[back] if len(u) else np.zeros(0)
-        lower, _ = m.log_probability(context, word, log1, level - 1)
-        _store(info["folder"], f"{s}-logs{level}", {"a": quantised(np.log10(gain + weight[node] * 10**lower))})
-        return pa.table({"shard": [s], "grams": [len(n)]}, schema=pa.schema([("shard", pa.int32()), ("grams", pa.int64())]))
+        w = _work(info, key, group)
+        if level == 3:
+            w.take_pairs()
+        request = w.triples() if level == 3 else w.pairs()
+        blobs = request.hot_blobs(info) if hot else request.blobs(turn, turns)
+        return pa.Table.from_batches([_rows([(s, w.chunk, 0, b) for s, b in blobs])], _ARROW)
 
     return run
 
 
-def train(docs: DataFrame, order: int = 3, min_word: int = 5, min_ngram: int = 2, folder: str | None = None) -> dict:
-    """Counts the documents and writes the model; returns what a Model is opened with (small: a few numbers a shard)."""
-    spark = docs.sparkSession
-    texts = docs.select("text")
-    counts = stored(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
-    bits = max(0, (int(total.tokens) // SHARD_TOKENS).bit_length())
-    info = {"folder": folder or fresh_dir(spark, "ngrams"), "bits": bits, "tokens": int(total.tokens), "words": int(total.words), "start": [0], "sizes": {}, "filled": [], "end": -1, "levels": 1}
-    shard = (F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0)).cast("int")
-    made = counts.withColumn("shard", shard).groupBy("shard").applyInArrow(_write_words(info, min_word), "shard int, words long").collect()  # a row a shard
-    sizes = {r.shard: r.words for r in made}
-    every = [sizes.get(s, 0) for s in range(1 << bits)]
-    info |= {"start": np.r_[0, np.cumsum(every)[:-1]].tolist(), "sizes": every, "filled": sorted(sizes)}
-    if not made:
-        return info
-    end = Model(info | {"levels": 1})
-    info["end"] = int(end.look_up(np.array([END], np.uint64))[1][0])
-    for level in range(2, order + 1):
-        grams = texts.mapInArrow(_grams(info, level), "left long, last long, n long").groupBy("left", "last").agg(F.sum("n").alias("n")).where(F.col("n") >= min_ngram)
-        first = F.col("left") if level == 2 else F.shiftright("left", 32)
-        starts = F.array(*[F.lit(x).cast("long") for x in info["start"]])
-        # shards are ranges of word numbers; empty shards share a start with the next and get nothing
-        of = F.size(F.filter(starts, lambda x: x <= first)) - 1
-        kept = stored(grams.withColumn("shard", of.cast("int")), "grams")
-        blank = spark.createDataFrame([(s, -1, -1, 0) for s in info["filled"]], "shard int, left long, last long, n long")
-        rows = kept.select("shard", "left", "last", "n").unionByName(blank)
-        rows.groupBy("shard").applyInArrow(_without_blank(_write_level(info, level, DISCOUNT)), "shard int, grams long").write.format("noop").mode("overwrite").save()
-        dropped(kept)
-        info = info | {"levels": level}
-    dropped(counts)
-    return info
-
-
-def _without_blank(run):
-    """Every shard has a blank row, so that shards without n-grams are written too."""
-    return lambda key, group: run(key, group.filter(pa.compute.greater(group.column("n"), 0)))
-
-
-def _score(info: dict):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(_frozen(info))
-        for whole in batches:
-            for k in range(0, whole.num_rows, BATCH):
-                b = whole.slice(k, BATCH)
-                h, ends = hashed(b.column(2).to_pylist())
-                u, back = np.unique(h, return_inverse=True)
-                c, w = (x[back] for x in (m.look_up(u) if m.filled else (np.zeros(len(u), np.int64), np.full(len(u), -1))))
-                log1 = m.unigram_log(c) if m.tokens else np.full(len(h), np.log10(ALPHA / m.norm))
-                starts = np.r_[0, ends[:-1] + 1]
-                score = log1
-                if m.levels >= 2:
-                    first = np.zeros(len(h), bool)
-                    first[starts] = True
-                    prev = np.r_[-1, w[:-1]]
-                    prev[first] = m.end
-                    two = np.r_[-1, prev[:-1]]
-                    two[first] = -1
-                    score = m.log_probability([two, prev], w, log1, m.levels)[0]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(np.diff(np.r_[starts, len(h)])), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(log1, starts)), pa.array(np.add.reduceat(score, starts))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-                )
+def _each(run):
+    """run for groups of one row."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = pa.Table.from_batches([b.slice(k, 1)])
+                yield from run((row.column("chunk")[0],), row).to_batches()
+
+    return each
+
+
+def _shared(info: dict):
+    """Sums the counts of hot contexts' values and sends those kept to every shard that answers for the context."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        asked = [received(x) for x in group.column("blob").to_pylist()]
+        context, total, value, n = (np.concatenate([joined_key(a) if k == "key" else a[k] for a in asked]) for k in ("key", "total", "value", "n"))
+        contexts, first, owner = np.unique(context, return_index=True, return_inverse=True)
+        u, at, back = np.unique(owner.astype(np.uint64) << np.uint64(32) | value.astype(np.uint64), return_index=True, return_inverse=True)
+        sums = np.bincount(back, n)
+        kept = sums >= info["least"]
+        owner, value, sums = (u[kept] >> np.uint64(32)).astype(np.int64), value[at[kept]], sums[kept].astype(np.int64)
+        total = total[first]
+        parts = parts_of(info, total)
+        target = np.concatenate([np.stack([np.flatnonzero(parts > p), route(info, contexts[parts > p], np.full(int((parts > p).sum()), p, np.uint64))], 1) for p in range(int(parts.max()))])
+        target = np.unique(target[:, ::-1], axis=0)  # (shard, context), once each
+        rows = []
+        for s in np.unique(target[:, 0]).tolist():
+            own = np.zeros(len(contexts), bool)
+            own[target[target[:, 0] == s, 1]] = True
+            v = np.flatnonzero(own[owner])
+            names, where = np.unique(owner[v], return_inverse=True)
+            if len(v):
+                rows.append((s, "", 1, sent(split_key(contexts[names]) | {"total": narrow(total[names]), "each": narrow(np.bincount(where)), "value": narrow(steps_of(value[v], np.bincount(where))), "n": narrow(sums[v])})))
+        return pa.Table.from_batches([_rows(rows)], _ARROW)
+
+    return run
+
+
+def _level(info: dict, level: int):
+    """Builds a shard of a level from the requests of all chunks, and answers these from it."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        asked = [received(x) for x in group.column("blob").to_pylist()]
+        shared = np.array(group.column("kind").to_pylist()) == 1
+        contexts, back = np.unique(np.concatenate([joined_key(a) for a in asked]), return_inverse=True)
+        totals, owners = np.concatenate([a["total"] for a in asked]).astype(np.float64), np.repeat(shared, [len(a["under"]) for a in asked])
+        total = np.bincount(back, totals, minlength=len(contexts))
+        total[back[owners]] = totals[owners]
+        sizes = np.array([(len(a["under"]), len(a["value"])) for a in asked])
+        owner = np.repeat(back, np.concatenate([a["each"] for a in asked]))
+        # what several shards share was summed before; where nothing of it was kept, nothing of a share of it can be
+        whole = np.zeros(len(contexts), bool)
+        from_shared = np.repeat(shared, sizes[:, 1])
+        whole[owner[from_shared]] = True
+        n = np.concatenate([a["n"] for a in asked]).astype(np.float64)
+        n[whole[owner] & ~from_shared] = 0
+        pair = owner.astype(np.uint64) << np.uint64(32) | np.concatenate([from_steps(a["value"], a["each"]) for a in asked]).astype(np.uint64)
+        u, inverse = np.unique(pair, return_inverse=True)
+        n = np.bincount(inverse, n, minlength=len(u))
+        owner, value = (u >> np.uint64(32)).astype(np.int64), u & np.uint64(0xFFFFFFFF)
+        kept = np.flatnonzero(n >= info["least"])
+        gain = (n[kept] - info["discount"]) / total[owner[kept]]
+        weight = np.maximum(1 - np.bincount(owner[kept], gain, minlength=len(contexts)), 1e-9)
+        names, node = np.unique(owner[kept], return_inverse=True)
+        place = f"{level}-{key[0].as_py()}"
+        _store(info["folder"], place, Trie.arrays(contexts[names], node, value[kept], quantised(np.log10(gain)), quantised(np.log10(weight[names]))))
+        trie = Trie(_load(info["folder"], place))
+        steps, at, rel = trie.find(contexts, owner, value)
+        # counts go in fewer bytes than logarithms: to the unit below some 1,700, and beyond that as near as the logarithms are
+        logs = trie.logs[np.maximum(at, 0)] if len(trie.logs) else np.zeros(len(at), np.uint16)
+        told = np.rint(10 ** (-STEP * logs) * total[owner] + info["discount"]).astype(np.int64)
+        rows, c, v = [], 0, 0
+        for chunk, alone, (nc, nv) in zip(group.column("chunk").to_pylist(), ~shared, sizes.tolist()):
+            own = inverse[v : v + nv]
+            if alone:
+                hit = at[own] >= 0
+                h = own[hit]
+                none = np.zeros(len(h) if level == 3 else 0, np.uint8)  # only pairs have successors that are numbered by them
+                rows.append((key[0].as_py(), chunk, level, sent({"weight": steps[back[c : c + nc]], "values": np.array([nv]), "hit": np.packbits(hit), "n": narrow(told[h]), "rel": none if level == 3 else narrow(rel[h])})))
+            c, v = c + nc, v + nv
+        return pa.Table.from_batches([_rows(rows, int((n > 0).sum()), len(kept), int(n[kept].max()) if len(kept) else 0)], _ARROW)
 
     return run
 
 
-def score(docs: DataFrame, folds: int = 10, **parameters) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == 0
+def _scored(info: dict):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        w = _work(info, key, group)
+        score, base, known = w.scores(), w.log1[w.ids], w.count[w.ids] > 0
+        starts = np.r_[0, np.cumsum(w.lengths)[:-1]]
+        return pa.table(
+            [pa.array(w.doc, pa.int64(), mask=w.null), pa.array(w.held), pa.array(w.lengths), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score, starts))],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+    return run
+
+
+def score(docs: DataFrame, folds: int = 10, order: int = 3, min_ngram: int = 2, discount: float = DISCOUNT, folder: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document. The model is left in folder."""
+    spark = docs.sparkSession
+    out = F.col("doc_id").isNull() | (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), "text")
-    info = train(rows.where(~F.col("held_out")), **parameters)
-    scored = rows.mapInArrow(_score(info), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    info = {"folder": folder or fresh_dir(spark, "ngrams"), "chunks": fresh_dir(spark, "tokens"), "names": fresh_dir(spark, "dictionaries"), "known": fresh_dir(spark, "known"), "least": min_ngram, "discount": discount}
+    chunks = stored(rows.mapInArrow(_encode(info["chunks"], info["names"]), "chunk string, dictionary string, tokens long, training long, words long"), "chunks")
+    all_ = chunks.agg(F.coalesce(F.sum("training"), F.lit(0)).alias("training"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    info |= {"tokens": int(all_.training), "bits": max((int(all_.words) // SHARD_WORDS).bit_length(), (tasks - 1).bit_length()), "shards": max(tasks, -(-int(all_.training) // SHARD_TOKENS))}
+    told = stored(chunks.select("chunk", "dictionary").mapInArrow(_ask_words(info), ROWS).groupBy("shard").applyInArrow(_words(info), ROWS), "words")
+    removed(spark, info["names"])
+    made = told.groupBy("shard").agg(F.max("seen").alias("seen"), F.max("kept").alias("kept"), F.max("top").alias("top")).collect()  # a row for each shard of words
+    kept = {r.shard: r.kept for r in made}
+    every = [kept.get(s, 0) for s in range(1 << info["bits"])]
+    if sum(every) >= 1 << 32:
+        raise ValueError("words are numbered in 32 bits; raise min_ngram")
+    info |= {"start": np.r_[0, np.cumsum(every)[:-1]].tolist(), "words": sum(r.seen for r in made)}
+    top = max((r.top for r in made), default=0)
+    for level in range(2, order + 1):
+        if level == 2:
+            turns = 1
+            ask = lambda hot, turn: told.groupBy("chunk").applyInArrow(_ask(info, 2, hot), ROWS)  # noqa: B023, E731
+        else:
+            # from here on a chunk's answers stand in files, and a row names them: rows are few and small, and dealt out evenly
+            words = told
+            both, share = words.unionByName(answers), F.pmod(F.crc32("chunk"), F.lit(PASSES))
+            told = reduce(DataFrame.unionByName, [stored(both.where(share == turn).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_keep(info), ROWS), "known") for turn in range(PASSES)])
+            dropped(words, *parts)
+            turns = PASSES
+            dealt = told.repartition(max(tasks, chunks.count()))
+            ask = lambda hot, turn: dealt.mapInArrow(_each(_ask(info, 3, hot, turn, turns)), ROWS)  # noqa: B023, E731
+        parts = []
+        for turn in range(turns):
+            asked = ask(False, turn)
+            if 2 * top * info["shards"] > info["tokens"]:
+                shared = ask(True, turn).groupBy("shard").applyInArrow(_shared(info), ROWS)
+                asked = asked.unionByName(shared.where(F.col("shard") % turns == turn))
+            parts.append(stored(asked.groupBy("shard").applyInArrow(_level(info, level), ROWS), f"level{level}"))
+        answers = reduce(DataFrame.unionByName, parts)
+        top = answers.agg(F.max("top")).first()[0] or 0
+    if order > 1:
+        told = told.unionByName(answers)
+    form = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    by_turn = [told.where(F.pmod(F.crc32("chunk"), F.lit(PASSES)) == turn).groupBy("chunk").applyInArrow(_scored(info), form) for turn in range(PASSES)]
+    scored = reduce(DataFrame.unionByName, [stored(x, "scores") for x in by_turn])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(info["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
