@@ -22,21 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmark.llm.license_texts import LICENSES, NOTICES
+
 WIDTH, CONTAINMENT, MISS, ROWS = 5, 0.8, 1e-4, 2
-#: Short public notices.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "BSD-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+TEMPLATES = NOTICES | LICENSES
 _KEEP = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -186,6 +175,11 @@ def _run(templates: Templates):
     return run
 
 
+def templates_of(table: DataFrame) -> dict[str, str]:
+    """Templates from a table(name, text), for scan(). A reference list: it is read on the driver and sent to every task."""
+    return {r.name: r.text for r in table.where("name is not null and text is not null").select("name", "text").collect()}
+
+
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, containment: float = CONTAINMENT, miss: float = MISS) -> DataFrame:
     """A row for each match: doc_id, license, start_word, end_word (exclusive), containment."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
