@@ -1,8 +1,9 @@
 """URL filtering by association rules.
 
 Labelled URLs become baskets of tokens (host labels and suffixes, path words, endings, query keys) with their class as one
-more token. FP-growth finds the frequent token combinations; rules towards the bad class are pruned by support, confidence
-and, where a shorter rule says the same at least as surely, redundancy. The rules that are left stand in an inverted index
+more token. FP-growth finds the frequent token combinations; rules towards the bad class are pruned by support, by confidence
+(its lower bound, `sigmas` deviations below what was seen, must be `lift` times the share of bad URLs) and, where a shorter
+rule says the same at least as surely, redundancy. The rules that are left stand in an inverted index
 under their rarest token; a URL meets the rules listed under its tokens and is blocked if it holds all tokens of one. A
 list of given host and path rules comes before: of the given rules that fit, the longest decides.
 
@@ -56,24 +57,34 @@ def parsed(pages: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(tokens(F.col("url"), F.col("host"), F.col("path"))))
 
 
-def mine(rows: DataFrame, labels: DataFrame, support: float, confidence: float, least: int) -> DataFrame:
-    """Stored (rule_id, need, confidence, support): token sets that speak for the bad class. rows: of parsed()."""
+def surely(hit: Column, n: Column, sigmas: float) -> Column:
+    """Wilson's lower bound of a share of which hit in n was seen."""
+    share, z = hit / n, sigmas * sigmas
+    return (share + z / (2 * n) - sigmas * F.sqrt(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
+
+
+def mine(rows: DataFrame, labels: DataFrame, support: float, lift: float, sigmas: float, least: int) -> DataFrame:
+    """Stored (rule_id, need, confidence, support, base, sure): token sets that speak for the bad class, the share of bad URLs,
+    and the bound of their confidence. rows: of parsed()."""
     number = F.expr("try_cast(regexp_extract(path, '/([0-9]+)(?:[/.]|$)', 1) as bigint)")
     bad = (F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     judged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.when(bad, 1).otherwise(0)).alias("bad"))
     baskets = rows.where("host <> ''").select("tokens", number.alias("doc_id")).join(judged, "doc_id")
     baskets = stored(baskets.select(F.array_append("tokens", F.when(F.col("bad") == 1, BAD).otherwise(GOOD)).alias("items")), "baskets")
-    n = baskets.count()
-    empty = rows.sparkSession.createDataFrame([], "rule_id string, need array<string>, confidence double, support double")
-    if not n:
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", BAD))
-    rules = stored(rules.select(F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"), F.array_sort("antecedent").alias("need"), "confidence", "support"), "rules")
+    seen = baskets.agg(F.count("*").alias("n"), F.count_if(F.array_contains("items", BAD)).alias("bad")).first()
+    if not seen.bad:
+        return rows.sparkSession.createDataFrame([], "rule_id string, need array<string>, confidence double, support double, base double, sure double")
+    n, base = seen.n, seen.bad / seen.n
+    wanted = min(1.0, lift * base)
+    # what the bound lets through has a higher confidence still
+    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=wanted).fit(baskets)
+    hit = F.rint(F.col("support") * n)
+    rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") > 0)).withColumn("sure", surely(hit, F.rint(hit / F.col("confidence")), sigmas))
+    rules = stored(rules.where(F.col("sure") >= wanted).select(F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"), F.array_sort("antecedent").alias("need"), "confidence", "support", F.lit(base).alias("base"), "sure"), "rules")
     # a rule with a shorter one inside it that is at least as sure adds nothing: the shorter ones are its subsets by one token
     shorter = rules.select("rule_id", "confidence", "need", F.explode("need").alias("out")).select("rule_id", "confidence", F.array_join(F.array_remove("need", F.col("out")), " ").alias("sub"))
     redundant = shorter.join(rules.select(F.col("rule_id").alias("sub"), F.col("confidence").alias("c")), "sub").where("c >= confidence").select("rule_id").distinct()
-    return stored(rules.join(redundant, "rule_id", "left_anti").where(F.size("need") > 0), "rules")
+    return stored(rules.join(redundant, "rule_id", "left_anti"), "rules")
 
 
 def blocked(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -87,10 +98,10 @@ def blocked(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("url").agg(F.max_by("rule_id", F.struct("confidence", "rule_id")).alias("by"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, given: Sequence[tuple[str, str, str]] = GIVEN, support: float = 0.001, confidence: float = 0.6, least: int = 10) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, given: Sequence[tuple[str, str, str]] = GIVEN, support: float = 0.001, lift: float = 1.5, sigmas: float = 4.0, least: int = 10) -> DataFrame:
     """page_id, url, host, path, rule (the given rule or null), verdict, mined (the mined rule that blocks, or null)."""
     rows = parsed(pages)
-    rules = mine(rows, labels, support, confidence, least)
+    rules = mine(rows, labels, support, lift, sigmas, least)
     hit = stored(blocked(rows, rules).select(F.col("url").alias("u"), "by"), "blocked")
     out = rows.join(small(hit), F.col("url") == F.col("u"), "left").withColumn("g", given_rule(F.col("host"), F.col("path"), given))
     verdict = F.coalesce(F.col("g.verdict"), F.when(F.col("by").isNotNull(), "block").otherwise("allow"))
