@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import let, small, split_words, stored
+from leafmark.llm.common import let, small, split_words, stored, unused
 
 SEPARATORS = r"\x20\x09-\x0D"
 SYMBOLS = r"[#*$%&|<>]"
@@ -129,18 +129,23 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float, delta: float)
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, stratum: str = "lang", min_words: int = 50, max_repeat: int = 50) -> DataFrame:
-    """Per document the base counts, base_failed, kept and the rules that rejected it (failed_rules)."""
+    """Per document its text hash h, stratum, the base counts, base_failed, kept and the rules that rejected it (failed_rules)."""
     measured = stored(features(docs, stratum), "features")
     cutoffs = stored(calibrate(measured, labels, risk, delta), "cutoffs").select(F.col("stratum").alias("s"), "cutoffs")
     out = measured.join(small(cutoffs), F.col("stratum").eqNullSafe(F.col("s")), "left")
     over = [F.when(metric >= F.col("cutoffs")[name], F.lit(name)) for name, (metric, _) in rules().items()]
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     failed = F.array_compact(F.array(*over))
-    return out.select("doc_id", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), failed.alias("failed_rules"))
+    return out.select("doc_id", "h", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), failed.alias("failed_rules"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The documents that are kept, with all their columns."""
+    """The documents that are kept, with all their columns, whatever these are called. Null and empty texts have no words and go;
+    a null id is an id like others; repeated rows go or stay together."""
     verdicts = judge(docs, labels, **parameters)
-    out = stored(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct(), "rejected")
-    return docs.join(small(out, 1_000_000), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti")
+    d, h = unused(docs, "d", "h")
+    # the stratum decides too, so rows of one id and text in several strata may be judged apart
+    k = unused(docs, "k")[0]
+    out = stored(verdicts.where(~F.col("kept")).select("doc_id", "h", "stratum").distinct().toDF(d, h, k), "rejected")
+    same = docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)) & docs[parameters.get("stratum", "lang")].cast("string").eqNullSafe(F.col(k))
+    return docs.join(small(out, 1_000_000), same, "left_anti")
