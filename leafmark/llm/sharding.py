@@ -161,3 +161,15 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int | None = None) -> DataFr
     n = placed.count()
     out = ranked(placed, ["shard"], [F.xxhash64("id"), F.col("id")], max(1, n // BUCKET_ROWS // shards), "slot")
     return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("hub").isNotNull().alias("linked"))
+
+
+def cut(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row: groups of equal texts, groups that stand in several shards, links (pairs of equal documents), cut links. placed: of
+    shard(docs); equal documents have equal size and checksum, and are told apart beyond that by their text's hash."""
+    key = docs.where("text is not null").select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("key"), F.crc32("text").alias("c"))
+    rows = placed.where("linked").join(key, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_crc32") == F.col("c")))
+    here = rows.groupBy("key", "size", "text_crc32", "shard").agg(F.countDistinct("shard", "slot").alias("n"))
+    pairs = lambda n: n * (n - 1) / 2
+    groups = here.groupBy("key", "size", "text_crc32").agg(F.sum("n").alias("all"), F.count("*").alias("shards"), F.sum(pairs(F.col("n"))).alias("kept"))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return groups.agg(F.count("*").alias("groups"), F.count_if(F.col("shards") > 1).alias("split_groups"), whole(pairs(F.col("all"))).alias("links"), whole(pairs(F.col("all")) - F.col("kept")).alias("cut_links"))
