@@ -4,7 +4,8 @@ Patterns propose candidate spans. Labelers vote on each (1 yes, -1 no, 0 abstain
 it that name or deny the kind (gazetteer), the characters around it (context), and the look of the value (shape). Counts of
 vote patterns by kind, a table of bounded size, go through expectation-maximisation, which finds how reliable each labeler
 is and how likely each pattern is personal data. A logistic regression trained on those likelihoods is the final span
-classifier. The four base kinds (email, ip, card, phone) stay whenever their own check holds; the classifier decides on the
+classifier; beside the votes it sees the span itself: its length, shares of digits, capitals and different characters, and the
+hashed word before it, so it can part spans that the labelers take for the same. The four base kinds (email, ip, card, phone) stay whenever their own check holds; the classifier decides on the
 other candidates: secrets, national phone numbers, social security numbers, IBANs and spelled-out e-mail addresses.
 
 Positions count code points, ends are exclusive. A null or empty text has no spans. Repeated rows are judged alike, each on
@@ -20,7 +21,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import let, stored
+from leafmark.llm.common import let, stored, unused
 
 #: The base patterns; possessive forms and anchors only save the engine from trying again where nothing can match.
 _OCTET = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
@@ -44,9 +45,11 @@ NAMES = {
     "secret": "token|secret|passw|api|key|auth|credential|bearer", "national": "tel|phone|call|fax|mobile|cell", "ssn": "ssn|social|security", "iban": "iban|bank|account", "spelled": "mail|contact|write",
 }
 HARMLESS = "version|isbn|issn|commit|sha1|sha256|md5|checksum|build|doi|figure|section|page|id="
-#: No labeler is believed beyond this, and a span is added at this probability: two labelers at least must speak for it.
-MOST, ADDED = 0.9, 0.95
+#: No labeler is believed beyond this, and a span is added at this probability, if so many more labelers speak for than against it.
+MOST, ADDED, NET = 0.9, 0.95, 2
 LABELERS = ("format", "gazetteer", "context", "shape")
+#: What the classifier sees of a span beside the votes, each a small number from 0 on, and how many values it has.
+LOOK = {"long": 2, "digits": 4, "capitals": 3, "variety": 3, "word": 9}
 BASE, KINDS = tuple(PATTERNS), (*PATTERNS, *MORE)
 
 
@@ -100,14 +103,28 @@ def _votes(kind: str, s: Column) -> Column:
     return F.struct(form.cast("int").alias("format"), gazetteer.cast("int").alias("gazetteer"), context.cast("int").alias("context"), shape.cast("int").alias("shape"))
 
 
+def _look(s: Column) -> Column:
+    """struct of LOOK: length over 24; digits, capitals and different characters by their share; the last word before by its hash."""
+    value = s["value"]
+    size = F.char_length(value)
+    share = lambda pattern: F.char_length(F.regexp_replace(value, pattern, "")) / size
+    variety = F.size(F.array_distinct(F.split(value, ""))) / size
+    word = F.regexp_extract(F.lower(s["before"]), r"([a-z]+)[^a-z]*$", 1)
+    return F.struct(
+        (size >= 24).cast("int").alias("long"), F.least(F.floor(share("[^0-9]") * 4), F.lit(3)).cast("int").alias("digits"),
+        F.when(share("[^A-Z]") == 0, 0).when(share("[^A-Z]") < 0.5, 1).otherwise(2).alias("capitals"), F.when(variety < 0.3, 0).when(variety < 0.6, 1).otherwise(2).alias("variety"),
+        F.when(word == "", 0).otherwise(F.pmod(F.crc32(word), F.lit(LOOK["word"] - 1)) + 1).cast("int").alias("word"),
+    )
+
+
 def _shaped(found: Column, kind: str, order: int) -> Column:
     """The candidates of a kind with their votes; matches of a base kind that fail its check are dropped."""
     own = F.filter(found, lambda s: valid(kind, s["value"])) if kind in BASE else found
-    return F.transform(own, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.lit(kind in BASE).alias("base"), _votes(kind, s).alias("votes"), (F.char_length(s["value"]) >= 24).cast("int").alias("long")))
+    return F.transform(own, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.lit(kind in BASE).alias("base"), _votes(kind, s).alias("votes"), _look(s).alias("look")))
 
 
 def candidate_spans(text: Column) -> Column:
-    """array of (start, order, kind, end, base, votes, long) of a text, ordered; bases that fail are gone."""
+    """array of (start, order, kind, end, base, votes, look) of a text, ordered; bases that fail are gone."""
     hints = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9](?:[ -]?[0-9]){13}"), "phone": text.contains("+")}
     hints |= {k: text.rlike(hint) for k, (_, hint) in MORE.items()}
     patterns = PATTERNS | {k: p for k, (p, _) in MORE.items()}
@@ -144,8 +161,9 @@ def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50)
 
 
 def train(found: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """(weights of the span classifier by feature, reliabilities). The table of patterns has at most 3^4 x 2 rows a kind."""
-    flat = found.select(F.explode("spans").alias("s")).groupBy("s.kind", *[f"s.votes.{x}" for x in LABELERS], "s.long").count()
+    """(weights of the span classifier by feature, reliabilities). The table of patterns and looks is bounded by their values
+    (81 x 648 a kind), few of which occur."""
+    flat = found.select(F.explode("spans").alias("s")).groupBy("s.kind", *[f"s.votes.{x}" for x in LABELERS], *[f"s.look.{x}" for x in LOOK]).count()
     rows = flat.collect()
     if not rows:
         return {}, {}
@@ -158,12 +176,14 @@ def train(found: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors
 
-    names = [*LABELERS, "long", *[f"is_{k}" for k in MORE]]
+    looks = [(x, v) for x, n in LOOK.items() for v in range(1, n)]
+    names = [*LABELERS, *[f"is_{k}" for k in MORE], *[f"{x}_{v}" for x, v in looks]]
     data = []
-    seen = [(r["kind"], tuple(r[x] for x in LABELERS), r["long"], r["count"]) for r in rows]
-    for kind, votes, long, n in [*seen, *[(k, v, long, 1) for k, v in merged for long in (0, 1)]]:
+    seen = [(r["kind"], tuple(r[x] for x in LABELERS), tuple(float(r[x] == v) for x, v in looks), r["count"]) for r in rows]
+    plain = (0.0,) * len(looks)
+    for kind, votes, look, n in [*seen, *[(k, v, plain, 1) for k, v in merged]]:
         p = post[kind, votes]
-        x = Vectors.dense([*map(float, votes), float(long), *[float(kind == k) for k in MORE]])
+        x = Vectors.dense([*map(float, votes), *[float(kind == k) for k in MORE], *look])
         data += [(x, 1.0, p * n), (x, 0.0, (1 - p) * n)]
     frame = found.sparkSession.createDataFrame(data, ["features", "label", "w"])
     model = LogisticRegression(weightCol="w", regParam=1e-3, maxIter=50, standardization=False).fit(frame.coalesce(1))
@@ -174,13 +194,16 @@ def chosen(spans: Column, weights: dict[str, float]) -> Column:
     """array of (start, order, kind, end, base): the base spans and those the classifier adds beside them."""
 
     def score(s: Column) -> Column:
-        total = F.lit(weights.get("bias", -10.0)) + s["long"] * weights.get("long", 0.0)
+        total = F.lit(weights.get("bias", -10.0))
         for x in LABELERS:
             total = total + s["votes"][x] * weights.get(x, 0.0)
+        for x, n in LOOK.items():
+            total = total + F.get(F.array(*[F.lit(weights.get(f"{x}_{v}", 0.0)) for v in range(n)]), s["look"][x])
         return total + sum((F.when(s["kind"] == k, weights.get(f"is_{k}", 0.0)).otherwise(0.0) for k in MORE), F.lit(0.0))
 
     clear = lambda all_, s: ~F.exists(all_, lambda b: b["base"] & (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    kept = let(spans, lambda all_: F.filter(all_, lambda s: s["base"] | ((score(s) > math.log(ADDED / (1 - ADDED))) & clear(all_, s))))
+    net = lambda s: sum((s["votes"][x] for x in LABELERS), F.lit(0))
+    kept = let(spans, lambda all_: F.filter(all_, lambda s: s["base"] | ((net(s) >= NET) & (score(s) > math.log(ADDED / (1 - ADDED))) & clear(all_, s))))
     # the kinds under which added spans are told
     public = lambda k: F.when(k == "national", "phone").when(k == "spelled", "email").otherwise(k)
     return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), public(s["kind"]).alias("kind"), s["end"].alias("end"), s["base"].alias("base")))
@@ -195,18 +218,20 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; n_chars, where present, is counted again. Once the
-    classifier is trained, spans are found again in each row, so no text is shuffled."""
+    classifier is trained, spans are found again in each row, so no text is shuffled. All columns stay, whatever they are called; a
+    null text stays null, an empty one empty; repeated rows are treated alike."""
     weights, _ = train(candidates(docs))
-    rows = docs.withColumn("_s", chosen(candidate_spans(F.coalesce("text", F.lit(""))), weights))
-    text = docs["text"]
+    spans, fresh_text = unused(docs, "s", "new")
+    rows = docs.withColumn(spans, chosen(candidate_spans(F.coalesce("text", F.lit(""))), weights))
+    text = F.col("text")
 
     def step(a: Column, s: Column) -> Column:
         fresh = s["start"] >= a["at"]
         piece = F.concat(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
 
-    done = F.aggregate("_s", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))))
-    new = F.when(F.size("_s") == 0, text).otherwise(done)
-    out = rows.withColumn("_new", new)
-    columns = [F.col("_new").alias("text") if c == "text" else F.when(docs["text"].isNotNull(), F.char_length("_new").cast("long")).otherwise(docs[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return out.select(*columns)
+    done = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))))
+    out = rows.withColumn(fresh_text, F.when(F.size(spans) == 0, text).otherwise(done))
+    counted = F.when(text.isNotNull(), F.char_length(fresh_text).cast("long"))
+    shown = {"text": F.col(fresh_text).alias("text")} | ({"n_chars": counted.otherwise(F.col("n_chars")).alias("n_chars")} if "n_chars" in docs.columns else {})
+    return out.select(*[shown.get(c, F.col(f"`{c}`")) for c in docs.columns])
