@@ -25,11 +25,12 @@ def _rewired(edges: DataFrame, smaller: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): for every node of edges(u, v) the smallest node it reaches. Loops and repeats do no harm."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): for every node of edges(u, v) the smallest node it reaches. Loops and repeats do no harm. Rounds go on
+    until the edges stay as they are, which takes about the logarithm of the longest path."""
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         after = stored(_rewired(_rewired(now, smaller=False), smaller=True), "edges")
         dropped(now)
         now = after

@@ -4,14 +4,15 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Equal se
 joined. Two sizes s <= t can link only if they share c = ceil(T (s + t) / (1 + T)) shingles:
 
 * light sets (few shingles) enumerate their subsets of that fixed size c; two sets link if and only if they list one
-  subset in common, so nothing is left to verify;
+  subset in common. Those that do come into a block too, where their links are counted;
 * heavy sets are found through inverted lists. Sizes fall into levels; the sets of a level and the next one are cut into m
   parts by shingle hash. Two linked sets differ in at most k shingles, so m - k of their parts at least are the same, and it
   is enough that each set is listed under its k + 1 best parts: the best part that two linked sets share is among these for
   both, as "best" is told from the part alone (most shingles that are not hot first). So a passage that many documents
   share, or a single common shingle, names a list only where a set has nothing better. Sets that meet in a list are gathered
   into one block, once each, where inverted lists of single shingles are scanned and overlaps counted exactly. A block over
-  the limit is dealt to tasks by pairs of its parts, which together see every pair.
+  the limit is put in the order of its lists and cut into parts; a task gets two parts that have a list in common, so all
+  that meet in a list meet in a task, and parts without a common list are never compared.
 
 The boundary is the size at which the rows that enumeration makes cost more than the lists and the scan. Links leave a
 block as a spanning forest with each class's number of links, so a group of near copies never turns into all its pairs.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import small, stored
+from leafmark.llm.common import ranked, small, stored, unused
 from leafmark.llm.components import components
 
 #: Shingles and sets that one block task may hold.
@@ -42,8 +43,9 @@ BLOCK_SHINGLES, BLOCK_SETS = 3_000_000, 2_000
 #: for each shingle.
 ROW_COST, BLOCK_COST, SCAN_COST = 24, 400, 16
 #: Parts for each list at least; a shingle is hot from HOT_ROWS documents on, or one in HOT_SHARE of them if that
-#: is more, so that hot shingles stay few. Which ones are hot decides on cost alone, never on links.
-SLACK, HOT_ROWS, HOT_SHARE = 1.3, 16, 50_000
+#: is more, so that hot shingles stay few. They are told by a bitmap of 2 ** HOT_BITS bits (4 MB) over their last bits. Which
+#: ones are hot, or are taken for it, decides on cost alone, never on links.
+SLACK, HOT_ROWS, HOT_SHARE, HOT_BITS = 1.3, 16, 50_000, 25
 CHUNK = 4_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -180,7 +182,8 @@ def _sketches(plan: Plan, width: int, hot: np.ndarray):
                 lows = plan.levels(max(map(len, sets), default=1) * 2 + 2)
                 at = np.r_[0, np.cumsum(list(map(len, sets)))]
                 flat = np.concatenate(sets) if at[-1] else np.empty(0, np.uint64)
-                warm = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat if len(hot) else np.zeros(len(flat), bool)
+                bit = (flat & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64)
+                warm = (hot[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                 for i, h in enumerate(sets):
                     with np.errstate(over="ignore"):
                         a, c = mix(h).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(h * _M1)) if len(h) else np.uint64(0)
@@ -189,13 +192,13 @@ def _sketches(plan: Plan, width: int, hot: np.ndarray):
                     rows.append((len(h), a, c, heavy, light))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
+                        ids.cast(pa.int64()), b.column(2), pa.array([r[0] for r in rows], pa.int64()),
                         pa.array(_signed(np.array([r[1] for r in rows], np.uint64))), pa.array(_signed(np.array([r[2] for r in rows], np.uint64))),
                         pa.array([_signed(r[3]) for r in rows], pa.list_(pa.int64())),
                         pa.array([_signed(np.array([x for x, _ in r[4]], np.uint64)) for r in rows], pa.list_(pa.int64())),
                         pa.array([[y for _, y in r[4]] for r in rows], pa.list_(pa.bool_())),
                     ],
-                    names=["doc_id", "n", "a", "b", "lists", "subsets", "smaller"],
+                    names=["doc_id", "text_hash", "n", "a", "b", "lists", "subsets", "smaller"],
                 )
 
     return run
@@ -236,7 +239,7 @@ def _sets(width: int):
                 sets = shingle_sets(b.column("text").to_pylist(), width)
                 with np.errstate(over="ignore"):
                     a = _signed(np.array([mix(h).sum(dtype=np.uint64) for h in sets], np.uint64))
-                out = pa.RecordBatch.from_arrays([b.column("cls"), b.column("family"), b.column("blocks"), pa.array([h.tobytes() for h in sets], pa.binary())], names=["cls", "family", "blocks", "shingles"])
+                out = pa.RecordBatch.from_arrays([b.column("cls"), b.column("a"), b.column("family"), b.column("part"), pa.array([h.tobytes() for h in sets], pa.binary())], names=["cls", "a", "family", "part", "shingles"])
                 yield out.filter(pa.array((a == b.column("a").to_numpy())))  # of rows that share an id, the class's own
 
     return run
@@ -258,14 +261,7 @@ def _scan(plan: Plan):
         by_shingle = np.argsort(dense, kind="stable")
         posted, starts = owner[by_shingle], np.r_[0, np.cumsum(np.bincount(dense))]
         offset = np.r_[0, np.cumsum(size)]
-        root, degree = np.arange(n), np.zeros(n, np.int64)
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        top, degree = np.arange(n), np.zeros(n, np.int64)
         for i in range(n):
             mine = dense[offset[i] : offset[i + 1]]
             lows, lens = starts[mine], starts[mine + 1] - starts[mine]
@@ -278,79 +274,103 @@ def _scan(plan: Plan):
             hit = hit[plan.linked(common[hit], size[i], size[hit])]
             if left != right:
                 hit = hit[side[hit] != side[i]]
-            elif right > 0 or left > 0:
-                pass
             degree[i] += len(hit)
             degree[hit] += 1
-            for j in hit.tolist():
-                x, y = find(i), find(j)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-        tops = np.array([find(i) for i in range(n)], np.int64)
+            if len(hit) and len(met := np.unique(top[np.r_[i, hit]])) > 1:
+                top[np.isin(top, met[1:])] = met[0]
         lowest = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(lowest, tops, ids)
+        np.minimum.at(lowest, top, ids)
         keep = degree > 0
-        return pd.DataFrame({"u": ids[keep], "v": lowest[tops][keep], "links": degree[keep]})
+        return pd.DataFrame({"u": ids[keep], "v": lowest[top][keep], "links": degree[keep]})
 
     return run
 
 
+def _hot_bits(shingles: DataFrame) -> np.ndarray:
+    """The bitmap over the last HOT_BITS bits of shingles(key); made by Spark, a row for each 4 KB of it."""
+    place = F.col("key").bitwiseAND(F.lit((1 << HOT_BITS) - 1)) + 1  # buckets of places begin at one
+    maps = shingles.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros((1 << HOT_BITS) // 8, np.uint8)
+    for r in maps:
+        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _dealt(about: DataFrame, stood: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """about(cls, n, family), stood(cls, key): (parts, tasks). parts(cls, family, part) cuts the sets of a family into parts in
+    the order of their lowest list; tasks(family, left, right) names the parts that have a list in common."""
+    blocks = about.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).alias("blocks"), F.count("*").alias("sets"))
+    blocks = stored(blocks.withColumnRenamed("family", "f"), "blocks")
+    sized = about.join(blocks, F.col("family") == F.col("f")).drop("f")
+    one = sized.where("blocks = 1").select("cls", "family", F.lit(0).cast("long").alias("part"))
+    home = stood.groupBy("cls").agg(F.min("key").alias("home")).withColumnRenamed("cls", "c")
+    large = sized.where("blocks > 1").join(home, F.col("cls") == F.col("c")).drop("c")
+    # the upper bits of a list's key are as good as random, so their ranges are ranked apart
+    order = ranked(large, ["family"], [F.col("home"), F.col("cls")], 1 << 20, "at", F.shiftrightunsigned("home", 44))
+    cut = order.select("cls", "family", F.floor(F.col("at") * F.col("blocks") / F.col("sets")).cast("long").alias("part"))
+    parts = stored(one.unionByName(cut), "parts")
+    several = parts.join(blocks.where("blocks > 1").select("f"), F.col("family") == F.col("f"), "left_semi").withColumnRenamed("cls", "c")
+    at = stored(stood.join(several, F.col("cls") == F.col("c")).select("key", "family", "part").distinct(), "spans")
+    both = at.join(at.select(F.col("key").alias("k2"), F.col("part").alias("other")), F.col("key") == F.col("k2")).where("part <= other")
+    pairs = both.select("family", F.col("part").alias("left"), F.col("other").alias("right"))
+    alone = blocks.where("blocks = 1").select(F.col("f").alias("family"), F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"))
+    return parts, stored(pairs.distinct().unionByName(alone), "tasks")
+
+
 def jaccard_join(docs: DataFrame, percent: int = 90, width: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members(doc_id, n_shingles, cls) has a row for each document, cls being the smallest id with the same
-    set; links(u, v, links) has for each class that links a class v of its component (a spanning forest) and how many it links with."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(members, links): members(doc_id, text_hash, n_shingles, cls) has a row for each document, cls being the smallest id with
+    the same set; links(u, v, links) has for each class that links a class v of its component (a spanning forest) and how many
+    it links with; several rows of a class add up."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     seen = stored(rows.select("text").mapInArrow(_survey(width), "what int, key long, n long").groupBy("what", "key").agg(F.sum("n").alias("n")).where(f"what = 0 or n >= {HOT_ROWS}"), "survey")
     counts = {r.key: r.n for r in seen.where("what = 0").collect()}  # 64 rows at most
-    hot = seen.where((F.col("what") == 1) & (F.col("n") >= max(HOT_ROWS, rows.count() // HOT_SHARE))).select("key").collect()
+    hot = _hot_bits(seen.where((F.col("what") == 1) & (F.col("n") >= max(HOT_ROWS, rows.count() // HOT_SHARE))))
     plan = Plan(percent, boundary(percent, counts))
-    hot = np.sort(np.array([r.key for r in hot], np.int64).view(np.uint64))
-    sets = stored(rows.mapInArrow(_sketches(plan, width, hot), "doc_id long, n long, a long, b long, lists array<long>, subsets array<long>, smaller array<boolean>"), "sets")
+    sets = stored(rows.mapInArrow(_sketches(plan, width, hot), "doc_id long, text_hash long, n long, a long, b long, lists array<long>, subsets array<long>, smaller array<boolean>"), "sets")
     filled = sets.where("n > 0 and doc_id is not null")
     classes = filled.groupBy("n", "a", "b").agg(F.min("doc_id").alias("cls"), F.count("*").alias("rows"))
     shared = stored(classes.where("rows > 1").select(F.col("n").alias("cn"), F.col("a").alias("ca"), F.col("b").alias("cb"), "cls"), "classes")
     same = (F.col("n") == F.col("cn")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb"))
     own = sets.join(small(shared), same & F.col("doc_id").isNotNull(), "left").withColumn("cls", F.coalesce("cls", "doc_id"))
-    members = own.select("doc_id", F.col("n").alias("n_shingles"), "cls")
+    members = own.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "cls")
     heads = own.where("n > 0 and doc_id = cls")
 
-    # light: a subset in common is a link
+    # light: sets of one size all carry "smaller" and link; of two sizes, every small one links with every large one
     subs = heads.where(F.size("subsets") > 0).select("cls", F.explode(F.arrays_zip("subsets", "smaller")).alias("x")).select("cls", F.col("x.subsets").alias("key"), F.col("x.smaller").alias("smaller"))
-    firsts = subs.groupBy("key").agg(F.min(F.when(F.col("smaller"), F.col("cls"))).alias("s"), F.min(F.when(~F.col("smaller"), F.col("cls"))).alias("t"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
-    # sets of one size all carry "smaller"; of two sizes, every small one links with every large one and not with each other
-    light = subs.join(firsts, "key").select(F.col("cls").alias("u"), F.when(F.col("t").isNull(), F.col("s")).when(F.col("smaller"), F.col("t")).otherwise(F.col("s")).alias("v")).where("v is not null")
-    light = light.select("u", "v").distinct()
+    first = subs.groupBy("key").agg(F.min(F.when(F.col("smaller"), F.col("cls"))).alias("s"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi and s is not null")
+    linked = subs.join(first, "key").select("cls", "key", "lo")
 
-    # heavy: classes that meet in an inverted list come into one block
+    # heavy: classes that meet in an inverted list
     listed = heads.select("cls", F.explode("lists").alias("key"))
     met = stored(listed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key", "lo"), "lists")
     # joined by key at every size: a table that is broadcast on small inputs only would make the shuffle grow faster than they
-    touch = listed.join(met, "key").select(F.col("cls").alias("u"), F.col("lo").alias("v")).distinct()
-    families = components(touch)
+    stood = stored(listed.join(met, "key").select("cls", "key", "lo").unionByName(linked).distinct(), "stood")
+    families = components(stood.select(F.col("cls").alias("u"), F.col("lo").alias("v")))
     about = heads.select("cls", "n", "a").join(families, F.col("cls") == F.col("node")).select("cls", "n", "a", F.col("component").alias("family"))
     about = stored(about, "families")
-    blocks = about.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    wanted = stored(about.join(blocks, "family").select("cls", "a", "family", "blocks"), "wanted")
-    texts = rows.join(small(wanted, 1_000_000), rows["doc_id"] == F.col("cls")).select("cls", "a", "family", "blocks", "text")
-    full = texts.mapInArrow(_sets(width), "cls long, family long, blocks int, shingles binary").dropDuplicates(["cls"])
-    part = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    dealt = full.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cls", "shingles", "part", "family", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
-    found = dealt.groupBy("family", "left", "right").applyInPandas(_scan(plan), "u long, v long, links long")
-    return members, stored(found.unionByName(light.withColumn("links", F.lit(1).cast("long"))), "links")
+    parts, tasks = _dealt(about.groupBy("cls", "family").agg(F.sum("n").alias("n")), stood)
+    wanted = stored(about.select("cls", "a").join(parts, "cls"), "wanted")
+    texts = rows.join(small(wanted, 1_000_000), rows["doc_id"] == F.col("cls")).select("cls", "a", "family", "part", "text")
+    full = texts.mapInArrow(_sets(width), "cls long, a long, family long, part long, shingles binary").dropDuplicates(["cls", "a"])
+    sides = tasks.select("family", "left", "right", F.col("left").alias("part")).unionByName(tasks.where("left < right").select("family", "left", "right", F.col("right").alias("part")))
+    dealt = full.join(sides, ["family", "part"]).select("cls", "shingles", "part", "family", "left", "right")
+    return members, stored(dealt.groupBy("family", "left", "right").applyInPandas(_scan(plan), "u long, v long, links long"), "links")
 
 
 def linked_documents(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id, cls, links: one row for each document; links counts the other sets its set links with."""
+    """doc_id, n_shingles, component_id, cls, links, text_hash: one row for each document; links counts the other sets that its
+    set links with."""
     members, links = jaccard_join(docs, percent, width)
     tops = components(links.select("u", "v"))
     degree = links.groupBy(F.col("u").alias("dn")).agg(F.sum("links").alias("links"))
     known = stored(tops.join(degree, F.col("node") == F.col("dn"), "left").select("node", "component", F.coalesce("links", F.lit(0)).alias("links")), "components")
     out = members.join(small(known, 1_000_000), F.col("cls") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"), "cls", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"), "cls", F.coalesce("links", F.lit(0).cast("long")).alias("links"), "text_hash")
 
 
 def one_of_each(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
-    """The documents that stand for their component (the smallest id), and those without words or id, with all their columns."""
-    out = stored(linked_documents(docs, percent, width).where("component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct(), "copies")
-    kept = docs.join(small(out, 1_000_000), docs["doc_id"] == F.col("_copy"), "left_anti")
-    return kept
+    """The documents that stand for their component (the smallest id), and those without words or id, with all their columns,
+    whatever these are called. Of rows that share an id each goes or stays by its own text; repeated rows go or stay together."""
+    d, h = unused(docs, "d", "h")
+    out = stored(linked_documents(docs, percent, width).where("component_id <> doc_id").select("doc_id", "text_hash").distinct().toDF(d, h), "copies")
+    return docs.join(small(out, 1_000_000), (docs["doc_id"] == F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left_anti")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from leafmark.llm import quality
 from leafmark.llm.common import LOWER, UPPER
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -10,7 +9,8 @@ _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
 #: The grid of rules, with the metrics in SQL.
 _METRICS = {"symbols": "n_symbols / greatest(word_chars, 1)", "same_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)", "long_words": "word_chars / greatest(n_words, 1)"}
-_GRID = [(name, i, c) for name, (_, cuts) in quality.rules_cutoffs().items() for i, c in enumerate(cuts)]
+_CUTOFFS = {"symbols": (0.3, 0.2, 0.1, 0.05, 0.02), "same_lines": (0.9, 0.75, 0.5, 0.3, 0.2), "repeats": (0.45, 0.35, 0.25, 0.15, 0.1), "long_words": (12.0, 10.0, 9.0, 8.0, 7.5)}
+_GRID = [(name, i, c) for name, cuts in _CUTOFFS.items() for i, c in enumerate(cuts)]
 _TAIL = "list_sum(list_transform(range(CAST(false_n + 1 AS BIGINT)), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))))"
 _RISK, _DELTA = 0.05, 0.05
 
@@ -46,7 +46,9 @@ s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM (SELE
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
-reach AS (SELECT x AS doc_id, y AS r FROM links UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.r)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS m FROM reach GROUP BY doc_id) USING (doc_id)"""
+reach AS (SELECT x AS doc_id, y AS r FROM links UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.r),
+marks AS (SELECT doc_id, md5(string_agg(g, chr(1) ORDER BY g)) AS own FROM s GROUP BY doc_id),
+degree AS (SELECT x AS doc_id, count(DISTINCT b.own) AS links FROM links JOIN marks a ON a.doc_id = x JOIN marks b ON b.doc_id = y WHERE a.own <> b.own GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, coalesce(links, 0) AS links FROM d LEFT JOIN n USING (doc_id) LEFT JOIN degree USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS m FROM reach GROUP BY doc_id) USING (doc_id)"""
 
 ORACLES = {"op1_quality_rules": OP1, "op4_decontamination": OP4, "op7_jaccard_join": OP7}

@@ -53,7 +53,7 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked_documents(table(ship_package(spark), sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.linked_documents(table(ship_package(spark), sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "links")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
