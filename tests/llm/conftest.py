@@ -1,12 +1,14 @@
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, d string, h string, t string, n long, cls long, count long"
+#: Extra columns by names that the operators use inside, or once did.
+EXTRA = "d h t k s new cls key family part text_hash stratum spans hits places term salt _d _h _n _s _new _copy _b _at".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, count long, " + ", ".join(f"{c} string" for c in EXTRA)
 
 
 def make(spark, texts, ids=None):
     """documents of these texts, with extra columns whose names the operators use inside."""
     ids = list(range(len(texts))) if ids is None else ids
-    rows = [(i, x, "en", "s", None if x is None else len(x), "d", "h", "t", 1, 2, 3) for i, x in zip(ids, texts)]
+    rows = [(i, x, "en", "s", None if x is None else len(x), 1, 3, *EXTRA) for i, x in zip(ids, texts)]
     return spark.createDataFrame(rows, DOCS).repartition(3)
 
 
@@ -18,7 +20,8 @@ ODD = [None, "", " \n\t ", "one", "two words", "two words", " ".join(WORDS), " "
 def odd(spark):
     """Nulls in every column, empty and very long texts, repeated rows."""
     df = make(spark, ODD)
-    extra = spark.createDataFrame([(None, None, None, None, None, None, None, None, None, None, None), (None, "null id text " * 9, "en", None, 1, None, None, None, None, None, None), (5, "two words", "en", "s", 9, "d", "h", "t", 1, 2, 3)], DOCS)
+    none = (None,) * len(EXTRA)
+    extra = spark.createDataFrame([(None, None, None, None, None, None, None, *none), (None, "null id text " * 9, "en", None, 1, None, None, *none), (5, "two words", "en", "s", 9, 1, 3, *EXTRA)], DOCS)
     return df.unionByName(extra)
 
 

@@ -71,6 +71,50 @@ def test_number_of_links(spark):
     assert {r.doc_id: r.links for r in jaccard.linked_documents(make(spark, texts)).collect()} == want
 
 
+@pytest.mark.parametrize("block", [2_000, 5])
+def test_number_of_links_of_short_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rnd = random.Random(16)
+    texts = family(rnd, 40, 16, 1) + family(rnd, 30, 14, 1) + family(rnd, 30, 45, 1)
+    sets = [frozenset(zip(w, w[1:], w[2:])) for w in (t.split() for t in texts)]
+    classes = set(sets)
+    for percent in (80, 90):
+        want = {i: sum(c != s and 100 * len(c & s) >= percent * len(c | s) for c in classes) for i, s in enumerate(sets)}
+        assert {r.doc_id: r.links for r in jaccard.linked_documents(make(spark, texts), percent).collect()} == want
+
+
+def test_parts_without_a_common_list_are_not_compared(spark, monkeypatch):
+    """A chain of families: the tasks grow with the parts, not with their square."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 10)
+    chain = [(c, k) for c in range(1000) for k in (c // 4, c // 4 + 1)]
+    about = spark.createDataFrame([(c, 50, 0) for c in range(1000)], "cls long, n long, family long")
+    stood = spark.createDataFrame(chain, "cls long, key long").selectExpr("cls", "key * 36028797018963968 as key")
+    parts, tasks = jaccard._dealt(about, stood)
+    part = {r.cls: r.part for r in parts.collect()}
+    named = {(r.left, r.right) for r in tasks.collect()}
+    met = defaultdict(set)
+    for r in stood.collect():
+        met[r.key].add(part[r.cls])
+    assert len(part) == 1000 and max(Counter(part.values()).values()) <= 11
+    assert named == {(a, b) for ps in met.values() for a in ps for b in ps if a <= b} and len(named) < 1500
+
+
+def test_one_row_of_each(spark):
+    """Rows that share an id go or stay by their own text."""
+    rnd = random.Random(17)
+    para = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    a, b, c = para(), para(), para()
+    kept = jaccard.one_of_each(make(spark, [a, a, b, c, c], [1, 2, 2, 3, 3])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (2, b), (3, c), (3, c)])
+
+
+def test_hot_bits(spark):
+    keys = [0, 1, 32767, 32768, (1 << jaccard.HOT_BITS) - 1, -1, 5 - (1 << 40), 2**63 - 1]
+    bits = jaccard._hot_bits(spark.createDataFrame([(k,) for k in keys], "key long"))
+    on = {i * 8 + j for i in bits.nonzero()[0].tolist() for j in range(8) if bits[i] >> j & 1}
+    assert on == {k & ((1 << jaccard.HOT_BITS) - 1) for k in keys}
+
+
 def test_boundary_is_where_cost_turns():
     assert jaccard.boundary(90, {s: 100 for s in range(5, 60)}) > 10
     assert jaccard.boundary(90, {}) == 1
@@ -139,6 +183,50 @@ def test_groups_that_fit_a_shard_stay_whole(spark, monkeypatch, sizes, alone):
         assert len({r.shard for r in rows if texts[r.doc_id] == f"group {k}"}) == -(-v // 100)
 
 
+def test_cut_links_are_told(spark):
+    texts = [f"pair {k % 60}" for k in range(120)] + ["hot"] * 300 + [f"alone {k}" for k in range(380)]
+    out = sharding.shard(make(spark, texts))
+    where = defaultdict(Counter)
+    for r in out.where("linked").collect():
+        where[texts[r.doc_id]][r.shard] += 1
+    got = sharding.cut(out, make(spark, texts)).first()
+    assert (got.groups, got.split_groups) == (len(where), sum(len(c) > 1 for c in where.values()))
+    links = lambda c: sum(c.values()) * (sum(c.values()) - 1) // 2
+    assert (got.links, got.cut_links) == (sum(map(links, where.values())), sum(links(c) - sum(n * (n - 1) // 2 for n in c.values()) for c in where.values()))
+
+
+def by_hand(start, hub, shards):
+    """Propagation in plain Python under the same quotas: what no order of moves can bring together stays apart."""
+    now = dict(start)
+    while True:
+        votes = defaultdict(Counter)
+        for i, s in now.items():
+            if hub[i] is not None:
+                votes[hub[i]][s] += 1
+        want = {i: max(range(shards), key=lambda s: (votes[hub[i]][s], -s)) for i in now if hub[i] is not None}
+        moved = False
+        for i in sorted(want):
+            if now[i] != want[i]:
+                partner = next((j for j in sorted(now) if now[j] == want[i] and (hub[j] is None or want[j] == now[i])), None)
+                if partner is not None:
+                    now[i], now[partner] = want[i], now[i]
+                    moved = True
+        if not moved:
+            return now
+
+
+def test_propagation_cuts_no_more_than_by_hand(spark):
+    rnd = random.Random(18)
+    texts = [f"group {k}" for k in range(25) for _ in range(rnd.randint(2, 9))] + [f"alone {k}" for k in range(150)]
+    rnd.shuffle(texts)
+    count = Counter(texts)
+    hub = {i: t if count[t] > 1 else None for i, t in enumerate(texts)}
+    hand = by_hand({i: i % 8 for i in range(len(texts))}, hub, 8)
+    got = {r.doc_id: r.shard for r in sharding.shard(make(spark, texts)).collect()}
+    split = lambda place: sum(len({place[i] for i in hub if hub[i] == g}) > 1 for g in set(hub.values()) - {None})
+    assert split(got) <= split(hand)
+
+
 def test_quotas():
     assert sharding._quotas({(0, 1): 5, (1, 2): 4, (2, 0): 7}, {}, 3)[0] == {(0, 1): 4, (1, 2): 4, (2, 0): 4}
     assert sharding._quotas({(0, 1): 5, (1, 2): 4}, {2: 3}, 3) == ({(1, 2): 3}, {(2, 1): 3})
