@@ -52,7 +52,7 @@ SHARD_TOKENS, SHARD_WORDS = 2_000_000, 2_000_000
 STEP = 16 / 65535
 #: Tokens of a chunk, about, and texts that are split together.
 CHUNK, BATCH = 2_000_000, 256
-#: Answers are kept, triples asked for, and chunks scored in so many turns, so that disks hold one turn's shuffle at a time.
+#: Pairs and triples are asked for, and answers kept, in so many turns, so that disks hold one turn's shuffle at a time.
 PASSES = 3
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: What goes between chunks and shards. Answers also say how many words or n-grams of training texts the shard has met (seen)
@@ -645,16 +645,15 @@ def score(docs: DataFrame, folds: int = 10, order: int = 3, min_ngram: int = 2,
     info |= {"start": np.r_[0, np.cumsum(every)[:-1]].tolist(), "words": sum(r.seen for r in made)}
     top = max((r.top for r in made), default=0)
     for level in range(2, order + 1):
+        turns = PASSES
         if level == 2:
-            turns = 1
-            ask = lambda hot, turn: told.groupBy("chunk").applyInArrow(_ask(info, 2, hot), ROWS)  # noqa: B023, E731
+            ask = lambda hot, turn: told.groupBy("chunk").applyInArrow(_ask(info, 2, hot, turn, turns), ROWS)  # noqa: B023, E731
         else:
             # from here on a chunk's answers stand in files, and a row names them: rows are few and small, and dealt out evenly
             words = told
             both, share = words.unionByName(answers), F.pmod(F.crc32("chunk"), F.lit(PASSES))
             told = reduce(DataFrame.unionByName, [stored(both.where(share == turn).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_keep(info), ROWS), "known") for turn in range(PASSES)])
             dropped(words, *parts)
-            turns = PASSES
             dealt = told.repartition(max(tasks, chunks.count()))
             ask = lambda hot, turn: dealt.mapInArrow(_each(_ask(info, 3, hot, turn, turns)), ROWS)  # noqa: B023, E731
         parts = []
@@ -669,6 +668,5 @@ def score(docs: DataFrame, folds: int = 10, order: int = 3, min_ngram: int = 2,
     if order > 1:
         told = told.unionByName(answers)
     form = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    by_turn = [told.where(F.pmod(F.crc32("chunk"), F.lit(PASSES)) == turn).groupBy("chunk").applyInArrow(_scored(info), form) for turn in range(PASSES)]
-    scored = reduce(DataFrame.unionByName, [stored(x, "scores") for x in by_turn])
+    scored = told.groupBy("chunk").applyInArrow(_scored(info), form)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(info["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
