@@ -51,4 +51,15 @@ marks AS (SELECT doc_id, md5(string_agg(g, chr(1) ORDER BY g)) AS own FROM s GRO
 degree AS (SELECT x AS doc_id, count(DISTINCT b.own) AS links FROM links JOIN marks a ON a.doc_id = x JOIN marks b ON b.doc_id = y WHERE a.own <> b.own GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, coalesce(links, 0) AS links FROM d LEFT JOIN n USING (doc_id) LEFT JOIN degree USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS m FROM reach GROUP BY doc_id) USING (doc_id)"""
 
-ORACLES = {"op1_quality_rules": OP1, "op4_decontamination": OP4, "op7_jaccard_join": OP7}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOW}, '{_TERM}') AS w FROM documents),
+tf AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(w) AS t FROM d) GROUP BY ALL),
+total AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), total),
+m AS (SELECT k, doc_id, 100 - 25 + (25 * len(w) * n) // l AS m FROM d, total),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_LOW}, '{_TERM}') AS w FROM benchmark),
+asked AS (SELECT q, item_id, unnest(w) AS t FROM i),
+scores AS (SELECT q, item_id, k, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM asked JOIN weight USING (t) JOIN tf USING (t) JOIN m USING (k) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0) WHERE rank <= 20"""
+
+ORACLES = {"op1_quality_rules": OP1, "op4_decontamination": OP4, "op7_jaccard_join": OP7, "op11_ranked_search": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import decontamination, jaccard, licenses, lm, packing, pii, quality, records, sharding, token_counts, urls, whitening
+from leafmark.llm import decontamination, jaccard, licenses, lm, packing, pii, quality, ranked_search, records, sharding, token_counts, urls, whitening
 from leafmark.llm.common import table
 from leafmark.llm.oracles import ORACLES  # noqa: F401  registered beside the queries
 from leafmark.plans.session import ship_package
@@ -68,6 +68,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).drop("linked")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(ship_package(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(ship_package(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -76,4 +80,4 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(ship_package(spark), sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_pii, op4_decontamination, op5_packing, op6_records, op7_jaccard_join, op8_license_scan, op9_lm_scoring, op10_sharding, op12_token_counts, op13_whitening)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_pii, op4_decontamination, op5_packing, op6_records, op7_jaccard_join, op8_license_scan, op9_lm_scoring, op10_sharding, op11_ranked_search, op12_token_counts, op13_whitening)}
