@@ -194,7 +194,7 @@ def weight(n: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * n + 2) / (2 * df + 1)))
 
 
-def _build(n: int, total: int):
+def _build(n: int, total: int, block_docs: int, block_terms: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = count(TaskContext.get().partitionId() << 32)
         docs: list[int | None] = []
@@ -228,7 +228,7 @@ def _build(n: int, total: int):
             for doc, text in zip(b.column(0), b.column(1)):
                 if not (found := terms_of(text.as_py())):
                     continue
-                if docs and (len(docs) >= BLOCK_DOCS or held + len(found) > BLOCK_TERMS):
+                if docs and (len(docs) >= block_docs or held + len(found) > block_terms):
                     yield block()
                 docs.append(doc.as_py())
                 ids.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
@@ -239,9 +239,9 @@ def _build(n: int, total: int):
     return run
 
 
-def build(docs: DataFrame, n: int, total: int) -> DataFrame:
+def build(docs: DataFrame, n: int, total: int, block_docs: int = BLOCK_DOCS, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """The index of docs(doc_id, text), a row for each block; n and total are totals() of the whole collection."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_build(n, total), INDEX)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_build(n, total, block_docs, block_terms), INDEX)
 
 
 def _frequencies(shared):
@@ -284,14 +284,14 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(index: DataFrame, queries: DataFrame, n: int, k: int = 20) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, n: int, k: int = 20, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """queries(item_id, text) over a stored index of n documents: item_id, rank (from 1), doc_id, score."""
     spark = index.sparkSession
     items = stored(queries.select(F.monotonically_increasing_id().alias("key"), "item_id", F.col("text").cast("binary").alias("text")), "search-items")
-    batches = -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BATCH_BYTES)
+    batches = -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // batch_bytes)
     out = []
     for batch in range(batches):
-        texts = items.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == batch).select("key", "text").collect()  # BATCH_BYTES, about
+        texts = items.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == batch).select("key", "text").collect()  # batch_bytes, about
         tallies = [(r.key, Counter(terms_of(bytes(r.text)))) for r in texts if r.text]
         wanted = {t: i for i, t in enumerate(sorted({t for _, tally in tallies for t in tally}))}
         counted = index.select("terms", "dfs").mapInArrow(_frequencies(spark.sparkContext.broadcast(wanted)), "i long, df long").groupBy("i").agg(F.sum("df").alias("df"))
