@@ -23,6 +23,10 @@ _DOT = "list_dot_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
 _MAX_SIM = "SELECT query_id, chunk_id, sum(s) AS score FROM (SELECT q.query_id, q.tok, d.chunk_id, max({dot}) AS s FROM fx_query_tokens q, {docs} d {where} GROUP BY ALL) GROUP BY ALL"
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)"
 
+#: The planes of operators.lsh: 20 tables of 11, by a rule; a query token looks beyond the three nearest of each table.
+_NEXT = "SELECT i, j, (s * s + 12345 * s + 7) % 2147483647 AS s FROM ({})"
+_PLANES = "SELECT i, j, CASE WHEN s % 2 = 0 THEN 1.0 ELSE -1.0 END AS h FROM (" + _NEXT.format(_NEXT.format(_NEXT.format("SELECT i, j, i * 1009 + j + 1 AS s FROM (SELECT unnest(range(220)) AS i), (SELECT unnest(range(64)) AS j)"))) + ")"
+
 #: Steps that several queries build on, in order.
 STEPS = common_tables() | {
     "sheets": "SELECT doc_id, page_idx, 800 + doc_id % 9 * 100 + page_idx * 3 AS width, 1200 + doc_id % 5 * 150 AS height FROM fx_pages",
@@ -71,6 +75,15 @@ STEPS = common_tables() | {
     "stage_c": f"SELECT *, {_RANK} AS r FROM (" + _MAX_SIM.format(dot=_DOT.format("q.vec", "d.vec"), docs="pooled_vecs", where="WHERE d.kind = 'mean_c'") + ")",
     "stage_r": f"SELECT *, {_RANK} AS r FROM (" + _MAX_SIM.format(dot=_DOT.format("q.vec", "d.vec"), docs="pooled_vecs", where="WHERE d.kind = 'mean_r'") + ")",
     "found": f"SELECT * FROM (SELECT query_id, chunk_id, score, {_RANK} AS rank FROM scores JOIN (SELECT query_id, chunk_id FROM stage_c WHERE r <= 50 UNION SELECT query_id, chunk_id FROM stage_r WHERE r <= 50) USING (query_id, chunk_id)) WHERE rank <= 5",
+    "planes": _PLANES,
+    "bucket_of": """SELECT DISTINCT chunk_id, tab, bucket FROM (SELECT chunk_id, kind, pos, i // 11 AS tab, CAST(sum(CASE WHEN m > 0 THEN 1 << CAST(i % 11 AS INTEGER) ELSE 0 END) AS BIGINT) AS bucket
+        FROM (SELECT chunk_id, kind, pos, i, sum(v * h) AS m FROM pooled JOIN planes ON j = dim GROUP BY ALL) GROUP BY ALL)""",
+    "query_sides": """SELECT query_id, tok, i // 11 AS tab, i % 11 AS b, m, row_number() OVER (PARTITION BY query_id, tok, i // 11 ORDER BY abs(m), i) AS near FROM (SELECT query_id, tok, i, sum(v * h) AS m
+        FROM (SELECT query_id, tok, unnest(CAST(vec AS DOUBLE[])) AS v, generate_subscripts(vec, 1) - 1 AS dim FROM fx_query_tokens) JOIN planes ON j = dim GROUP BY ALL)""",
+    "looked_into": """SELECT DISTINCT query_id, tab, CAST(xor(own, turned) AS BIGINT) AS bucket FROM (SELECT query_id, tok, tab, f, CAST(sum(CASE WHEN m > 0 THEN 1 << CAST(b AS INTEGER) ELSE 0 END) AS BIGINT) AS own,
+        CAST(sum(CASE WHEN near <= 3 AND (f >> CAST(near - 1 AS INTEGER)) % 2 = 1 THEN 1 << CAST(b AS INTEGER) ELSE 0 END) AS BIGINT) AS turned FROM query_sides, (SELECT unnest(range(8)) AS f) GROUP BY ALL)""",
+    "lsh_near": "SELECT DISTINCT query_id, chunk_id FROM bucket_of JOIN looked_into USING (tab, bucket)",
+    "lsh_found": f"SELECT * FROM (SELECT query_id, chunk_id, score, {_RANK} AS rank FROM scores JOIN (" + " UNION ".join(f"SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS r FROM {stage} JOIN lsh_near USING (query_id, chunk_id)) WHERE r <= 50" for stage in ("stage_c", "stage_r")) + ") USING (query_id, chunk_id)) WHERE rank <= 5",
     "near": f"SELECT DISTINCT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tok ORDER BY round(s, 9) DESC, chunk_id, doc_tok) AS r FROM (SELECT q.query_id, q.tok, d.chunk_id, d.tok AS doc_tok, {_DOT.format('q.vec', 'd.vec')} AS s FROM fx_query_tokens q, fx_tokens d)) WHERE r <= 20",
     "titles_of": """SELECT b.*, CASE WHEN has_report THEN concat(coalesce(t, 'Document'), ' (', total_pages, ' pages)') ELSE concat('Book ', book_index) END AS title, CASE WHEN has_report THEN total_pages ELSE 0 END AS shown_pages FROM fx_books b
         LEFT JOIN (SELECT collection, book_index, arg_min(trim(title), pos) AS t FROM fx_toc_sections WHERE trim(title) <> '' AND lower(trim(title)) <> 'noname' GROUP BY ALL) USING (collection, book_index)""",
@@ -148,6 +161,10 @@ _FINALS = {
     "op_ve3": "SELECT doc_id, concat_ws('|', " + ", ".join(f"len(t) - len(replace(t, '{c}', ''))" for c in "abcdefgh") + ") AS vec FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)",
     "op_ve4": "SELECT chunk_id, tok, dim, round(v / CASE WHEN n > 0 THEN n ELSE 1 END, 6) + 0.0 AS v FROM dims JOIN (SELECT chunk_id, tok, sqrt(sum(v * v)) AS n FROM dims GROUP BY ALL) USING (chunk_id, tok)",
     "op_re1": "SELECT query_id, chunk_id, round(score, 6) + 0.0 AS score FROM scores",
+    "op_re1_top": f"SELECT * FROM (SELECT query_id, {_RANK} AS rank, chunk_id, round(score, 6) + 0.0 AS score FROM scores) WHERE rank <= 10",
+    "op_re2_stored": "SELECT query_id, rank, chunk_id, round(score, 6) + 0.0 AS score FROM found",
+    "op_re2_lsh": "SELECT query_id, rank, chunk_id, round(score, 6) + 0.0 AS score FROM lsh_found",
+    "op_re2_lsh_recall": "SELECT f.query_id, round(count(l.chunk_id) / count(*), 6) AS recall FROM found f LEFT JOIN lsh_found l ON l.query_id = f.query_id AND l.chunk_id = f.chunk_id GROUP BY f.query_id",
     "op_re2": "SELECT query_id, rank, chunk_id, round(score, 6) + 0.0 AS score FROM found",
     "op_re3": f"SELECT * FROM (SELECT query_id, {_RANK} AS rank, chunk_id, round(score, 6) + 0.0 AS score FROM scores JOIN near USING (query_id, chunk_id)) WHERE rank <= 4",
     "op_re4": "SELECT * FROM (SELECT collection, chunk_id, section_title, row_number() OVER (PARTITION BY collection ORDER BY chunk_id) AS rn FROM fx_chunks WHERE section_title = 'Section 3') WHERE rn <= 10",

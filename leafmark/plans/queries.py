@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions.ids import file_id
-from leafmark.operators import books, elements, hierarchy, pagenums, pages, retrieval, rollups, sections, stitch, vectors
+from leafmark.operators import books, elements, hierarchy, lsh, pagenums, pages, retrieval, rollups, sections, stitch, token_store, vectors
 from leafmark.plans.fixtures import view
 from leafmark.plans.session import scratch_dir, ship_package
 from leafmark.sources import readers, sinks
@@ -379,6 +379,47 @@ def op_re1(s, d):
     return retrieval.max_sim(view(s, d, "fx_query_tokens"), view(s, d, "fx_tokens")).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def _token_store(s, d):
+    ship_package(s)
+    return token_store.write(view(s, d, "fx_tokens"), scratch_dir(s, "tokens"))
+
+
+def _pooled_store(s, d):
+    return token_store.write(_pooled(s, d), scratch_dir(s, "pooled"))
+
+
+@query
+def op_re1_top(s, d):
+    """The ten best chunks of each query, by matrix products over stored chunks."""
+    found = retrieval.top(token_store.block_scores(view(s, d, "fx_query_tokens"), _token_store(s, d).rows(), 10), 10)
+    return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query
+def op_re2_stored(s, d):
+    """The rows of op_re2; the second stage reads its candidates alone."""
+    return token_store.two_stage(view(s, d, "fx_query_tokens"), _pooled_store(s, d), _token_store(s, d), 5).withColumn("score", F.round("score", 6))
+
+
+def _found_by_lsh(s, d, k=5):
+    tokens, root = _token_store(s, d), scratch_dir(s, "lsh")
+    lsh.write_index(_pooled(s, d), root)
+    return lsh.two_stage(view(s, d, "fx_query_tokens"), lsh.read_index(s, root), _pooled_store(s, d), tokens, k)
+
+
+@query
+def op_re2_lsh(s, d):
+    """Prefetch from hashed buckets, then exact scores."""
+    return _found_by_lsh(s, d).withColumn("score", F.round("score", 6))
+
+
+@query
+def op_re2_lsh_recall(s, d):
+    """How many of op_re2's results op_re2_lsh finds, by query."""
+    exact = token_store.two_stage(view(s, d, "fx_query_tokens"), _pooled_store(s, d), _token_store(s, d), 5)
+    return lsh.recall(_found_by_lsh(s, d), exact).withColumn("recall", F.round("recall", 6))
+
+
 def _found(s, d, k=5):
     return retrieval.two_stage(view(s, d, "fx_query_tokens"), _pooled(s, d), view(s, d, "fx_tokens"), k)
 
