@@ -19,15 +19,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import stored, unused
+from leafmark.llm.common import stored
 
 SCALE, SHIFT = 64, 1_000_000
 #: Entries of more than so many whole steps from zero do not fit; such vectors are left out.
@@ -36,10 +37,28 @@ WIDEST = float(1 << 52)
 BLOCK = 4096
 
 
-def whole(embedding: Column) -> Column:
-    """x of a vector, null where the vector is null or holds null, non-finite or too large entries."""
-    fits = ~F.exists(embedding, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) > WIDEST / SCALE))
-    return F.when(embedding.isNotNull() & fits, F.transform(embedding, lambda c: F.floor(c.cast("double") * SCALE) + F.lit(SHIFT).cast("long")))
+def wholes(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """x of a column of vectors, and which rows have one: null and empty vectors, and those with null, non-finite or too large
+    entries, have none. A null entry becomes NaN on its way out of Arrow."""
+    sizes = np.diff(column.offsets.to_numpy())
+    c = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    bad = ~(np.abs(c) * SCALE <= WIDEST)
+    ends = np.cumsum(sizes)
+    bad_before = np.r_[0, np.cumsum(bad)]
+    fine = (sizes > 0) & (bad_before[ends] == bad_before[ends - sizes]) & ~column.is_null().to_numpy(zero_copy_only=False)
+    x = np.floor(np.where(bad, 0, c) * SCALE).astype(np.int64) + SHIFT
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(x)), fine
+
+
+def _usable(dim: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, fine = wholes(b.column(0))
+            if dim is not None:
+                fine &= np.diff(x.offsets.to_numpy()) == dim
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(fine))], names=["x"])
+
+    return run
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -70,10 +89,26 @@ def _products(centre: np.ndarray):
     return run
 
 
+def _sums(dim: int):
+    """Exact sums of a task's rows, a row for each dimension."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = [0] * dim, 0
+        for x in _blocks(batches, "x", dim):
+            # a block's sum fits a long unless entries are huge
+            sums = x.sum(0) if np.abs(x).max(initial=0) < 2**50 else x.astype(object).sum(0)
+            total = [t + int(v) for t, v in zip(total, sums)]
+            n += len(x)
+        whole = pa.array([Decimal(t) for t in total], pa.decimal128(38, 0))
+        yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array([n] * dim, pa.int64()), whole], names=["i", "n", "s"])
+
+    return run
+
+
 def moments(fit: DataFrame, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
     """n, sums S (whole numbers) and covariance of fit(x), which the driver gets as d and d x d numbers."""
-    sums = fit.agg(F.count("*").alias("n"), *[F.sum(F.get("x", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in range(dim)]).first()
-    n, s = sums["n"], [int(sums[f"s{i}"]) for i in range(dim)]
+    sums = fit.mapInArrow(_sums(dim), "i int, n long, s decimal(38,0)").groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()  # dim rows
+    n, s = sums[0].n, [int(r.s) for r in sorted(sums, key=lambda r: r.i)]
     centre = np.array([(2 * v + n) // (2 * n) for v in s], np.int64)
     rows = fit.mapInArrow(_products(centre), "i int, v array<double>")
     got = rows.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).collect()  # dim + 1 rows
@@ -194,10 +229,14 @@ def identity_error(fit: DataFrame, model: Whitening) -> float:
 def _project(model: Whitening):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, BLOCK):
-                part = b.slice(k, BLOCK)
-                x = _matrix(part.column("x"), model.dim)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(model.deviation(x), pa.int64()), pa.array(list(model.project(x)), pa.list_(pa.float64()))], names=["vec_id", "deviation", "w"])
+            x, fine = wholes(b.column("embedding"))
+            fine = pa.array(fine & (np.diff(x.offsets.to_numpy()) == model.dim))
+            ids, x = b.column("vec_id").filter(fine), x.filter(fine)
+            for k in range(0, len(x), BLOCK):
+                part = _matrix(x.slice(k, BLOCK), model.dim)
+                w = model.project(part)
+                offsets = pa.array(np.arange(len(part) + 1) * w.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([ids.slice(k, BLOCK), pa.array(model.deviation(part), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(w.ravel()))], names=["vec_id", "deviation", "w"])
 
     return run
 
@@ -207,11 +246,8 @@ def whiten(embeddings: DataFrame, components: int = 16, dim: int | None = None)
     explained, identity_error."""
     spark = embeddings.sparkSession
     out = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
-    (name,) = unused(embeddings, "_x")
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), whole(F.col("embedding")).alias(name)).where(F.col(name).isNotNull() & (F.size(name) > 0)).withColumnRenamed(name, "x")
-    if dim is not None:
-        rows = rows.where(F.size("x") == dim)
-    fit = stored(rows.select("x").distinct(), "whitening-fit")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    fit = stored(rows.select("embedding").mapInArrow(_usable(dim), "x array<long>").distinct(), "whitening-fit")
     sizes = fit.agg(F.min(F.size("x")), F.max(F.size("x"))).first()
     if sizes[0] is None:
         return spark.createDataFrame([], out)
