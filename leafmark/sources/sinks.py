@@ -1,104 +1,14 @@
-"""Sinks: chunk upsert, collections, tables of contents, JSON reports."""
+"""Sinks: chunk upsert and collections (sources.points), tables of contents, JSON reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.functions.ids import point_id
-from leafmark.plans.session import scratch_dir
+from leafmark.sources.points import create_collection, drop_collection, list_collections, merged, read_points, store_contents, upsert, with_ids  # noqa: F401
 from leafmark.sources.readers import _exists
 
 
-def with_ids(chunks: DataFrame) -> DataFrame:
-    """chunks(collection, file_id, position, …) with the point id that (file_id, position) fixes."""
-    return chunks.withColumn("id", point_id(F.col("file_id"), F.col("position")))
-
-
-#: Folders that the files of a collection are dealt to.
-BUCKETS = 64
-
-
-def bucketed(chunks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """chunks with the bucket of their file."""
-    return chunks.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int"))
-
-
-def merged(old: DataFrame, new: DataFrame, keep_tail: bool = False) -> DataFrame:
-    """old and new points by (collection, file_id). A load that is newer than what is there replaces the file whole; rows of one
-    load that come in several runs add up; rows of an older load are passed over. keep_tail leaves points of older loads where
-    the newer one has none at their position."""
-    rows = old.unionByName(new)
-    if not keep_tail:
-        newest = rows.groupBy("collection", "file_id").agg(F.max("load_seq").alias("_newest"))
-        rows = rows.join(newest, ["collection", "file_id"]).where(F.col("load_seq").eqNullSafe(F.col("_newest"))).drop("_newest")
-    others = [c for c in new.columns if c not in ("collection", "id")]
-    best = rows.groupBy("collection", "id").agg(F.max_by(F.struct(*others), F.struct("load_seq", *[c for c in others if c != "load_seq" and not new.schema[c].dataType.typeName() == "map"])).alias("r"))
-    return best.select("collection", "id", "r.*").select(*new.columns)
-
-
-def upsert(spark: SparkSession, new: DataFrame, path: str, keep_tail: bool = False, buckets: int = BUCKETS) -> None:
-    """Merges points into path, which is dealt by collection and bucket. Only buckets of files that came are written again, each
-    by one task, and a repeat changes nothing. The number of buckets belongs to the path and must not change."""
-    new = bucketed(with_ids(new), buckets)
-    if _exists(spark, path):
-        # the touched buckets are read back whole: a table cannot be overwritten while it is read, so the result is staged
-        touched = new.select("collection", "bucket").distinct()
-        old = spark.read.schema(new.schema).parquet(path).join(touched, ["collection", "bucket"], "left_semi").select(*new.columns)
-    else:
-        old = new.where("false")
-    staged = scratch_dir(spark, "upsert")
-    merged(old, new, keep_tail).write.parquet(staged)
-    out = spark.read.schema(new.schema).parquet(staged).repartition("collection", "bucket")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "bucket").parquet(path)
-
-
-def read_points(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Stored points; schema names the columns that the chunks came with."""
-    full = f"{schema}, id string, bucket int"
-    return spark.read.schema(full).parquet(path) if _exists(spark, path) else spark.createDataFrame([], full)
-
-
-def create_collection(spark: SparkSession, path: str, collection: str, points: DataFrame | None = None, replace: bool = False) -> bool:
-    """Makes the folder of a collection, with points if given. A no-op (False) where it is there, unless it is to be replaced."""
-    at, store = _folder(spark, path, collection)
-    if store.exists(at):
-        if not replace:
-            return False
-        store.delete(at, True)
-    store.mkdirs(at)
-    if points is not None:
-        upsert(spark, points.where(F.col("collection") == collection), path)
-    return True
-
-
-def _names(spark: SparkSession):
-    """How partition values are written as folder names."""
-    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-
-
-def _folder(spark: SparkSession, path: str, collection: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/collection={_names(spark).escapePathName(collection)}")
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def list_collections(spark: SparkSession, path: str) -> DataFrame:
-    """(collection) of the folders below path; those without points too."""
-    names = []
-    if _exists(spark, path):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        # a name for each collection; points are not looked at
-        names = [s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
-    names = [_names(spark).unescapePathName(n.removeprefix("collection=")) for n in names if n.startswith("collection=")]
-    return spark.createDataFrame([(n,) for n in sorted(names)], "collection string")
-
-
-def drop_collection(spark: SparkSession, path: str, collection: str) -> bool:
-    """Removes a collection's folder and all its points from storage; False where there was none."""
-    at, store = _folder(spark, path, collection)
-    return bool(store.delete(at, True))
-
-
 def write_contents(toc: DataFrame, path: str) -> None:
     """Tables of contents, a folder for each collection: of rollups.book_contents a line for each book, of contents one for all."""
     by = "collection" if "collection" in toc.columns else "collection_name"

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from leafmark.sources.sinks import read_points, upsert
+from leafmark.sources.points import store_contents, upsert
 
 CHUNKS = "collection string, file_id string, position bigint, section_title string, load_seq bigint"
 
 
-def contents_of(points: DataFrame) -> DataFrame:
-    """collection, files, chunks, named of stored points."""
-    return points.groupBy("collection").agg(F.countDistinct("file_id").alias("files"), F.count("*").alias("chunks"), F.count_if(F.col("section_title") != "noname").alias("named"))
+def load(spark: SparkSession, df: DataFrame, points: str, contents: str) -> None:
+    """A batch of chunks: upserted, and the contents (files, chunks, named) of its collections written. Counts are kept for each
+    bucket with the commit of its points, so they are taken up and replaced together and a load reads its own buckets only."""
+    upsert(spark, df, points)
+    fresh = store_contents(spark, points).join(df.select("collection").distinct(), "collection", "left_semi")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(contents)
 
 
 def ingest(spark: SparkSession, incoming: str, points: str, contents: str, checkpoint: str) -> None:
@@ -20,10 +22,7 @@ def ingest(spark: SparkSession, incoming: str, points: str, contents: str, check
     is run again after a failure leaves the same points, and a file that comes in several runs of a load keeps all its parts."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        upsert(spark, df, points)
-        touched = df.select("collection").distinct()
-        fresh = contents_of(read_points(spark, points, CHUNKS).join(touched, "collection", "left_semi"))
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(contents)
+        load(spark, df, points, contents)
 
     stream = spark.readStream.schema(CHUNKS).parquet(incoming)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
