@@ -199,5 +199,7 @@ _FINALS = {
     "op_snk4": "SELECT * FROM summary",
     "op_snk5": "SELECT collection, count(DISTINCT f) AS files, count(*) AS chunks, count(*) FILTER (WHERE section_title <> 'noname') AS named FROM points GROUP BY ALL",
 }
+_FINALS |= {f"op_src{n}_source": _FINALS[f"op_src{n}"] for n in (1, 3, 4)}
+_FINALS["op_snk5_books"] = "SELECT collection, count(DISTINCT book_index) AS files, count(*) AS chunks, count(*) FILTER (WHERE title <> 'noname') AS named FROM fx_toc_sections GROUP BY ALL"
 _WITH = "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in STEPS.items())
 ORACLES = {k: f"{_WITH}\n{v}" for k, v in _FINALS.items()}

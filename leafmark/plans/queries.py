@@ -12,7 +12,7 @@ from leafmark.functions.ids import file_id
 from leafmark.operators import books, elements, hierarchy, lsh, pagenums, pages, retrieval, rollups, sections, stitch, token_store, vectors
 from leafmark.plans.fixtures import view
 from leafmark.plans.session import scratch_dir, ship_package
-from leafmark.sources import readers, sinks
+from leafmark.sources import book_folders, readers, sinks
 from leafmark.streaming import ingest
 
 #: Ids of a source that op_ve2 batches in one task.
@@ -604,6 +604,48 @@ def op_src5(s, d):
     return p.select("page_id", F.md5(readers.data_uri(F.encode("html", "UTF-8"))).alias("uri_md5"))
 
 
+def _books_read(s, root, table, **options):
+    return book_folders.register(s).read.format("book_folders").options(path=root, table=table, **options).load()
+
+
+@query
+def op_src1_source(s, d):
+    """op_src1 by the data source."""
+    root = scratch_dir(s, "reports")
+    _written_reports(s, d, root)
+    return _books_read(s, root, "sections", report="*.json").select("collection", "book_index", "pos", "title")
+
+
+@query
+def op_src3_source(s, d):
+    """op_src3 by the data source: a map for each book."""
+    root = scratch_dir(s, "maps")
+    t = sections.identify(view(s, d, "fx_elements")).select("doc_id", F.col("section_idx").cast("string").alias("k"), "title")
+    m = t.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "title"))).alias("m"))
+    m.select(F.to_json("m").alias("value"), F.lit("c").alias("collection"), F.col("doc_id").alias("book")).repartition(4, "book").write.partitionBy("collection", "book").text(root)
+    return _books_read(s, root, "maps", maps="*.txt").select(F.col("book_index").alias("doc_id"), F.col("key").alias("section_idx"), F.col("value").alias("title"))
+
+
+@query
+def op_src4_source(s, d):
+    """op_src4 by the data source: books with and without a report, and a folder that is no book."""
+    root = scratch_dir(s, "books")
+    b = view(s, d, "fx_books")
+    b.where("has_report").select("collection", F.col("book_index").alias("book"), "total_pages", F.lit(3).alias("total_sections")).write.partitionBy("collection", "book").json(root)
+    folders = b.select("collection", F.col("book_index").cast("string").alias("book"), F.lit("x").alias("value")).union(b.select("collection", F.lit("temp_folder"), F.lit("x")))
+    folders.write.mode("append").partitionBy("collection", "book").text(root)
+    return _books_read(s, root, "books", report="*.json")
+
+
+@query
+def op_snk5_books(s, d):
+    """Contents of collections whose books come as a stream of folders."""
+    root = scratch_dir(s, "books")
+    _written_reports(s, d, f"{root}/in")
+    ingest.ingest_books(s, f"{root}/in", f"{root}/points", f"{root}/toc", f"{root}/ck", report="*.json", settled="0")
+    return s.read.schema("files bigint, chunks bigint, named bigint, collection string").parquet(f"{root}/toc")
+
+
 def _points(s, d):
     c = view(s, d, "fx_chunks")
     name = F.concat(F.lit("file"), (F.col("chunk_id") % 6).cast("string"))
