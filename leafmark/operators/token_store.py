@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from leafmark.operators import retrieval
 from leafmark.plans.session import scratch_dir
@@ -189,12 +190,22 @@ def _united(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _score_asked(shared):
+def _best_of_each(query: np.ndarray, chunk: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best rows of each query; scores equal to nine places fall by chunk."""
+    order = np.lexsort((chunk, -np.round(score, 9), query))
+    query, chunk, score = query[order], chunk[order], score[order]
+    first = np.searchsorted(query, query)
+    kept = np.arange(len(query)) - first < k
+    return query[kept], chunk[kept], score[kept]
+
+
+def _score_asked(shared, k: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         ends = q.ends
+        out: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for b in batches:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for chunks, d, starts, at in _slices(b):
                 for chunk, start, end, row in zip(chunks, starts, np.r_[starts[1:], len(d)], at):
                     own = np.unique(np.searchsorted(q.ids, np.array(b.column("asked")[row].as_py(), np.int64)))
@@ -202,15 +213,23 @@ def _score_asked(shared):
                     which = np.repeat(q.starts[own] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
                     best = (d[start:end] @ q.matrix[which].T).max(0)
                     out.append((q.ids[own], np.full(len(own), chunk), np.add.reduceat(best, np.r_[0, np.cumsum(sizes)[:-1]])))
-            if out:
+                    held += len(own)
+                if k is not None and held > 4 * k * len(q.ids):
+                    out = [_best_of_each(*(np.concatenate(x) for x in zip(*out)), k)]
+                    held = len(out[0][0])
+            if out and k is None:
                 yield _rows(*(np.concatenate(x) for x in zip(*out)))
+                out = []
+        if out:
+            yield _rows(*_best_of_each(*(np.concatenate(x) for x in zip(*out)), k))
 
     return run
 
 
-def candidate_scores(queries: DataFrame, store: TokenStore, candidates: DataFrame, kind: str | None = None, block: int = BLOCK_TOKENS) -> DataFrame:
+def candidate_scores(queries: DataFrame, store: TokenStore, candidates: DataFrame, kind: str | None = None, k: int | None = None, block: int = BLOCK_TOKENS) -> DataFrame:
     """(query_id, chunk_id, score) of candidates(query_id, chunk_id), which are read twice and had best be stored. Only folders
-    and row groups that hold one are read; a chunk comes to a task once, with the queries that ask for it."""
+    and row groups that hold one are read; a chunk comes to a task once, with the queries that ask for it.
+    With k, a task gives back the k best of each query as in block_scores."""
     sc = store.spark.sparkContext
     parts = []
     for q in query_blocks(queries, block):
@@ -220,15 +239,65 @@ def candidate_scores(queries: DataFrame, store: TokenStore, candidates: DataFram
         asked = own.groupBy("chunk_id").agg(F.collect_set("query_id").alias("asked"))
         rows = store.of(own.select("chunk_id"))
         rows = rows if kind is None else rows.where(F.col("kind") == kind)
-        parts.append(rows.join(asked, "chunk_id").select("chunk_id", "vecs", "asked").mapInArrow(_score_asked(sc.broadcast(q)), SCORES))
+        parts.append(rows.join(asked, "chunk_id").select("chunk_id", "vecs", "asked").mapInArrow(_score_asked(sc.broadcast(q), k), SCORES))
     return _united(store.rows(), parts)
 
 
+def _nearest(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        n = len(q.matrix)
+        s, chunk, tok = np.empty((n, 0)), np.empty((n, 0), np.int64), np.empty((n, 0), np.int64)
+        for b in batches:
+            for chunks, d, starts, _ in _slices(b):
+                sizes = np.diff(np.r_[starts, len(d)])
+                own, place = np.repeat(chunks, sizes), np.arange(len(d)) - np.repeat(starts, sizes)
+                for at in range(0, n, SLICE_QUERY):
+                    got = q.matrix[at : at + SLICE_QUERY] @ d.T
+                    part = slice(at, at + SLICE_QUERY)
+                    s_, c_, t_ = np.concatenate([s[part], got], 1), np.concatenate([chunk[part], np.broadcast_to(own, got.shape)], 1), np.concatenate([tok[part], np.broadcast_to(place, got.shape)], 1)
+                    order = np.lexsort((t_, c_, -np.round(s_, 9)), axis=1)[:, :k]
+                    if not at:
+                        wide = order.shape[1]
+                        kept = np.empty((n, wide)), np.empty((n, wide), np.int64), np.empty((n, wide), np.int64)
+                    for to, x in zip(kept, (s_, c_, t_)):
+                        to[part] = np.take_along_axis(x, order, 1)
+                s, chunk, tok = kept
+        query = np.repeat(np.repeat(q.ids, np.diff(np.r_[q.starts, n])), s.shape[1])
+        part = np.repeat(np.arange(n), s.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (query, part, chunk.ravel(), tok.ravel(), s.ravel())], names=["query_id", "part", "chunk_id", "doc_tok", "s"])
+
+    return run
+
+
+def nearest_tokens(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK_TOKENS) -> DataFrame:
+    """(query_id, part, chunk_id, doc_tok, s): for each query token (part) the k nearest document tokens, doc_tok their place in the
+    chunk. A task gives back the k best of what it has read; equal to nine places they fall by chunk and place."""
+    sc, out = rows.sparkSession.sparkContext, None
+    for q in query_blocks(queries, block):
+        found = rows.select("chunk_id", "vecs").mapInArrow(_nearest(sc.broadcast(q), k), "query_id long, part long, chunk_id long, doc_tok long, s double")
+        w = Window.partitionBy("query_id", "part").orderBy(F.round("s", 9).desc(), "chunk_id", "doc_tok")
+        found = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+        out = found if out is None else out.unionByName(found)
+    return rows.sparkSession.createDataFrame([], "query_id long, part long, chunk_id long, doc_tok long, s double") if out is None else out
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def token_level(queries: DataFrame, tokens: TokenStore, k: int = 10, widen: int = 5) -> DataFrame:
+    """retrieval.token_level over a stored layout: the k * widen nearest tokens of every query token name the candidates, of which
+    all tokens are read and no others."""
+    near = _kept(nearest_tokens(queries, tokens.rows(), k * widen).select("query_id", "chunk_id").distinct(), "near")
+    return retrieval.top(candidate_scores(queries, tokens, near, k=k), k).select("query_id", "rank", "chunk_id", "score")
+
+
 def two_stage(queries: DataFrame, pooled: TokenStore, tokens: TokenStore, k: int = 10, widen: int = 10) -> DataFrame:
     """retrieval.two_stage over stored layouts: matrix products against all pooled vectors, k * widen of each kind by task, then the
     tokens of these chunks and of no others are read."""
     stage = [retrieval.top(block_scores(queries, pooled.rows().where(F.col("kind") == kind), k * widen), k * widen).select("query_id", "chunk_id") for kind in ("mean_c", "mean_r")]
-    path = scratch_dir(pooled.spark, "chosen")
-    stage[0].union(stage[1]).distinct().write.parquet(path)
-    chosen = pooled.spark.read.schema("query_id long, chunk_id long").parquet(path)
-    return retrieval.top(candidate_scores(queries, tokens, chosen), k).select("query_id", "rank", "chunk_id", "score")
+    chosen = _kept(stage[0].union(stage[1]).distinct(), "chosen")
+    return retrieval.top(candidate_scores(queries, tokens, chosen, k=k), k).select("query_id", "rank", "chunk_id", "score")

@@ -61,6 +61,10 @@ def test_candidates_are_scored_alone(spark, ragged, asked, tmp_path):
     assert told(token_store.candidate_scores(asked, store, pairs)) == want
     assert told(token_store.candidate_scores(asked, store, pairs, block=2)) == want
     assert token_store.candidate_scores(asked, store, pairs.limit(0)).collect() == []
+    every = asked.select("query_id").distinct().crossJoin(ragged.select("chunk_id").distinct())
+    some = token_store.candidate_scores(asked, store, every, k=3)
+    best = lambda df: {(r.query_id, r["rank"], r.chunk_id) for r in retrieval.top(df, 3).collect()}
+    assert best(some) == best(retrieval.max_sim(asked, ragged)) and some.count() < len(all_)
 
 
 def read_by_scan(df):
