@@ -95,6 +95,17 @@ def rejection_pages(bad: DataFrame) -> DataFrame:
     return bad.groupBy("page_idx").agg(F.count("*").alias("n"))
 
 
+def rejection_cube(bad: DataFrame) -> DataFrame:
+    """(level, reason, page_idx, n): reasons, pages and reasons by page in one pass over the rejected formulas, by grouping sets. A
+    formula counts once for each of its reasons on the levels reason and both, and once on the level page."""
+    # the first row of a formula stands for it where reasons do not matter
+    rows = bad.select("page_idx", F.posexplode("reasons").alias("at", "reason"))
+    r, p = F.col("reason"), F.col("page_idx")
+    out = rows.groupingSets([[r], [p], [r, p]], r, p).agg(F.grouping_id().alias("g"), F.count("*").alias("each"), F.count_if(F.col("at") == 0).alias("once"))
+    level = F.when(F.col("g") == 0, "both").when(F.col("g") == 1, "reason").otherwise("page")
+    return out.select(level.alias("level"), "reason", "page_idx", F.when(F.col("g") == 2, F.col("once")).otherwise(F.col("each")).alias("n"))
+
+
 def with_ocr(formulas: DataFrame, ocr: DataFrame) -> DataFrame:
     """Recognised text by (doc_id, formula_id); '' where there is none."""
     return formulas.join(ocr.withColumnRenamed("ocr", "_ocr"), ["doc_id", "formula_id"], "left").withColumn("ocr_content", F.coalesce("_ocr", F.lit(""))).drop("_ocr")

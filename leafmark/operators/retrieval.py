@@ -135,6 +135,13 @@ def anchored_query(replies: DataFrame) -> DataFrame:
     return replies.select("query_id", "question", rewritten.alias("rewritten"), F.when(rewritten.isNotNull(), F.concat("question", F.lit("("), rewritten, F.lit(")"))).otherwise(F.col("question")).alias("search_text"))
 
 
+def assemble_context(questions: DataFrame, queries: DataFrame, pooled: DataFrame, tokens: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """What an assistant is given for each of questions(query_id): a search of k chunks, and contexts of what it found. k is 1 to 20."""
+    if not 1 <= k <= 20:
+        raise ValueError("k must be from 1 to 20")
+    return contexts(questions, two_stage(queries, pooled, tokens, k), chunks, k)
+
+
 def contexts(questions: DataFrame, found: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """query_id, chunk_ids and image_paths (those not empty) in rank order, found; a row for every question."""
     r = found.where(F.col("rank") <= k).join(chunks.select("chunk_id", "image_path"), "chunk_id", "left")

@@ -63,6 +63,18 @@ def collection_totals(books: DataFrame, sections: DataFrame) -> DataFrame:
     return out.select("collection", *[F.col(c).cast("long").alias(c) for c in ("books", "sections", "pages")])
 
 
+def totals_by_level(books: DataFrame, sections: DataFrame) -> DataFrame:
+    """level (book, collection, all), collection, book_index, books, sections, pages: collection_totals of every level from one
+    pass, by grouping sets over a row for each book."""
+    n = sections.groupBy("collection", "book_index").agg(F.count("*").alias("n"))
+    rows = books.join(n, ["collection", "book_index"], "left")
+    sums = F.count("*").alias("books"), F.sum(F.coalesce("n", F.lit(0))).alias("sections"), F.sum(F.when(F.col("has_report"), F.col("total_pages")).otherwise(0)).alias("pages")
+    c, b = F.col("collection"), F.col("book_index")
+    out = rows.groupingSets([[c, b], [c], []], c, b).agg(F.grouping_id().alias("g"), *sums)
+    level = F.when(F.col("g") == 0, "book").when(F.col("g") == 1, "collection").otherwise("all")
+    return out.select(level.alias("level"), "collection", "book_index", *[F.col(x).cast("long").alias(x) for x in ("books", "sections", "pages")])
+
+
 def gate(files: DataFrame, metadata_counts: DataFrame | None = None) -> DataFrame:
     """files(batch, name, size_bytes) with accepted and reason. metadata_counts(batch, n): where given, a batch of another
     number of files is rejected whole. Batches are counted and compared on their own, and only those that differ are joined

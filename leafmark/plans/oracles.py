@@ -199,6 +199,18 @@ _FINALS = {
     "op_snk4": "SELECT * FROM summary",
     "op_snk5": "SELECT collection, count(DISTINCT f) AS files, count(*) AS chunks, count(*) FILTER (WHERE section_title <> 'noname') AS named FROM points GROUP BY ALL",
 }
+_FINALS |= {
+    "op_re3_stored": _FINALS["op_re3"],
+    "op_re5_index": _FINALS["op_re5"],
+    "op_el6_cube": """SELECT CASE GROUPING_ID(reason, page_idx) WHEN 0 THEN 'both' WHEN 1 THEN 'reason' ELSE 'page' END AS level, reason, page_idx, count(*) AS n FROM (SELECT page_idx, unnest(list_filter([CASE WHEN rw < 0.045 THEN 'width_too_small' END, CASE WHEN rh < 0.015 THEN 'height_too_small' END,
+        CASE WHEN ra < 0.0003 THEN 'area_too_small' END, CASE WHEN rw > 0.85 THEN 'width_too_large' END, CASE WHEN rh > 0.25 THEN 'height_too_large' END, CASE WHEN score < 0.65 THEN 'score_too_low' END], lambda x: x IS NOT NULL)) AS reason FROM rejected) GROUP BY GROUPING SETS ((reason), (reason, page_idx))
+        UNION ALL SELECT 'page', NULL, page_idx, count(*) FROM rejected GROUP BY page_idx""",
+    "op_tc4_levels": """SELECT CASE GROUPING_ID(collection, book_index) WHEN 0 THEN 'book' WHEN 1 THEN 'collection' ELSE 'all' END AS level, collection, book_index, count(*) AS books, CAST(sum(coalesce(n, 0)) AS BIGINT) AS sections, CAST(sum(shown_pages) AS BIGINT) AS pages
+        FROM titles_of LEFT JOIN listed USING (collection, book_index) GROUP BY GROUPING SETS ((collection, book_index), (collection), ())""",
+    "op_tc1_nested": """SELECT collection AS collection_name, count(*) AS total_books, md5(string_agg(concat(book_index, ';', title, ';', shown_pages, ';', CASE WHEN has_report THEN total_sections ELSE 0 END, ';', coalesce(short, '')), '|' ORDER BY book_index)) AS books_md5 FROM titles_of
+        LEFT JOIN (SELECT collection, book_index, string_agg(concat(k, ':', title), ',' ORDER BY pos) AS short FROM (SELECT *, row_number() OVER (PARTITION BY collection, book_index ORDER BY pos) - 1 AS k FROM fx_toc_sections) GROUP BY ALL) USING (collection, book_index) GROUP BY ALL""",
+    "op_ve3_models": "SELECT doc_id, 'letters' AS model, 0 AS tok, vec FROM (" + _FINALS["op_ve3"] + ") UNION ALL SELECT doc_id, 'lines', tok - 1, concat(len(line), '|', len(line) - len(replace(line, ' ', ''))) FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS tok FROM documents)",
+}
 _FINALS |= {f"op_src{n}_source": _FINALS[f"op_src{n}"] for n in (1, 3, 4)}
 _FINALS["op_snk5_books"] = "SELECT collection, count(DISTINCT book_index) AS files, count(*) AS chunks, count(*) FILTER (WHERE title <> 'noname') AS named FROM fx_toc_sections GROUP BY ALL"
 _WITH = "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in STEPS.items())

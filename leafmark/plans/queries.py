@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions.ids import file_id
-from leafmark.operators import books, elements, hierarchy, lsh, pagenums, pages, retrieval, rollups, sections, stitch, token_store, vectors
+from leafmark.operators import books, elements, hierarchy, lsh, models, pagenums, pages, retrieval, rollups, sections, stitch, title_index, token_store, vectors
 from leafmark.plans.fixtures import view
 from leafmark.plans.session import scratch_dir, ship_package
 from leafmark.sources import book_folders, readers, sinks
@@ -141,6 +141,12 @@ def op_el6_pages(s, d):
     return elements.rejection_pages(_rejected(s, d))
 
 
+@query
+def op_el6_cube(s, d):
+    """Reasons, pages and both in one pass."""
+    return elements.rejection_cube(_rejected(s, d))
+
+
 @query
 def op_el7(s, d):
     r = _records(s, d)
@@ -368,6 +374,15 @@ def op_ve3(s, d):
     return vectors.embed(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), _load_model, "doc_id long, vec array<double>").select("doc_id", joined(F.transform("vec", lambda x: x.cast("long"))).alias("vec"))
 
 
+@query
+def op_ve3_models(s, d):
+    """Two models by name, each with rows of its own."""
+    models.register(ship_package(s))
+    s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").createOrReplaceTempView("leafmark_texts")
+    told = "array_join(transform(e.vec, x -> cast(cast(x as bigint) as string)), '|') AS vec"
+    return s.sql(f"SELECT d.doc_id, 'letters' AS model, 0L AS tok, {told} FROM leafmark_texts d, LATERAL embed('letters', d.text) e UNION ALL SELECT d.doc_id, 'lines', e.tok, {told} FROM leafmark_texts d, LATERAL embed('lines', d.text) e")
+
+
 @query
 def op_ve4(s, d):
     return vectors.normalised(view(s, d, "fx_tokens")).select("chunk_id", "tok", F.posexplode("vec").alias("dim", "v")).select("chunk_id", "tok", F.col("dim").cast("long").alias("dim"), F.round("v", 6).alias("v"))
@@ -434,6 +449,12 @@ def op_re3(s, d):
     return retrieval.token_level(view(s, d, "fx_query_tokens"), view(s, d, "fx_tokens"), 4).withColumn("score", F.round("score", 6))
 
 
+@query
+def op_re3_stored(s, d):
+    """The rows of op_re3 by matrix products over stored chunks."""
+    return token_store.token_level(view(s, d, "fx_query_tokens"), _token_store(s, d), 4).withColumn("score", F.round("score", 6))
+
+
 @query
 def op_re4(s, d):
     return retrieval.by_title(view(s, d, "fx_chunks"), "Section 3", 10).select("collection", "chunk_id", "section_title", "rn")
@@ -444,6 +465,14 @@ def op_re5(s, d):
     return retrieval.outline_search(view(s, d, "fx_toc_sections"), " CUSTOMER#0000001 ")
 
 
+@query
+def op_re5_index(s, d):
+    """The rows of op_re5 by the index of titles."""
+    root, keys = scratch_dir(s, "titles"), ["collection", "book_index", "pos"]
+    title_index.write(view(s, d, "fx_toc_sections"), root, keys)
+    return title_index.search(s, root, " CUSTOMER#0000001 ", keys)
+
+
 def _payloads(s, d):
     """Chunks with all that a result shows of them."""
     c = view(s, d, "fx_chunks")
@@ -523,6 +552,18 @@ def _gated(s, d):
     return rollups.gate(f, n)
 
 
+@query
+def op_tc4_levels(s, d):
+    return rollups.totals_by_level(*_bs(s, d))
+
+
+@query
+def op_tc1_nested(s, d):
+    """A collection's contents as one document."""
+    told = lambda b: F.concat_ws(";", b["book_folder"], b["title"], b["total_pages"], b["total_sections"], F.array_join(F.transform(b["sections"], lambda x: F.concat_ws(":", x["index"], x["title"])), ","))
+    return rollups.contents(*_bs(s, d)).select("collection_name", "total_books", F.md5(F.array_join(F.transform("books", told), "|")).alias("books_md5"))
+
+
 @query
 def op_up1(s, d):
     return _gated(s, d).select("batch", "name", "accepted", "reason")
