@@ -118,6 +118,15 @@ def two_stage(queries: DataFrame, index: DataFrame, pooled: TokenStore, tokens:
     return retrieval.top(candidate_scores(queries, tokens, chosen, k=k), k).select("query_id", "rank", "chunk_id", "score")
 
 
+def finder(index: DataFrame, lsh: Lsh = Lsh()) -> retrieval.Find:
+    """two_stage as retrieval.search takes it, over an index of the stored vectors."""
+
+    def find(queries: DataFrame, pooled: TokenStore, tokens: TokenStore, k: int) -> DataFrame:
+        return two_stage(queries, index, pooled, tokens, k, lsh=lsh)
+
+    return find
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(query_id, recall): the share of exact(query_id, chunk_id) that is among found(query_id, chunk_id)."""
     hit = exact.select("query_id", "chunk_id").join(found.select("query_id", "chunk_id").distinct().withColumn("_hit", F.lit(1)), ["query_id", "chunk_id"], "left")

@@ -6,6 +6,7 @@ in blocks of queries, each block with the scan of the documents. Scores are pre-
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ from pyspark.sql.window import Window
 from leafmark.operators.rollups import by_number
 from leafmark.operators.sections import NONAME
 
+#: (queries, pooled, tokens, k) -> (query_id, rank, chunk_id, score)
+Find = Callable[..., DataFrame]
 #: Query tokens that one scan of the documents may carry.
 BLOCK_TOKENS = 20_000
 
@@ -105,11 +108,12 @@ def results(found: DataFrame, chunks: DataFrame, k: int, images: DataFrame | Non
     return out.select("query_id", by_number(F.col("l"), "rank").alias("results"), F.size("l").cast("long").alias("total_results"))
 
 
-def search(queries: DataFrame, pooled: DataFrame, tokens: DataFrame, chunks: DataFrame, k: int = 5, images: DataFrame | None = None, chunk_images: DataFrame | None = None) -> DataFrame:
-    """The whole search of a batch: two stages, then results(). k is 1 to 100 (20 for questions to an assistant)."""
+def search(queries: DataFrame, pooled, tokens, chunks: DataFrame, k: int = 5, images: DataFrame | None = None, chunk_images: DataFrame | None = None, find: Find = two_stage) -> DataFrame:
+    """The whole search of a batch: two stages, then results(). k is 1 to 100 (20 for questions to an assistant). find looks for the
+    chunks: two_stage in tables of vectors, token_store.two_stage in stored layouts, lsh.finder in these behind an index."""
     if not 1 <= k <= 100:
         raise ValueError("k must be from 1 to 100")
-    return results(two_stage(queries, pooled, tokens, k), chunks, k, images, chunk_images)
+    return results(find(queries, pooled, tokens, k), chunks, k, images, chunk_images)
 
 
 def search_by_title(chunks: DataFrame, title: str = NONAME, limit: int = 10) -> DataFrame:
@@ -135,11 +139,12 @@ def anchored_query(replies: DataFrame) -> DataFrame:
     return replies.select("query_id", "question", rewritten.alias("rewritten"), F.when(rewritten.isNotNull(), F.concat("question", F.lit("("), rewritten, F.lit(")"))).otherwise(F.col("question")).alias("search_text"))
 
 
-def assemble_context(questions: DataFrame, queries: DataFrame, pooled: DataFrame, tokens: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """What an assistant is given for each of questions(query_id): a search of k chunks, and contexts of what it found. k is 1 to 20."""
+def assemble_context(questions: DataFrame, queries: DataFrame, pooled, tokens, chunks: DataFrame, k: int = 5, find: Find = two_stage) -> DataFrame:
+    """What an assistant is given for each of questions(query_id): a search of k chunks, as in search(), and contexts of what it
+    found. k is 1 to 20."""
     if not 1 <= k <= 20:
         raise ValueError("k must be from 1 to 20")
-    return contexts(questions, two_stage(queries, pooled, tokens, k), chunks, k)
+    return contexts(questions, find(queries, pooled, tokens, k), chunks, k)
 
 
 def contexts(questions: DataFrame, found: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:

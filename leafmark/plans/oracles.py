@@ -202,6 +202,10 @@ _FINALS = {
 _FINALS |= {
     "op_re3_stored": _FINALS["op_re3"],
     "op_re5_index": _FINALS["op_re5"],
+    "op_re6_stored": _FINALS["op_re6"],
+    "op_up2_summary": """SELECT batch, processed_files > 0 AS success, processed_files, rejected_files, chunks, coalesce(files_digest, 0) AS files_digest, errors_digest FROM (SELECT batch, count(*) FILTER (WHERE accepted) AS processed_files, count(*) FILTER (WHERE NOT accepted) AS rejected_files, CAST(coalesce(sum(pages) FILTER (WHERE accepted), 0) AS BIGINT) AS chunks,
+        CAST(coalesce(sum(CAST('0x' || substr(md5(concat(name, ': ', reason)), 1, 7) AS BIGINT)) FILTER (WHERE NOT accepted), 0) AS BIGINT) AS errors_digest FROM gated GROUP BY ALL)
+        LEFT JOIN (SELECT batch, CAST(sum(CAST('0x' || substr(md5(concat(name, '=', pages)), 1, 7) AS BIGINT)) AS BIGINT) AS files_digest FROM (SELECT batch, name, arg_max(pages, seq) AS pages FROM gated WHERE accepted GROUP BY ALL) GROUP BY ALL) USING (batch)""",
     "op_el6_cube": """SELECT CASE GROUPING_ID(reason, page_idx) WHEN 0 THEN 'both' WHEN 1 THEN 'reason' ELSE 'page' END AS level, reason, page_idx, count(*) AS n FROM (SELECT page_idx, unnest(list_filter([CASE WHEN rw < 0.045 THEN 'width_too_small' END, CASE WHEN rh < 0.015 THEN 'height_too_small' END,
         CASE WHEN ra < 0.0003 THEN 'area_too_small' END, CASE WHEN rw > 0.85 THEN 'width_too_large' END, CASE WHEN rh > 0.25 THEN 'height_too_large' END, CASE WHEN score < 0.65 THEN 'score_too_low' END], lambda x: x IS NOT NULL)) AS reason FROM rejected) GROUP BY GROUPING SETS ((reason), (reason, page_idx))
         UNION ALL SELECT 'page', NULL, page_idx, count(*) FROM rejected GROUP BY page_idx""",

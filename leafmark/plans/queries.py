@@ -486,11 +486,23 @@ def op_re6(s, d):
     c = _payloads(s, d)
     images = c.where("image_path <> ''").select("image_path", readers.data_uri(F.encode("image_path", "UTF-8")).alias("uri"))
     slices = c.where("chunk_id % 2 = 0").select("chunk_id", F.array(F.concat(F.lit("slice"), F.col("chunk_id"))).alias("uris"))
-    r = retrieval.search(view(s, d, "fx_query_tokens"), _pooled(s, d), view(s, d, "fx_tokens"), c, 5, images, slices)
+    return _told_results(retrieval.search(view(s, d, "fx_query_tokens"), _pooled(s, d), view(s, d, "fx_tokens"), c, 5, images, slices))
+
+
+def _told_results(r):
     told = lambda x: F.concat_ws(":", x["chunk_id"], x["section_title"], x["image_path"], F.array_join(F.transform(x["formulas"], lambda f: F.concat_ws("@", f["content"], f["page"])), ","), F.array_join(x["section_pages"], ","), F.array_join(x["ancestors"], ","), x["metadata"]["display_name"], F.coalesce(F.md5(x["image_base64"]), F.lit("-")), F.array_join(x["chunk_images"], ","))
     return r.select("query_id", F.array_join(F.transform("results", told), "|").alias("results"), "total_results")
 
 
+@query
+def op_re6_stored(s, d):
+    """The rows of op_re6 from stored layouts."""
+    c = _payloads(s, d)
+    images = c.where("image_path <> ''").select("image_path", readers.data_uri(F.encode("image_path", "UTF-8")).alias("uri"))
+    slices = c.where("chunk_id % 2 = 0").select("chunk_id", F.array(F.concat(F.lit("slice"), F.col("chunk_id"))).alias("uris"))
+    return _told_results(retrieval.search(view(s, d, "fx_query_tokens"), _pooled_store(s, d), _token_store(s, d), c, 5, images, slices, find=token_store.two_stage))
+
+
 @query
 def op_re7(s, d):
     return retrieval.metadata_of(view(s, d, "fx_chunks"), _found(s, d))
@@ -576,6 +588,11 @@ def op_up2(s, d):
     return r.select("batch", "success", "processed_files", "chunks", "total_pages", F.md5(told).alias("files_md5"), F.md5(joined("errors")).alias("errors_md5"))
 
 
+@query
+def op_up2_summary(s, d):
+    return rollups.upload_summary(_gated(s, d))
+
+
 @query
 def op_up2_errors(s, d):
     return rollups.rejected_files(_gated(s, d))

@@ -138,6 +138,17 @@ def test_neighbours_are_found_by_reading_few_chunks(spark, clustered, tmp_path):
     assert abs(got - len(shared) / len(exact)) < 1e-9
 
 
+def test_a_search_behind_the_index(spark, clustered, tmp_path):
+    tokens, queries = clustered
+    pooled, planes = vectors.pooled(tokens, 2, 2), Lsh(bits=15, tables=5, turns=3)
+    lsh.write_index(pooled, f"{tmp_path}/lsh", planes)
+    p, t = token_store.write(pooled, f"{tmp_path}/p"), token_store.write(tokens, f"{tmp_path}/t")
+    chunks = tokens.selectExpr("chunk_id", "'c' as collection", "concat('t', chunk_id) as section_title").distinct()
+    found = {r.query_id: r.results for r in retrieval.search(queries, p, t, chunks, 1, find=lsh.finder(lsh.read_index(spark, f"{tmp_path}/lsh"), planes)).collect()}
+    exact = {r.query_id: r.results for r in retrieval.search(queries, p, t, chunks, 1, find=token_store.two_stage).collect()}
+    assert len(exact) == 20 and found == exact
+
+
 def test_recall_on_the_given_vectors(spark):
     """Random directions without neighbours, the hardest case: one in a hundred rows against all rows."""
     from leafmark.plans.queries import QUERIES
