@@ -202,6 +202,7 @@ _FINALS = {
 _FINALS |= {
     "op_re3_stored": _FINALS["op_re3"],
     "op_re5_index": _FINALS["op_re5"],
+    "op_src5_images": """SELECT chunk_id, coalesce(n, 0) AS images, md5(coalesce(u, '')) AS uris_md5 FROM fx_chunks LEFT JOIN (SELECT page_id // 5 AS folder_id, count(*) AS n, string_agg(concat('data:image/png;base64,', base64(encode(html))), '|' ORDER BY md5(CAST(page_id AS VARCHAR))) AS u FROM pages GROUP BY ALL) ON folder_id = chunk_id""",
     "op_re6_stored": _FINALS["op_re6"],
     "op_up2_summary": """SELECT batch, processed_files > 0 AS success, processed_files, rejected_files, chunks, coalesce(files_digest, 0) AS files_digest, errors_digest FROM (SELECT batch, count(*) FILTER (WHERE accepted) AS processed_files, count(*) FILTER (WHERE NOT accepted) AS rejected_files, CAST(coalesce(sum(pages) FILTER (WHERE accepted), 0) AS BIGINT) AS chunks,
         CAST(coalesce(sum(CAST('0x' || substr(md5(concat(name, ': ', reason)), 1, 7) AS BIGINT)) FILTER (WHERE NOT accepted), 0) AS BIGINT) AS errors_digest FROM gated GROUP BY ALL)

@@ -704,6 +704,14 @@ def op_snk5_books(s, d):
     return s.read.schema("files bigint, chunks bigint, named bigint, collection string").parquet(f"{root}/toc")
 
 
+@query
+def op_src5_images(s, d):
+    """The images of each chunk's folder, in the order of their names."""
+    p = s.read.parquet(f"{d}/pages.parquet")
+    images = p.select(F.floor(F.col("page_id") / 5).alias("folder_id"), F.md5(F.col("page_id").cast("string")).alias("name"), F.encode("html", "UTF-8").alias("content"))
+    return readers.chunk_images(view(s, d, "fx_chunks").select("chunk_id", "image_path"), images).select("chunk_id", F.size("uris").cast("long").alias("images"), F.md5(F.array_join("uris", "|")).alias("uris_md5"))
+
+
 def _points(s, d):
     c = view(s, d, "fx_chunks")
     name = F.concat(F.lit("file"), (F.col("chunk_id") % 6).cast("string"))
