@@ -20,7 +20,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import ascii_lower, small, stored
+from leafmark.llm.common import ascii_lower, light, stored
 
 #: (host, path, verdict)
 GIVEN = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -91,10 +91,10 @@ def blocked(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, by): URLs that hold all tokens of a rule, with the surest one, through the inverted index of the rules."""
     urls = rows.select("url", "tokens").distinct()
     terms = rules.select(F.explode("need").alias("token")).distinct()
-    often = urls.select(F.explode("tokens").alias("token")).join(small(terms), "token").groupBy("token").count()
+    often = urls.select(F.explode("tokens").alias("token")).join(light(terms, F.octet_length("token") + 32), "token").groupBy("token").count()
     posted = rules.select("rule_id", "need", "confidence", F.explode("need").alias("token")).join(often, "token", "left")
     index = stored(posted.groupBy("rule_id", "need", "confidence").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token")), "index")
-    met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(small(index), "token").where(F.size(F.array_except("need", "tokens")) == 0)
+    met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(light(index, 3 * F.octet_length("rule_id") + 32 * F.size("need") + 64), "token").where(F.size(F.array_except("need", "tokens")) == 0)
     return met.groupBy("url").agg(F.max_by("rule_id", F.struct("confidence", "rule_id")).alias("by"))
 
 
@@ -103,6 +103,6 @@ def judge(pages: DataFrame, labels: DataFrame, given: Sequence[tuple[str, str, s
     rows = parsed(pages)
     rules = mine(rows, labels, support, lift, sigmas, least)
     hit = stored(blocked(rows, rules).select(F.col("url").alias("u"), "by"), "blocked")
-    out = rows.join(small(hit), F.col("url") == F.col("u"), "left").withColumn("g", given_rule(F.col("host"), F.col("path"), given))
+    out = rows.join(light(hit, F.octet_length("u") + F.octet_length("by") + 64), F.col("url") == F.col("u"), "left").withColumn("g", given_rule(F.col("host"), F.col("path"), given))
     verdict = F.coalesce(F.col("g.verdict"), F.when(F.col("by").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "url", "host", "path", F.col("g.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("g").isNull(), F.col("by")).alias("mined"))

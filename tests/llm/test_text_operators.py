@@ -317,3 +317,18 @@ def test_bands_find_what_holds_enough(size):
     """A window at the least similarity is missed about as seldom as promised."""
     assert (1 - licenses.similarity(size, 0.8) ** licenses.ROWS) ** licenses.bands(size, 0.8) <= licenses.MISS * 1.0001
     assert WORDS
+
+
+def test_long_urls_are_not_broadcast(spark, monkeypatch):
+    """A side of few rows is broadcast by its bytes."""
+    from leafmark.llm import common
+
+    # a rule that blocks all of 300 URLs of 100 kB each
+    rows = [(i, f"http://bad.net/shop/{i}?" + "k" * 100_000) for i in range(300)] + [(i, f"http://good.net/news/{i}") for i in range(300, 1200)]
+    labels = spark.createDataFrame([(i, int(i >= 300), 0) for i in range(1200)], LABELS)
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    plan = lambda: urls.judge(pages, labels, given=())._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan()
+    monkeypatch.setattr(common.light, "__defaults__", (1 << 20,))
+    assert "strategy=broadcast" not in plan()
+    assert {r.page_id for r in urls.judge(pages, labels, given=()).where("verdict = 'block'").collect()} == set(range(300))
