@@ -656,13 +656,17 @@ def score(docs: DataFrame, folds: int = 10, order: int = 3, min_ngram: int = 2,
             dropped(words, *parts)
             dealt = told.repartition(max(tasks, chunks.count()))
             ask = lambda hot, turn: dealt.mapInArrow(_each(_ask(info, 3, hot, turn, turns)), ROWS)  # noqa: B023, E731
-        parts = []
+        parts, shared = [], None
+        if 2 * top * info["shards"] > info["tokens"]:
+            # hot contexts are asked for and summed once, whatever the turn their sums are used in
+            shared = stored(ask(True, 0).groupBy("shard").applyInArrow(_shared(info), ROWS), "shared")
         for turn in range(turns):
             asked = ask(False, turn)
-            if 2 * top * info["shards"] > info["tokens"]:
-                shared = ask(True, turn).groupBy("shard").applyInArrow(_shared(info), ROWS)
+            if shared is not None:
                 asked = asked.unionByName(shared.where(F.col("shard") % turns == turn))
             parts.append(stored(asked.groupBy("shard").applyInArrow(_level(info, level), ROWS), f"level{level}"))
+        if shared is not None:
+            dropped(shared)
         answers = reduce(DataFrame.unionByName, parts)
         top = answers.agg(F.max("top")).first()[0] or 0
     if order > 1:
