@@ -26,7 +26,7 @@ FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """What is stored is read from the shared folder from then on; the shuffles it came by only fill the executors' disks."""
     before = spark.conf.get(FREE_SHUFFLES, None)
     spark.conf.set(FREE_SHUFFLES, "true")
@@ -39,7 +39,7 @@ def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, and survives the loss of any executor."""
     path = fresh_dir(df.sparkSession, name)
-    with _shuffles_freed(df.sparkSession):
+    with shuffles_freed(df.sparkSession):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._leafmark_path = path

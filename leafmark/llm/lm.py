@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import dropped, fresh_dir, removed, stored
+from leafmark.llm.common import dropped, fresh_dir, removed, shuffles_freed, stored
 from leafmark.llm.eliasfano import EliasFano, build
 
 END = 0xE4D0_0F7E_70E4_D001
@@ -52,7 +52,7 @@ SHARD_TOKENS, SHARD_WORDS = 2_000_000, 2_000_000
 STEP = 16 / 65535
 #: Tokens of a chunk, about, and texts that are split together.
 CHUNK, BATCH = 2_000_000, 256
-#: Pairs and triples are asked for, and answers kept, in so many turns, so that disks hold one turn's shuffle at a time.
+#: Requests for pairs and triples are answered, and answers kept, in so many turns, so that disks hold one turn's shuffle at a time.
 PASSES = 3
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: What goes between chunks and shards. Answers also say how many words or n-grams of training texts the shard has met (seen)
@@ -340,14 +340,12 @@ class Request:
         self.by_context = np.argsort(self.shard, kind="stable")
         self.by_value = np.argsort(self.shard[owner], kind="stable")
 
-    def blobs(self, turn: int = 0, turns: int = 1) -> Iterator[tuple[int, bytes]]:
+    def blobs(self) -> Iterator[tuple[int, bytes]]:
         each = np.bincount(self.owner, minlength=len(self.key))
         ids, first = np.unique(self.shard[self.by_context], return_index=True)
         low = np.searchsorted(self.shard[self.owner][self.by_value], np.r_[ids, np.iinfo(np.int64).max])
         cuts = np.r_[first, len(self.key)]
         for k, s in enumerate(ids.tolist()):
-            if s % turns != turn:
-                continue
             c, v = self.by_context[cuts[k] : cuts[k + 1]], self.by_value[low[k] : low[k + 1]]
             yield s, sent(split_key(self.key[c]) | {"total": narrow(self.total[c]), "each": narrow(each[c]), "value": narrow(steps_of(self.value[v], each[c])), "n": narrow(self.n[v])})
 
@@ -510,17 +508,18 @@ def _work(info: dict, key: tuple, group: pa.Table) -> Work:
     return Work(info, key[0].as_py(), told)
 
 
-def _ask(info: dict, level: int, hot: bool, turn: int = 0, turns: int = 1):
-    """Requests of a chunk at a level to the shards whose turn it is; hot: only the training counts of contexts that several
-    shards share, to any shard."""
+def _ask(info: dict, level: int, hot: bool):
+    """Requests of a chunk at a level; with hot also (kind 2) the training counts of contexts that several shards share, to any shard."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         w = _work(info, key, group)
         if level == 3:
             w.take_pairs()
         request = w.triples() if level == 3 else w.pairs()
-        blobs = request.hot_blobs(info) if hot else request.blobs(turn, turns)
-        return pa.Table.from_batches([_rows([(s, w.chunk, 0, b) for s, b in blobs])], _ARROW)
+        rows = [(s, w.chunk, 0, b) for s, b in request.blobs()]
+        if hot:
+            rows += [(s, w.chunk, 2, b) for s, b in request.hot_blobs(info)]
+        return pa.Table.from_batches([_rows(rows)], _ARROW)
 
     return run
 
@@ -645,26 +644,29 @@ def score(docs: DataFrame, folds: int = 10, order: int = 3, min_ngram: int = 2,
     info |= {"start": np.r_[0, np.cumsum(every)[:-1]].tolist(), "words": sum(r.seen for r in made)}
     top = max((r.top for r in made), default=0)
     for level in range(2, order + 1):
-        turns = PASSES
+        hot = 2 * top * info["shards"] > info["tokens"]
         if level == 2:
-            ask = lambda hot, turn: told.groupBy("chunk").applyInArrow(_ask(info, 2, hot, turn, turns), ROWS)  # noqa: B023, E731
+            asked = told.groupBy("chunk").applyInArrow(_ask(info, 2, hot), ROWS)
         else:
             # from here on a chunk's answers stand in files, and a row names them: rows are few and small, and dealt out evenly
             words = told
             both, share = words.unionByName(answers), F.pmod(F.crc32("chunk"), F.lit(PASSES))
             told = reduce(DataFrame.unionByName, [stored(both.where(share == turn).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_keep(info), ROWS), "known") for turn in range(PASSES)])
             dropped(words, *parts)
-            dealt = told.repartition(max(tasks, chunks.count()))
-            ask = lambda hot, turn: dealt.mapInArrow(_each(_ask(info, 3, hot, turn, turns)), ROWS)  # noqa: B023, E731
-        parts, shared = [], None
-        if 2 * top * info["shards"] > info["tokens"]:
-            # hot contexts are asked for and summed once, whatever the turn their sums are used in
-            shared = stored(ask(True, 0).groupBy("shard").applyInArrow(_shared(info), ROWS), "shared")
-        for turn in range(turns):
-            asked = ask(False, turn)
-            if shared is not None:
-                asked = asked.unionByName(shared.where(F.col("shard") % turns == turn))
-            parts.append(stored(asked.groupBy("shard").applyInArrow(_level(info, level), ROWS), f"level{level}"))
+            asked = told.repartition(max(tasks, chunks.count())).mapInArrow(_each(_ask(info, 3, hot)), ROWS)
+        # a chunk makes its requests once; they wait in a folder for each turn, which goes with it
+        requests = fresh_dir(spark, "requests")
+        with shuffles_freed(spark):
+            asked.withColumn("turn", F.when(F.col("kind") == 2, PASSES).otherwise(F.col("shard") % PASSES)).write.partitionBy("turn").parquet(requests)
+        waiting = lambda turn: spark.read.schema(f"{ROWS}, turn int").parquet(requests).where(F.col("turn") == turn).drop("turn")  # noqa: B023, E731
+        shared = stored(waiting(PASSES).groupBy("shard").applyInArrow(_shared(info), ROWS), "shared") if hot else None
+        removed(spark, f"{requests}/turn={PASSES}")
+        parts = []
+        for turn in range(PASSES):
+            mine = waiting(turn) if shared is None else waiting(turn).unionByName(shared.where(F.col("shard") % PASSES == turn))
+            parts.append(stored(mine.groupBy("shard").applyInArrow(_level(info, level), ROWS), f"level{level}"))
+            removed(spark, f"{requests}/turn={turn}")
+        removed(spark, requests)
         if shared is not None:
             dropped(shared)
         answers = reduce(DataFrame.unionByName, parts)
