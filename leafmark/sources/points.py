@@ -8,7 +8,8 @@ a bucket stays whole and is written by a task for each PIECE of its positions.
 A load writes the buckets it touches into folders of its own and then commits: a manifest names the folder of every bucket, with
 its files, chunks and named chunks, and becomes the current one when the file of the next number is created below `_log`,
 which only one of two writers can do; the other begins again. Readers see the buckets of one manifest, never half a load.
-Folders that a commit replaced are removed by the one after it. Contents are sums over the manifest: no points are read.
+Folders that a commit replaced are removed by the one after it, as are manifests but the last two. Contents are sums over
+the manifest: no points are read.
 
 Folders written before there were manifests (collection=*/bucket=*) are read as they are and taken over by the first load.
 Points without a file id or collection have no place and are left out.
@@ -113,7 +114,7 @@ def _current(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
 
 def _commit(spark: SparkSession, path: str, n: int, rows: DataFrame) -> bool:
     """Makes rows the manifest of commit n; False where another writer has made one."""
-    name = uuid.uuid4().hex
+    name = f"{n:020d}-{uuid.uuid4().hex}"
     rows.select(*[c.split()[0] for c in MANIFEST.split(", ")]).write.parquet(f"{path}/_manifests/{name}")
     p, store = _at(spark, f"{path}/_log/{n:020d}")
     try:
@@ -128,6 +129,14 @@ def _commit(spark: SparkSession, path: str, n: int, rows: DataFrame) -> bool:
     return True
 
 
+def _tidied(spark: SparkSession, path: str, n: int) -> None:
+    """Removes commits before n and their manifests, and those that were never committed."""
+    for place in ("_log", "_manifests"):
+        for s in _children(spark, f"{path}/{place}"):
+            if int(s.getPath().getName().split("-")[0]) < n:
+                _removed(spark, f"{path}/{place}/{s.getPath().getName()}")
+
+
 def _old_folders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in _children(spark, path) if s.getPath().getName().startswith("collection=")]
 
@@ -205,6 +214,7 @@ def _upsert(spark: SparkSession, new: DataFrame, path: str, keep_tail: bool, row
         _removed(spark, f"{path}/points/{_folder(spark, r.collection)}/bucket={r.bucket}/load={r.load}")
     for name in before:
         _removed(spark, f"{path}/{name}")
+    _tidied(spark, path, n)
     _removed(spark, staged)
     return True
 

@@ -148,6 +148,7 @@ def test_replaced_folders_go_a_commit_later(spark, tmp_path, monkeypatch):
     at = f"file://{tmp_path}/p"
     for n in range(1, 5):
         points.upsert(spark, made(spark, [("c", "f", 0, str(n), n), (None, "x", 0, "t", n), ("c", None, 0, "t", n)]), at)
+    assert len([n for n in os.listdir(tmp_path / "p/_log") if n.isdigit()]) == 2 == len(os.listdir(tmp_path / "p/_manifests"))
     assert len(os.listdir(tmp_path / "p/points/collection=c/bucket=1")) == 2 and rows_of(spark, at) == [("c", "f", 0, "4", 4)]
     monkeypatch.setattr(points, "FOLDERS", 0)  # too many to name
     assert rows_of(spark, at) == [("c", "f", 0, "4", 4)]
