@@ -1,37 +1,28 @@
-"""A stored layout of chunk vectors, MaxSim by matrix products over it, and reads of candidates alone.
+"""A stored layout of chunk vectors, MaxSim over it, and reads of candidates alone.
 
 A row is a chunk with all its vectors in order, so a score never leaves the task that reads the chunk. Rows lie in folders by
 kind and by range of chunk id (`part` = chunk_id div span), sorted by chunk_id in row groups of a sixteenth of a folder. The
 span is chosen so that a folder holds about FOLDER_BYTES, and is kept beside the table.
 
-Queries are collected in blocks of BLOCK_TOKENS tokens at most and sent to the tasks as one matrix; more queries mean more
-blocks. Chunks without vectors score nothing, as do queries without tokens. Vectors of a chunk must be of one length.
+Scores are those of `products`. Chunks without vectors score nothing, as do queries without tokens. Vectors of a chunk must be of one length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from leafmark.operators import retrieval
+from leafmark.operators import products, retrieval
+from leafmark.operators.products import BLOCK_TOKENS
 from leafmark.plans.session import scratch_dir
 
 FOLDER_BYTES = 128 << 20
 #: Row groups of a folder.
 PIECES = 16
-#: Query tokens that go to the tasks at once.
-BLOCK_TOKENS = 20_000
 #: Runs of chunk ids that a scan is given as filters; beyond it so many folders by number, and beyond that a join.
 RUNS, FOLDERS = 256, 10_000
-#: Chunks, document tokens and query tokens of one matrix product.
-SLICE_CHUNKS, SLICE_TOKENS, SLICE_QUERY = 256, 4096, 512
-SCORES = "query_id long, chunk_id long, score double"
 
 
 @dataclass
@@ -98,188 +89,33 @@ def read(spark: SparkSession, path: str) -> TokenStore:
     return TokenStore(spark, path, r.span, r.kinds)
 
 
-@dataclass
-class Queries:
-    """A block of queries: ids, ascending, the row each begins at, and all their tokens as a matrix."""
-
-    ids: np.ndarray
-    starts: np.ndarray
-    matrix: np.ndarray
-
-    @property
-    def ends(self) -> np.ndarray:
-        return np.r_[self.starts[1:], len(self.matrix)]
-
-
-def query_blocks(queries: DataFrame, most: int = BLOCK_TOKENS) -> Iterator[Queries]:
-    """queries(query_id, tok, vec) in blocks that come to the driver one at a time."""
-    rows = queries.where("vec is not null and query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "tok", F.col("vec").cast("array<double>").alias("vec"))
-    blocks = max(1, -(-rows.count() // most))
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = sorted(part.collect(), key=lambda r: (r.query_id, r.tok))  # `most` tokens, about
-        if got:
-            ids, starts = np.unique([r.query_id for r in got], return_index=True)
-            yield Queries(ids, starts, np.array([r.vec for r in got], np.float64))
-
-
-def _slices(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
-    """Chunk ids, all their vectors, the row each chunk begins at and the batch's rows they are, a few chunks at a time."""
-    vecs = b.column("vecs")
-    sizes = np.diff(vecs.offsets.to_numpy())
-    at, n = 0, len(sizes)
-    while at < n:
-        end = at + 1
-        while end < n and end - at < SLICE_CHUNKS and sizes[at : end + 1].sum() <= SLICE_TOKENS:
-            end += 1
-        part = vecs.slice(at, end - at).flatten()
-        if len(part):
-            dim = len(part[0])
-            d = part.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            some = np.flatnonzero(sizes[at:end])
-            starts = np.r_[0, np.cumsum(sizes[at:end])[:-1]][some]
-            yield b.column("chunk_id").slice(at, end - at).to_numpy(zero_copy_only=False)[some], d, starts, (some + at).tolist()
-        at = end
-
-
-def _against(d: np.ndarray, starts: np.ndarray, q: Queries) -> np.ndarray:
-    """Scores, chunks x queries: the best token of a chunk for each query token, summed over the query."""
-    best = np.empty((len(starts), len(q.matrix)))
-    for k in range(0, len(q.matrix), SLICE_QUERY):
-        best[:, k : k + SLICE_QUERY] = np.maximum.reduceat(d @ q.matrix[k : k + SLICE_QUERY].T, starts, axis=0)
-    return np.add.reduceat(best, q.starts, axis=1)
-
-
-def _rows(query_id: np.ndarray, chunk_id: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(query_id, pa.int64()), pa.array(chunk_id, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "chunk_id", "score"])
-
-
-def _score_all(shared, k: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        ids, held = np.empty((len(q.ids), 0), np.int64), np.empty((len(q.ids), 0))  # the k best of the task so far
-        for b in batches:
-            for chunks, d, starts, _ in _slices(b):
-                s = _against(d, starts, q).T
-                if k is None:
-                    yield _rows(np.repeat(q.ids, len(chunks)), np.tile(chunks, len(q.ids)), s.ravel())
-                    continue
-                ids, held = np.concatenate([ids, np.broadcast_to(chunks, s.shape)], 1), np.concatenate([held, s], 1)
-                order = np.lexsort((ids, -np.round(held, 9)), axis=1)[:, :k]
-                ids, held = np.take_along_axis(ids, order, 1), np.take_along_axis(held, order, 1)
-        yield _rows(np.repeat(q.ids, ids.shape[1]), ids.ravel(), held.ravel())
-
-    return run
+def _with_vectors(queries: DataFrame) -> DataFrame:
+    return queries.where("vec is not null and query_id is not null")
 
 
 def block_scores(queries: DataFrame, rows: DataFrame, k: int | None = None, block: int = BLOCK_TOKENS) -> DataFrame:
     """(query_id, chunk_id, score) of every query against every chunk of rows (TokenStore.rows, of one kind). With k, a task gives
     back the k best of what it has read for each query; the k best of all are among them."""
-    sc = rows.sparkSession.sparkContext
-    rows = rows.select("chunk_id", "vecs")
-    parts = [rows.mapInArrow(_score_all(sc.broadcast(q), k), SCORES) for q in query_blocks(queries, block)]
-    return _united(rows, parts)
-
-
-def _united(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    if not parts:
-        return rows.sparkSession.createDataFrame([], SCORES)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _best_of_each(query: np.ndarray, chunk: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k best rows of each query; scores equal to nine places fall by chunk."""
-    order = np.lexsort((chunk, -np.round(score, 9), query))
-    query, chunk, score = query[order], chunk[order], score[order]
-    first = np.searchsorted(query, query)
-    kept = np.arange(len(query)) - first < k
-    return query[kept], chunk[kept], score[kept]
-
-
-def _score_asked(shared, k: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        ends = q.ends
-        out: list[tuple[np.ndarray, ...]] = []
-        held = 0
-        for b in batches:
-            for chunks, d, starts, at in _slices(b):
-                for chunk, start, end, row in zip(chunks, starts, np.r_[starts[1:], len(d)], at):
-                    own = np.unique(np.searchsorted(q.ids, np.array(b.column("asked")[row].as_py(), np.int64)))
-                    sizes = ends[own] - q.starts[own]
-                    which = np.repeat(q.starts[own] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-                    best = (d[start:end] @ q.matrix[which].T).max(0)
-                    out.append((q.ids[own], np.full(len(own), chunk), np.add.reduceat(best, np.r_[0, np.cumsum(sizes)[:-1]])))
-                    held += len(own)
-                if k is not None and held > 4 * k * len(q.ids):
-                    out = [_best_of_each(*(np.concatenate(x) for x in zip(*out)), k)]
-                    held = len(out[0][0])
-            if out and k is None:
-                yield _rows(*(np.concatenate(x) for x in zip(*out)))
-                out = []
-        if out:
-            yield _rows(*_best_of_each(*(np.concatenate(x) for x in zip(*out)), k))
-
-    return run
+    return products.united(rows, [products.scores(q, rows, k) for q in products.query_blocks(_with_vectors(queries), block)])
 
 
 def candidate_scores(queries: DataFrame, store: TokenStore, candidates: DataFrame, kind: str | None = None, k: int | None = None, block: int = BLOCK_TOKENS) -> DataFrame:
     """(query_id, chunk_id, score) of candidates(query_id, chunk_id), which are read twice and had best be stored. Only folders
     and row groups that hold one are read; a chunk comes to a task once, with the queries that ask for it.
     With k, a task gives back the k best of each query as in block_scores."""
-    sc = store.spark.sparkContext
     parts = []
-    for q in query_blocks(queries, block):
-        ids = store.spark.createDataFrame([(int(i),) for i in q.ids], "query_id long")
-        own = candidates.select("query_id", "chunk_id").join(F.broadcast(ids), "query_id")  # a row for each query of a block
-        # a list is as long as the block has queries at most
-        asked = own.groupBy("chunk_id").agg(F.collect_set("query_id").alias("asked"))
-        rows = store.of(own.select("chunk_id"))
-        rows = rows if kind is None else rows.where(F.col("kind") == kind)
-        parts.append(rows.join(asked, "chunk_id").select("chunk_id", "vecs", "asked").mapInArrow(_score_asked(sc.broadcast(q), k), SCORES))
-    return _united(store.rows(), parts)
-
-
-def _nearest(shared, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        n = len(q.matrix)
-        s, chunk, tok = np.empty((n, 0)), np.empty((n, 0), np.int64), np.empty((n, 0), np.int64)
-        for b in batches:
-            for chunks, d, starts, _ in _slices(b):
-                sizes = np.diff(np.r_[starts, len(d)])
-                own, place = np.repeat(chunks, sizes), np.arange(len(d)) - np.repeat(starts, sizes)
-                for at in range(0, n, SLICE_QUERY):
-                    got = q.matrix[at : at + SLICE_QUERY] @ d.T
-                    part = slice(at, at + SLICE_QUERY)
-                    s_, c_, t_ = np.concatenate([s[part], got], 1), np.concatenate([chunk[part], np.broadcast_to(own, got.shape)], 1), np.concatenate([tok[part], np.broadcast_to(place, got.shape)], 1)
-                    order = np.lexsort((t_, c_, -np.round(s_, 9)), axis=1)[:, :k]
-                    if not at:
-                        wide = order.shape[1]
-                        kept = np.empty((n, wide)), np.empty((n, wide), np.int64), np.empty((n, wide), np.int64)
-                    for to, x in zip(kept, (s_, c_, t_)):
-                        to[part] = np.take_along_axis(x, order, 1)
-                s, chunk, tok = kept
-        query = np.repeat(np.repeat(q.ids, np.diff(np.r_[q.starts, n])), s.shape[1])
-        part = np.repeat(np.arange(n), s.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (query, part, chunk.ravel(), tok.ravel(), s.ravel())], names=["query_id", "part", "chunk_id", "doc_tok", "s"])
-
-    return run
+    for q in products.query_blocks(_with_vectors(queries), block):
+        wanted = products.asked(q, candidates)
+        rows = store.of(wanted.select("chunk_id"))
+        parts.append(products.asked_scores(q, rows if kind is None else rows.where(F.col("kind") == kind), wanted, k))
+    return products.united(store.rows(), parts)
 
 
 def nearest_tokens(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK_TOKENS) -> DataFrame:
     """(query_id, part, chunk_id, doc_tok, s): for each query token (part) the k nearest document tokens, doc_tok their place in the
     chunk. A task gives back the k best of what it has read; equal to nine places they fall by chunk and place."""
-    sc, out = rows.sparkSession.sparkContext, None
-    for q in query_blocks(queries, block):
-        found = rows.select("chunk_id", "vecs").mapInArrow(_nearest(sc.broadcast(q), k), "query_id long, part long, chunk_id long, doc_tok long, s double")
-        w = Window.partitionBy("query_id", "part").orderBy(F.round("s", 9).desc(), "chunk_id", "doc_tok")
-        found = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
-        out = found if out is None else out.unionByName(found)
-    return rows.sparkSession.createDataFrame([], "query_id long, part long, chunk_id long, doc_tok long, s double") if out is None else out
+    found = [retrieval.nearest_of_each(products.nearest(q, rows, k), k) for q in products.query_blocks(_with_vectors(queries), block)]
+    return products.united(rows, found, products.TOKENS)
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
