@@ -47,3 +47,19 @@ def test_token_level_of_odd_vectors(odd, k):
     want = retrieval.top(by_pairs(q, tokens).join(near, ["query_id", "chunk_id"]), k)
     columns = ["query_id", "rank", "chunk_id", F.round("score", 6).alias("score")]
     assert sorted(map(repr, retrieval.token_level(q, tokens, k).select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+
+
+@pytest.mark.parametrize("name", ["op_re2", "op_re6", "op_re7", "op_re10"])
+def test_two_stage_makes_no_row_for_a_pair_of_tokens(spark, name):
+    plan = plan_of(QUERIES[name](spark, SF))
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_blocks_of_queries_find_the_same(odd, monkeypatch):
+    q, tokens = odd
+    want = retrieval.two_stage(q, vectors.pooled(tokens.where("chunk_id < 40"), 2, 2), tokens, 2, 3).collect()
+    monkeypatch.setattr(products.query_blocks, "__defaults__", (3,))
+    monkeypatch.setattr(products, "HELD", 1)
+    monkeypatch.setattr(products, "SLICE_CHUNKS", 4)
+    got = retrieval.two_stage(q, vectors.pooled(tokens.where("chunk_id < 40"), 2, 2), tokens, 2, 3).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) >= 14
