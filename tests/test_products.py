@@ -63,3 +63,15 @@ def test_blocks_of_queries_find_the_same(odd, monkeypatch):
     monkeypatch.setattr(products, "SLICE_CHUNKS", 4)
     got = retrieval.two_stage(q, vectors.pooled(tokens.where("chunk_id < 40"), 2, 2), tokens, 2, 3).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) >= 14
+
+
+def test_all_scores_come_from_where_the_chunks_are(spark):
+    plan = plan_of(QUERIES["op_re1"](spark, SF))
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_all_scores_of_odd_vectors(odd):
+    q, tokens = odd
+    assert told(retrieval.max_sim(q, tokens)) == told(by_pairs(q, tokens))
+    pairs = by_pairs(q, tokens).where("(query_id + chunk_id) % 3 = 0")
+    assert told(retrieval.max_sim(q, tokens, pairs)) == told(pairs)
