@@ -72,13 +72,18 @@ def _plain(name: str) -> str:
     return unquote(name.partition("=")[2]) if "=" in name else name
 
 
+def opened(path: str) -> tuple:
+    """Arrow's file system for a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
 class Folders:
     """What the tables are read with."""
 
     def __init__(self, options: dict):
-        from pyarrow import fs
-
-        self.store, self.root = fs.FileSystem.from_uri(options["path"]) if ":/" in options["path"] else (fs.LocalFileSystem(), options["path"])
+        self.store, self.root = opened(options["path"])
         self.report, self.page, self.map = options.get("report", "summary_report.json"), options.get("pages", "*"), options.get("maps", "titles.json")
 
     def children(self, path: str, folders: bool) -> list:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from leafmark.plans.session import ship_package
+from leafmark.sources import book_folders
 from leafmark.sources.points import create_collection, drop_collection, list_collections, merged, read_points, store_contents, upsert, with_ids  # noqa: F401
 from leafmark.sources.readers import _exists
 
@@ -23,3 +28,24 @@ def read_contents(spark: SparkSession, path: str, schema) -> DataFrame:
 def report_json(rows: DataFrame, key: str, name: str = "report") -> DataFrame:
     """(key, JSON text of all columns)."""
     return rows.select(key, F.to_json(F.struct(*rows.columns)).alias(name))
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """A text file for each row of files(path, content), path being below root. Tasks write the files themselves, so there is no
+    commit of the driver's that would go through them one by one; each appears whole, and is the same if its task runs again."""
+
+    def run(rows: Iterator[Row]) -> None:
+        store, base = book_folders.opened(root)
+        last = None
+        for r in rows:
+            folder, _, name = f"{base}/{r.path}".rpartition("/")
+            if folder != last:
+                store.create_dir(folder, recursive=True)
+                last = folder
+            own = f"{folder}/.{name}-{uuid.uuid4().hex}"
+            with store.open_output_stream(own) as out:
+                out.write(r.content.encode("utf-8"))
+            store.move(own, f"{folder}/{name}")
+
+    ship_package(files.sparkSession)
+    files.select("path", "content").foreachPartition(run)

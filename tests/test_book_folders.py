@@ -5,6 +5,7 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from leafmark.sources import book_folders, points, readers
 from leafmark.streaming import ingest
@@ -112,3 +113,40 @@ def test_a_stream_of_books_feeds_the_contents(spark, tmp_path):
     assert taken() == {"c": (3, 4, 3)}
     got = points.read_points(spark, f"{at}/p", ingest.CHUNKS).collect()
     assert sorted((r.file_id, r.position, r.section_title) for r in got) == [("c/0", 0, "A"), ("c/1", 0, "noname"), ("c/2", 0, "C"), ("c/2", 1, "D")]
+
+
+@pytest.mark.parametrize("uri", ["", "file:", "file://"])
+def test_files_are_written_by_tasks_and_listed_by_them(spark, tmp_path, uri):
+    from leafmark.sources import sinks
+
+    data = [(f"{k % 3}/doc_id={k}.txt", json.dumps({"1": f"é{k}", "x": "no number"})) for k in range(40)]
+    files = spark.createDataFrame(data, "path string, content string").repartition(3)
+    for _ in range(2):  # as a task that runs again
+        sinks.write_files(files, f"{uri}{tmp_path}/maps")
+    assert sorted(str(p.relative_to(tmp_path / "maps")) for p in (tmp_path / "maps").rglob("*") if p.is_file()) == sorted(p for p, _ in data)
+    found = readers.read_ocr_map(spark, f"{uri}{tmp_path}/maps", "string", "*.txt").selectExpr("regexp_extract(file, '=([0-9]+)', 1) as k", "key", "value")
+    assert {tuple(r) for r in found.collect()} == {(str(k), 1, f"é{k}") for k in range(40)}
+
+
+@pytest.mark.parametrize("name", ["op_src3", "op_src3_source"])
+def test_maps_need_no_commit_by_the_driver(spark, monkeypatch, name):
+    """A commit that names folders by a column costs the driver some milliseconds for each document."""
+    from pyspark.sql import DataFrameWriter
+
+    from conftest import SF
+    from leafmark.plans.queries import QUERIES
+
+    asked = []
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *by: asked.append(by) or self)
+    assert QUERIES[name](spark, SF).count() > 0 and not asked
+
+
+def test_documents_without_an_id_keep_their_maps(spark, tmp_path):
+    from conftest import SF
+    from leafmark.plans.queries import QUERIES
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.withColumn("user_id", F.when(F.col("user_id") == 3, F.lit(None)).when(F.col("user_id") == 4, F.lit(-4)).otherwise(F.col("user_id")).cast("long")).write.parquet(f"{tmp_path}/events.parquet")
+    count = lambda df: {r.doc_id: r["count"] for r in df.groupBy("doc_id").count().collect()}
+    want = count(QUERIES["op_se1"](spark, str(tmp_path)))
+    assert None in want and -4 in want and count(QUERIES["op_src3"](spark, str(tmp_path))) == want
