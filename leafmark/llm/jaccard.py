@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import ranked, small, stored, unused
+from leafmark.llm.common import ranked, short_batches, small, stored, unused
 from leafmark.llm.components import components
 
 #: Shingles and sets that one block task may hold.
@@ -207,26 +207,35 @@ def _sketches(plan: Plan, width: int, hot: np.ndarray):
 def _survey(width: int):
     """(what, key, n): sizes of small sets (what 0), and shingles that a few million held more than twice (what 1)."""
 
-    def told(sizes: list[int], kept: list[np.ndarray]) -> pa.RecordBatch:
+    def told(sizes: list[int], held: np.ndarray) -> pa.RecordBatch:
         size, m = np.unique(np.array([x for x in sizes if x < 64], np.int64), return_counts=True)
-        key, n = np.unique(np.concatenate(kept), return_counts=True)
-        key, n = _signed(key[n > 2]), n[n > 2]
+        held.sort()  # in place: a worker holds a chunk once
+        # the first row of each run of three or more
+        many = np.empty(len(held), bool)
+        many[-2:] = False
+        np.equal(held[2:], held[:-2], out=many[:-2])
+        many[1:] &= held[1:] != held[:-1]
+        first = np.flatnonzero(many)
+        key, n = _signed(held[first]), np.searchsorted(held, held[first], "right") - first
         what = np.r_[np.zeros(len(size), np.int32), np.ones(len(key), np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(what), pa.array(np.r_[size, key]), pa.array(np.r_[m, n].astype(np.int64))], names=["what", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, kept, held = [], [], 0
+        sizes, all_, held = [], np.empty(CHUNK + CHUNK // 2, np.uint64), 0  # pages that are not written take no memory
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 sets = shingle_sets(b.column(0).slice(k, 512).to_pylist(), width)
                 sizes += map(len, sets)
-                kept += sets
-                held += sum(map(len, sets))
+                for h in sets:
+                    if held + len(h) > len(all_):
+                        all_ = np.concatenate([all_[:held], np.empty(len(h) + CHUNK // 8, np.uint64)])
+                    all_[held : held + len(h)] = h
+                    held += len(h)
                 if held >= CHUNK:
-                    yield told(sizes, kept)
-                    sizes, kept, held = [], [], 0
-        if kept:
-            yield told(sizes, kept)
+                    yield told(sizes, all_[:held])
+                    sizes, held = [], 0
+        if sizes:
+            yield told(sizes, all_[:held])
 
     return run
 
@@ -318,6 +327,12 @@ def _dealt(about: DataFrame, stood: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def jaccard_join(docs: DataFrame, percent: int = 90, width: int = 3) -> tuple[DataFrame, DataFrame]:
+    """_join with few texts on the way to Python at once."""
+    with short_batches(docs.sparkSession):
+        return _join(docs, percent, width)
+
+
+def _join(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(doc_id, text_hash, n_shingles, cls) has a row for each document, cls being the smallest id with
     the same set; links(u, v, links) has for each class that links a class v of its component (a spanning forest) and how many
     it links with; several rows of a class add up."""

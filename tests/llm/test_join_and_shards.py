@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from leafmark.llm import jaccard, sharding
@@ -236,3 +237,49 @@ def test_shards_of_odd_rows(spark, odd):
     check(sharding.shard(odd).collect(), [*ODD, 0, 0, 0], 8)
     assert sharding.shard(odd.limit(0)).count() == 0
     assert sorted(r.shard for r in sharding.shard(odd.limit(3), shards=2).collect()) in ([0, 0, 1], [0, 1, 1])
+
+
+def test_a_survey_holds_a_chunk_once(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    made = [[np.unique(rng.integers(0, 4_000_000, 4000, dtype=np.uint64)) for _ in range(100)] for _ in range(12)]
+    left = iter(made)
+    monkeypatch.setattr(jaccard, "shingle_sets", lambda texts, width: next(left))
+    monkeypatch.setattr(jaccard, "CHUNK", 2_000_000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(["t"] * 100)], names=["text"])] * 12
+    tracemalloc.start()
+    got = list(jaccard._survey(3)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * 8 * jaccard.CHUNK
+    want = []
+    for some in (made[:6], made[6:]):
+        key, n = np.unique(np.concatenate([h for sets in some for h in sets]), return_counts=True)
+        want.append({(int(k), int(c)) for k, c in zip(key, n) if c > 2})
+    assert [{(k, n) for w, k, n in zip(*b.to_pydict().values()) if w == 1} for b in got] == want
+    assert all(b.column("what").to_pylist().count(0) == 0 for b in got)
+
+
+def test_few_texts_at_once(spark, monkeypatch):
+    survey = jaccard._survey
+
+    def watched(width):
+        def run(batches):
+            def short():
+                for b in batches:
+                    if b.num_rows > 1024:
+                        raise ValueError(f"{b.num_rows} texts at once")
+                    yield b
+
+            return survey(width)(short())
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_survey", watched)
+    rows = spark.range(0, 5000, 1, 1).selectExpr("id as doc_id", "concat('a b c ', id) as text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    members, _ = jaccard.jaccard_join(rows, 90, 3)
+    assert members.count() == 5000 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
