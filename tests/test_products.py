@@ -75,3 +75,13 @@ def test_all_scores_of_odd_vectors(odd):
     assert told(retrieval.max_sim(q, tokens)) == told(by_pairs(q, tokens))
     pairs = by_pairs(q, tokens).where("(query_id + chunk_id) % 3 = 0")
     assert told(retrieval.max_sim(q, tokens, pairs)) == told(pairs)
+
+
+def test_a_chunk_that_very_many_queries_ask_for_comes_in_several_rows(spark, odd, monkeypatch):
+    q, tokens = odd
+    monkeypatch.setattr(products, "ASKED", 2)
+    pairs = by_pairs(q, tokens).where("chunk_id < 5")
+    block = next(products.query_blocks(q))
+    lists = [r.asked for r in products.asked(block, pairs).collect()]
+    assert max(map(len, lists)) < len(block.ids) and sum(map(len, lists)) == pairs.count()
+    assert told(retrieval.max_sim(q, tokens, pairs)) == told(pairs)
