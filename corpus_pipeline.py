@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmark.llm import decontamination, jaccard, packing, pii, quality
-from leafmark.llm.common import stored, table
+from leafmark.llm.common import short_batches, stored, table
 from leafmark.llm.queries import tokenizer_path
 from leafmark.plans.session import ship_package
 
+#: Pieces of text whose ids a worker of the packing remembers, twice so many at most.
+PIECES = 1 << 16
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -43,7 +46,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences; a null or empty text is its end id alone."""
     ship_package(spark)
-    return packing.pack(docs, tokenizer_path()).drop("padded")
+    # an executor's heap has grown by now: few texts go to a worker at once, and it remembers few
+    with short_batches(spark):
+        return stored(packing.pack(docs, tokenizer_path(), entries=PIECES).drop("padded"), "pieces")
 
 
 STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("benchmark_decontamination", benchmark_decontamination), ("personal_data", personal_data), ("packing", pack)]

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from leafmark.llm.tokens import ENTRIES
+
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 #: Tails that are packed together, about.
@@ -62,11 +64,11 @@ def balance(lengths: np.ndarray, capacity: int, sequences: int) -> tuple[list[li
     return pieces, over
 
 
-def _pack(path: str, end_id: int, capacity: int):
+def _pack(path: str, end_id: int, capacity: int, entries: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from leafmark.llm.tokens import encoder
 
-        encode = encoder(path).encode
+        encode = encoder(path, entries).encode
         end = np.array([end_id], "<u4").tobytes()
         next_id = TaskContext.get().partitionId() << 40
         tails: list[tuple] = []  # (doc_id, start, doc_tokens, ids)
@@ -125,6 +127,7 @@ def _pack(path: str, end_id: int, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and padded (tokens of padding, 0)."""
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_pack(tokenizer, end_id, capacity), SCHEMA)
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, entries: int = ENTRIES) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and padded (tokens of padding, 0). A worker
+    remembers the ids of 2 x entries pieces of text at most."""
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_pack(tokenizer, end_id, capacity, entries), SCHEMA)

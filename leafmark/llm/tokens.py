@@ -26,6 +26,10 @@ _BYTES = {b: b for b in _SAME} | {b: 256 + k for k, b in enumerate(b for b in ra
 _LEAD = chr(_BYTES[32])
 
 
+#: Pieces of text that a generation of a worker's memory holds, some 250 bytes each.
+ENTRIES = 400_000
+
+
 def _plain(word: str) -> bool:
     """All Latin letters, which the pre-tokeniser keeps together."""
     return word.isalpha() and (word.isascii() or max(word) < "\u0250")
@@ -47,7 +51,7 @@ class _Memory(dict):
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. The memory holds at most 2 x entries pieces."""
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -108,6 +112,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, entries: int = ENTRIES) -> Encoder:
     """One for each Python worker."""
-    return Encoder(path)
+    return Encoder(path, entries)

@@ -250,6 +250,34 @@ def test_scores_of_odd_rows(spark, odd):
     assert [(r.train_tokens, r.n_known, r.base_score) for r in none] == [(0, 0, 0.0)]
 
 
+def test_few_pieces_are_remembered(spark, vocabulary, encode):
+    from leafmark.llm.tokens import Encoder
+
+    texts = [" ".join(f"w{i * 50 + k} common" for k in range(50)) for i in range(40)]
+    short = Encoder(vocabulary, entries=200)
+    for i in range(0, 40, 2):
+        assert short.encode(texts[i : i + 2]) == Encoder(vocabulary).encode(texts[i : i + 2])
+        assert len(short.young) + len(short.young.old) <= 2 * 200 + 2 * 101
+    docs = make(spark, texts)
+    told = lambda df: sorted(tuple(r) for r in df.collect())
+    assert told(packing.pack(docs, vocabulary, entries=50)) == told(packing.pack(docs, vocabulary))
+
+
+def test_packing_of_the_pipeline_gets_few_texts_at_once(spark, vocabulary, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import pyarrow as pa
+
+    def rows_at_once(path, end_id, capacity, entries):
+        names = [x.split()[0] for x in packing.SCHEMA.split(", ")]
+        return lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows, entries][i == 1 :][:1], pa.int64()) for i in range(8)], names=names) for b in batches)
+
+    monkeypatch.setattr(packing, "_pack", rows_at_once)
+    docs = spark.range(5000).selectExpr("id as doc_id", "'a text' as text").coalesce(1)
+    got = corpus_pipeline.pack(spark, docs, "").collect()
+    assert sum(r.doc_id for r in got) == 5000 and max(r.doc_id for r in got) <= 1024
+    assert all(r.start <= 1 << 16 for r in got)
+
+
 # pipeline
 def test_pipeline(spark, vocabulary, encode, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
