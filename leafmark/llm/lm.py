@@ -52,8 +52,13 @@ SHARD_TOKENS, SHARD_WORDS = 2_000_000, 2_000_000
 STEP = 16 / 65535
 #: Tokens of a chunk, about, and texts that are split together.
 CHUNK, BATCH = 2_000_000, 256
-#: Requests for pairs and triples are answered, and answers kept, in so many turns, so that disks hold one turn's shuffle at a time.
-PASSES = 3
+#: How hard zstd tries on what waits in the shared folder: a few CPU seconds a GB more than the least, and 5 % fewer bytes.
+LEVEL = 9
+#: Requests for pairs and triples are answered in so many turns, and chunks get their answers in so many shares, so that disks
+#: hold the shuffle of one turn or share at a time.
+#: Requests of a level are made in so many rounds of turns: those of one round wait in the shared folder together. A round reads all chunks
+#: again, so only triples, which are the most, take two.
+PASSES, SHARES, ROUNDS = 6, 3, {3: 2}
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: What goes between chunks and shards. Answers also say how many words or n-grams of training texts the shard has met (seen)
 #: and kept, and the highest count of these (top).
@@ -111,7 +116,7 @@ def sent(arrays: dict[str, np.ndarray]) -> bytes:
     kinds = {k: np.asarray(a).dtype.str for k, a in arrays.items()}
     planes = {f"{k} {kinds[k]}": np.ascontiguousarray(np.asarray(a)).view(np.uint8).reshape(-1, np.asarray(a).itemsize).T.ravel() for k, a in arrays.items()}
     raw = packed(planes)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
 
 
 def received(data: bytes) -> dict[str, np.ndarray]:
@@ -148,6 +153,20 @@ def joined_key(arrays: dict[str, np.ndarray]) -> np.ndarray:
     return np.cumsum(arrays["upper"], dtype=np.uint64) << np.uint64(32) | arrays["under"].astype(np.uint64)
 
 
+def by_frequency(classes: np.ndarray) -> np.ndarray:
+    """Words by falling class, and within a class as they stood."""
+    return np.argsort(-classes.astype(np.int16), kind="stable")
+
+
+def numbered(local: np.ndarray, words: int) -> dict[str, np.ndarray]:
+    """The words of a chunk's tokens, numbered so that frequent ones come first: their upper bytes are mostly zeros then, and
+    take little room. How frequent a word is (the logarithm of its count) restores the order of words."""
+    classes = np.frexp(np.bincount(local, minlength=words))[1].astype(np.uint8)
+    rank = np.empty(words, np.int64)
+    rank[by_frequency(classes)] = np.arange(words)
+    return {"classes": classes, "ranks": narrow(rank[local])}
+
+
 def narrow(x: np.ndarray) -> np.ndarray:
     """Numbers from 0 on in as few bytes as they need."""
     top = int(x.max()) if len(x) else 0
@@ -250,7 +269,7 @@ def _encode(folder: str, names: str, size: int = CHUNK):
             ids, held, h, lengths = (np.concatenate(x) for x in zip(*[(i, b, h, n) for i, b, h, n, _ in kept]))
             null = np.concatenate([k[4] for k in kept])
             words, local = np.unique(h, return_inverse=True)
-            key = put(file, sent({"doc": ids, "null": null, "held": held, "lengths": narrow(lengths), "ids": narrow(local)}))
+            key = put(file, sent({"doc": ids, "null": null, "held": held, "lengths": narrow(lengths)} | numbered(local, len(words))))
             dictionary = put(words_file, words.tobytes())
             kept = []
             return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([dictionary]), *[pa.array([int(x)], pa.int64()) for x in (len(h), lengths[~held].sum(), len(words))]], names=["chunk", "dictionary", "tokens", "training", "words"])
@@ -281,6 +300,7 @@ def _piece(folder: str, key: str) -> bytes:
 
 def _chunk(folder: str, key: str) -> dict[str, np.ndarray]:
     out = received(_piece(folder, key))
+    out["ids"] = by_frequency(out.pop("classes"))[out.pop("ranks")]
     return out | {"lengths": out["lengths"].astype(np.int64), "held": out["held"].astype(bool), "null": out["null"].astype(bool)}
 
 
@@ -340,12 +360,15 @@ class Request:
         self.by_context = np.argsort(self.shard, kind="stable")
         self.by_value = np.argsort(self.shard[owner], kind="stable")
 
-    def blobs(self) -> Iterator[tuple[int, bytes]]:
+    def blobs(self, turns: range) -> Iterator[tuple[int, bytes]]:
+        """What goes to the shards of these turns."""
         each = np.bincount(self.owner, minlength=len(self.key))
         ids, first = np.unique(self.shard[self.by_context], return_index=True)
         low = np.searchsorted(self.shard[self.owner][self.by_value], np.r_[ids, np.iinfo(np.int64).max])
         cuts = np.r_[first, len(self.key)]
         for k, s in enumerate(ids.tolist()):
+            if s % PASSES not in turns:
+                continue
             c, v = self.by_context[cuts[k] : cuts[k + 1]], self.by_value[low[k] : low[k + 1]]
             yield s, sent(split_key(self.key[c]) | {"total": narrow(self.total[c]), "each": narrow(each[c]), "value": narrow(steps_of(self.value[v], each[c])), "n": narrow(self.n[v])})
 
@@ -508,15 +531,16 @@ def _work(info: dict, key: tuple, group: pa.Table) -> Work:
     return Work(info, key[0].as_py(), told)
 
 
-def _ask(info: dict, level: int, hot: bool):
-    """Requests of a chunk at a level; with hot also (kind 2) the training counts of contexts that several shards share, to any shard."""
+def _ask(info: dict, level: int, hot: bool, turns: range):
+    """Requests of a chunk at a level in these turns; with hot also (kind 2) the training counts of contexts that several shards
+    share, to any shard."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         w = _work(info, key, group)
         if level == 3:
             w.take_pairs()
         request = w.triples() if level == 3 else w.pairs()
-        rows = [(s, w.chunk, 0, b) for s, b in request.blobs()]
+        rows = [(s, w.chunk, 0, b) for s, b in request.blobs(turns)]
         if hot:
             rows += [(s, w.chunk, 2, b) for s, b in request.hot_blobs(info)]
         return pa.Table.from_batches([_rows(rows)], _ARROW)
@@ -643,30 +667,33 @@ def score(docs: DataFrame, folds: int = 10, order: int = 3, min_ngram: int = 2,
         raise ValueError("words are numbered in 32 bits; raise min_ngram")
     info |= {"start": np.r_[0, np.cumsum(every)[:-1]].tolist(), "words": sum(r.seen for r in made)}
     top = max((r.top for r in made), default=0)
+    share = F.pmod(F.crc32("chunk"), F.lit(SHARES))
     for level in range(2, order + 1):
         hot = 2 * top * info["shards"] > info["tokens"]
-        if level == 2:
-            asked = told.groupBy("chunk").applyInArrow(_ask(info, 2, hot), ROWS)
-        else:
+        if level == 3:
             # from here on a chunk's answers stand in files, and a row names them: rows are few and small, and dealt out evenly
             words = told
-            both, share = words.unionByName(answers), F.pmod(F.crc32("chunk"), F.lit(PASSES))
-            told = reduce(DataFrame.unionByName, [stored(both.where(share == turn).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_keep(info), ROWS), "known") for turn in range(PASSES)])
+            both = words.unionByName(answers)
+            told = reduce(DataFrame.unionByName, [stored(both.where(share == k).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_keep(info), ROWS), "known") for k in range(SHARES)])
             dropped(words, *parts)
-            asked = told.repartition(max(tasks, chunks.count())).mapInArrow(_each(_ask(info, 3, hot)), ROWS)
-        # a chunk makes its requests once; they wait in a folder for each turn, which goes with it
-        requests = fresh_dir(spark, "requests")
-        with shuffles_freed(spark):
-            asked.withColumn("turn", F.when(F.col("kind") == 2, PASSES).otherwise(F.col("shard") % PASSES)).write.partitionBy("turn").parquet(requests)
-        waiting = lambda turn: spark.read.schema(f"{ROWS}, turn int").parquet(requests).where(F.col("turn") == turn).drop("turn")  # noqa: B023, E731
-        shared = stored(waiting(PASSES).groupBy("shard").applyInArrow(_shared(info), ROWS), "shared") if hot else None
-        removed(spark, f"{requests}/turn={PASSES}")
-        parts = []
-        for turn in range(PASSES):
-            mine = waiting(turn) if shared is None else waiting(turn).unionByName(shared.where(F.col("shard") % PASSES == turn))
-            parts.append(stored(mine.groupBy("shard").applyInArrow(_level(info, level), ROWS), f"level{level}"))
-            removed(spark, f"{requests}/turn={turn}")
-        removed(spark, requests)
+        parts, shared, each = [], None, PASSES // ROUNDS.get(level, 1)
+        for first in range(0, PASSES, each):
+            turns = range(first, first + each)
+            ask = _ask(info, level, hot and not first, turns)
+            asked = told.groupBy("chunk").applyInArrow(ask, ROWS) if level == 2 else told.repartition(max(tasks, chunks.count())).mapInArrow(_each(ask), ROWS)
+            # a chunk makes the requests of a round once; they wait in a folder for each turn, which goes with it
+            requests = fresh_dir(spark, "requests")
+            with shuffles_freed(spark):
+                asked.withColumn("turn", F.when(F.col("kind") == 2, PASSES).otherwise(F.col("shard") % PASSES)).write.partitionBy("turn").parquet(requests)
+            waiting = lambda turn: spark.read.schema(f"{ROWS}, turn int").parquet(requests).where(F.col("turn") == turn).drop("turn")  # noqa: B023, E731
+            if hot and not first:
+                shared = stored(waiting(PASSES).groupBy("shard").applyInArrow(_shared(info), ROWS), "shared")
+                removed(spark, f"{requests}/turn={PASSES}")
+            for turn in turns:
+                mine = waiting(turn) if shared is None else waiting(turn).unionByName(shared.where(F.col("shard") % PASSES == turn))
+                parts.append(stored(mine.groupBy("shard").applyInArrow(_level(info, level), ROWS), f"level{level}"))
+                removed(spark, f"{requests}/turn={turn}")
+            removed(spark, requests)
         if shared is not None:
             dropped(shared)
         answers = reduce(DataFrame.unionByName, parts)
@@ -674,5 +701,5 @@ def score(docs: DataFrame, folds: int = 10, order: int = 3, min_ngram: int = 2,
     if order > 1:
         told = told.unionByName(answers)
     form = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = told.groupBy("chunk").applyInArrow(_scored(info), form)
+    scored = reduce(DataFrame.unionByName, [stored(told.where(share == k).groupBy("chunk").applyInArrow(_scored(info), form), "scores") for k in range(SHARES)])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(info["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -250,6 +250,27 @@ def test_scores_of_odd_rows(spark, odd):
     assert [(r.train_tokens, r.n_known, r.base_score) for r in none] == [(0, 0, 0.0)]
 
 
+def test_frequent_words_take_less_room():
+    rnd = np.random.default_rng(3)
+    local = np.unique(rnd.permutation(60_000)[np.minimum(rnd.zipf(1.3, 300_000), 60_000) - 1], return_inverse=True)[1]
+    words = int(local.max()) + 1
+    c = lm.numbered(local, words)
+    assert np.array_equal(lm.by_frequency(c["classes"])[c["ranks"]], local)
+    assert len(lm.sent(c)) < 0.9 * len(lm.sent({"ids": lm.narrow(local)}))
+    none = lm.numbered(np.zeros(3, np.int64), 1)
+    assert lm.by_frequency(none["classes"])[none["ranks"]].tolist() == [0, 0, 0]
+
+
+def test_requests_of_a_round_are_for_its_turns():
+    info = {"tokens": 1000, "shards": 12, "least": 2}
+    key = np.arange(50, dtype=np.uint64) << np.uint64(32)
+    one = np.ones(50, np.int64)
+    request = lm.Request(info, "a:0:1", key, one, one, np.arange(50), np.arange(50), one)
+    rounds = [dict(request.blobs(range(k, k + 3))) for k in (0, 3)]
+    assert all(s % lm.PASSES in range(3 * i, 3 * i + 3) for i in (0, 1) for s in rounds[i])
+    assert rounds[0] and rounds[1] and rounds[0] | rounds[1] == dict(request.blobs(range(lm.PASSES)))
+
+
 def test_few_pieces_are_remembered(spark, vocabulary, encode):
     from leafmark.llm.tokens import Encoder
 
