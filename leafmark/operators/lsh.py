@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from leafmark.operators import retrieval
 from leafmark.operators.token_store import TokenStore, _kept, candidate_scores
+from leafmark.plans.session import short_batches
 
 PROBES = 1_000_000
 #: The rule of the planes: s -> (s * s + 12345 * s + 7) mod (2 ** 31 - 1), three times, from 1009 * plane + dimension + 1.
@@ -112,10 +113,11 @@ def candidates(queries: DataFrame, index: DataFrame, lsh: Lsh = Lsh()) -> DataFr
 def two_stage(queries: DataFrame, index: DataFrame, pooled: TokenStore, tokens: TokenStore, k: int = 10, widen: int = 10, lsh: Lsh = Lsh()) -> DataFrame:
     """retrieval.two_stage with buckets instead of the scan of all pooled vectors: (query_id, rank, chunk_id, score). The pooled
     scores of the candidates leave k * widen of each kind, and all tokens of these give the exact score."""
-    near = _kept(candidates(queries, index, lsh), "lsh-candidates")
-    stage = [retrieval.top(candidate_scores(queries, pooled, near, kind, k * widen), k * widen).select("query_id", "chunk_id") for kind in ("mean_c", "mean_r")]
-    chosen = _kept(stage[0].union(stage[1]).distinct(), "lsh-chosen")
-    return retrieval.top(candidate_scores(queries, tokens, chosen, k=k), k).select("query_id", "rank", "chunk_id", "score")
+    with short_batches(tokens.spark):
+        near = _kept(candidates(queries, index, lsh), "lsh-candidates")
+        stage = [retrieval.top(candidate_scores(queries, pooled, near, kind, k * widen), k * widen).select("query_id", "chunk_id") for kind in ("mean_c", "mean_r")]
+        chosen = _kept(stage[0].union(stage[1]).distinct(), "lsh-chosen")
+        return _kept(retrieval.top(candidate_scores(queries, tokens, chosen, k=k), k).select("query_id", "rank", "chunk_id", "score"), "lsh-found")
 
 
 def finder(index: DataFrame, lsh: Lsh = Lsh()) -> retrieval.Find:

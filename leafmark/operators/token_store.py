@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from leafmark.operators import products, retrieval
 from leafmark.operators.products import BLOCK_TOKENS
-from leafmark.plans.session import scratch_dir
+from leafmark.plans.session import scratch_dir, short_batches
 
 FOLDER_BYTES = 128 << 20
 #: Row groups of a folder.
@@ -127,13 +127,15 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 def token_level(queries: DataFrame, tokens: TokenStore, k: int = 10, widen: int = 5) -> DataFrame:
     """retrieval.token_level over a stored layout: the k * widen nearest tokens of every query token name the candidates, of which
     all tokens are read and no others."""
-    near = _kept(nearest_tokens(queries, tokens.rows(), k * widen).select("query_id", "chunk_id").distinct(), "near")
-    return retrieval.top(candidate_scores(queries, tokens, near, k=k), k).select("query_id", "rank", "chunk_id", "score")
+    with short_batches(tokens.spark):
+        near = _kept(nearest_tokens(queries, tokens.rows(), k * widen).select("query_id", "chunk_id").distinct(), "near")
+        return _kept(retrieval.top(candidate_scores(queries, tokens, near, k=k), k).select("query_id", "rank", "chunk_id", "score"), "found")
 
 
 def two_stage(queries: DataFrame, pooled: TokenStore, tokens: TokenStore, k: int = 10, widen: int = 10) -> DataFrame:
     """retrieval.two_stage over stored layouts: matrix products against all pooled vectors, k * widen of each kind by task, then the
     tokens of these chunks and of no others are read."""
-    stage = [retrieval.top(block_scores(queries, pooled.rows().where(F.col("kind") == kind), k * widen), k * widen).select("query_id", "chunk_id") for kind in ("mean_c", "mean_r")]
-    chosen = _kept(stage[0].union(stage[1]).distinct(), "chosen")
-    return retrieval.top(candidate_scores(queries, tokens, chosen, k=k), k).select("query_id", "rank", "chunk_id", "score")
+    with short_batches(tokens.spark):
+        stage = [retrieval.top(block_scores(queries, pooled.rows().where(F.col("kind") == kind), k * widen), k * widen).select("query_id", "chunk_id") for kind in ("mean_c", "mean_r")]
+        chosen = _kept(stage[0].union(stage[1]).distinct(), "chosen")
+        return _kept(retrieval.top(candidate_scores(queries, tokens, chosen, k=k), k).select("query_id", "rank", "chunk_id", "score"), "found")

@@ -85,3 +85,27 @@ def test_a_chunk_that_very_many_queries_ask_for_comes_in_several_rows(spark, odd
     lists = [r.asked for r in products.asked(block, pairs).collect()]
     assert max(map(len, lists)) < len(block.ids) and sum(map(len, lists)) == pairs.count()
     assert told(retrieval.max_sim(q, tokens, pairs)) == told(pairs)
+
+
+def test_a_task_holds_little_for_a_full_block(monkeypatch):
+    """5,000 queries of four tokens, a batch of 3,000 chunks that 450 of them ask for each."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    n, chunks = 5_000, 3_000
+    block = type("Shared", (), {"value": products.Queries(np.arange(n), np.arange(n) * 4, rng.normal(size=(4 * n, 8)), np.ones(4 * n, bool))})
+    lists = lambda values, each: pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, each), pa.int32()), values)
+    vecs = lists(lists(pa.array(rng.normal(size=chunks * 5 * 8)), 8), 5)
+    asked = lists(pa.array(rng.integers(0, n, chunks * 450)), 450)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(chunks)), vecs, asked], names=["chunk_id", "vecs", "asked"])
+    found = {}
+    for task in (products._score_all, products._score_asked):
+        tracemalloc.start()
+        found[task] = [b.num_rows for b in task(block, 10)(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 << 20, (task, peak >> 20)
+    assert sum(found[products._score_all]) == 10 * n
