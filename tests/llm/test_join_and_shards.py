@@ -283,3 +283,23 @@ def test_few_texts_at_once(spark, monkeypatch):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     members, _ = jaccard.jaccard_join(rows, 90, 3)
     assert members.count() == 5000 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_components_take_few_tasks(spark):
+    """The driver remembers every task."""
+    tracker = spark.sparkContext.statusTracker()
+
+    def tasks(edges):
+        spark.sparkContext.setJobGroup(f"components {len(edges)}", "")
+        try:
+            got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long").coalesce(1)).collect()}
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"components {len(edges)}")]
+        return got, sum(tracker.getStageInfo(k).numTasks for j in jobs for k in j.stageIds if tracker.getStageInfo(k) and tracker.getStageInfo(k).numCompletedTasks)
+
+    stars, few = tasks([(k + 1000, k % 5) for k in range(200)])
+    path, more = tasks([(k + 1, k) for k in range(300)])
+    assert stars == {k + 1000: k % 5 for k in range(200)} | {k: k for k in range(5)}
+    assert path == dict.fromkeys(range(301), 0)
+    assert few < more / 4 and few <= 20
