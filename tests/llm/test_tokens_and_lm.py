@@ -324,3 +324,15 @@ def test_pipeline(spark, vocabulary, encode, tmp_path):
         out = stage(spark, docs, root)
         assert out.columns == docs.columns
         docs = out
+
+
+@pytest.mark.parametrize("top, n", [(1, 1), (3, 400), (1 << 20, 5000), (1 << 32, 5000), (5, 0)])
+def test_distinct_pairs(top, n):
+    rnd = np.random.default_rng(top)
+    high, low = rnd.integers(0, top, n, dtype=np.uint64), rnd.integers(0, min(top, 1 << 32), n, dtype=np.uint64)
+    u, back = np.unique(high << np.uint64(32) | low, return_inverse=True)
+    a, b, at = lm.distinct(high, low)
+    assert (a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)).tolist() == u.tolist() and at.tolist() == back.tolist()
+    values, where = lm.runs(np.sort(low))
+    want, which = np.unique(np.sort(low), return_inverse=True)
+    assert values.tolist() == want.tolist() and where.tolist() == which.tolist()
