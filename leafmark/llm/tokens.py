@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import struct
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 
@@ -24,6 +25,8 @@ _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SAME = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _SAME} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_SAME))}
 _LEAD = chr(_BYTES[32])
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+_ID = attrgetter("id")
 
 
 #: Pieces of text that a generation of a worker's memory holds, some 250 bytes each.
@@ -68,8 +71,8 @@ class Encoder:
         """A plain word is one pre-token, so it goes to the merges at once."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(_BYTES)
-        ids = [t.id for t in self.merge(lead + word)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        ids = list(map(_ID, self.merge(lead + word)))
+        return _PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, lead: str, piece: str) -> bytes:
         """Ids of a piece without white space, after a space (lead) or at the start of a line."""
@@ -88,6 +91,8 @@ class Encoder:
 
     def _after_space(self, piece: str) -> bytes:
         """Ids of a piece that a space comes before."""
+        if _plain(piece):
+            return self._word(_LEAD, piece)
         if piece and not _HAS_SPACE.search(piece):
             return self._piece(_LEAD, piece)
         left, _, right = piece.partition("\n")

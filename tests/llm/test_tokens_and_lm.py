@@ -336,3 +336,12 @@ def test_distinct_pairs(top, n):
     values, where = lm.runs(np.sort(low))
     want, which = np.unique(np.sort(low), return_inverse=True)
     assert values.tolist() == want.tolist() and where.tolist() == which.tolist()
+
+
+def test_plain_words_go_straight_to_the_merges(vocabulary, encode, monkeypatch):
+    from leafmark.llm import tokens
+
+    own = tokens.Encoder(vocabulary)
+    monkeypatch.setattr(tokens, "_HAS_SPACE", None)
+    text = "some words of café and Österreich " + "x" * 300
+    assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == encode(text, 0)[:-1].tolist()
